@@ -34,6 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a stored table is broadcast (a few MB); beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has few of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(col):
     """Lower-case A-Z alone. lower() does the same on pure ASCII and is much faster there."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

@@ -2,24 +2,117 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlens.llm import sentencepiece_codec, token_counts
+import corpus_pipeline
+from paperlens.llm import decontamination, license_scan, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filters, warc
 from paperlens.llm.common import table
 
-#: Where the vocabulary files lie on every node; a parameter of the operators.
-TOKENIZERS = os.environ.get("PAPERLENS_TOKENIZERS", "/opt/tokenizers")
-
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), least=0)
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", limit=512)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), policy="v1")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_deleted, text (what is left) of every document."""
+    found = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.selectExpr("doc_id", "`lines before` AS n_lines", "`lines deleted` AS n_deleted", "text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_url_filters, op3_quality_classifier, op4_decontamination, op5_warc, op6_near_dedup, op7_token_counts, op8_quality_rules, op9_license_scan, op10_line_dedup, pipeline,
+    )
+}
+
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP4 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '{_WORDS}') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '{_WORDS}') AS ws FROM benchmark),
+sized AS (SELECT item_id, ws, least(len(ws), 10) AS n FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT item_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM sized)),
+lengths AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, n, k, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM d, lengths)),
+hit AS (SELECT r, k, n, item_id FROM dw JOIN iw USING (n, g)),
+covered AS (SELECT r, count(DISTINCT k + o) AS n_hit FROM (SELECT r, k, unnest(range(0, n)) AS o FROM hit) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+
+_OP5 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT sha1(b) AS s, octet_length(b) AS n, min(page_id) AS first FROM p GROUP BY ALL),
+digits AS (SELECT page_id, octet_length(b) AS payload_bytes, first, list_transform(range(0, 32), lambda k: ('0x' || substr(sha1(b) || '0', 1, 40))) AS unused, sha1(b) AS hex FROM p JOIN f ON sha1(b) = s AND octet_length(b) = n),
+bits AS (SELECT page_id, payload_bytes, first, list_transform(range(0, 32), lambda k: CAST(('0x' || substr(hex, CAST(1 + (k * 5) // 4 AS BIGINT), 2) || CASE WHEN 1 + (k * 5) // 4 = 40 THEN '0' ELSE '' END) AS BIGINT) // CAST(pow(2, 3 - (k * 5) % 4) AS BIGINT) % 32) AS v FROM digits)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits"""
+
+_OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest(range(0, 8)) AS o FROM again) GROUP BY r),
+m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaiming
+  FROM w LEFT JOIN rep USING (r)),
+f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality_rules.RULES.values()))} AS failures FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failures % 4 > 0 AS base_failed, failures = 0 AS kept, CAST(failures AS BIGINT) AS failures FROM f"""
 
+_TEMPLATES = ", ".join("('{}', {}, '{}')".format(b.replace("'", "''"), len(bigrams), name) for name, bigrams in license_scan.template_bigrams().items() for b in bigrams)
+_OP9 = f"""
+WITH t(bigram, t_size, template) AS (VALUES {_TEMPLATES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+u AS (SELECT r, 'line' AS kind, i, string_split(x, chr(10))[i] AS u FROM (SELECT r, x, unnest(range(1, len(string_split(x, chr(10))) + 1)) AS i FROM d)
+  UNION ALL SELECT r, 'paragraph', i, p[i] FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT r, regexp_split_to_array(x, '\n[ \t\r]*\n') AS p FROM d) WHERE len(p) > 1) WHERE contains(p[i], chr(10))
+  UNION ALL SELECT r, 'text', 0, x FROM d WHERE contains(x, chr(10))),
+w AS (SELECT r, kind, i, regexp_extract_all({_LOWER.format("u")}, '{_WORDS}') AS ws FROM u),
+b AS (SELECT r, kind, i, list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS bs FROM w WHERE len(ws) > 1),
+c AS (SELECT r, kind, i, template, t_size, size, count(*) AS common FROM (SELECT r, kind, i, len(bs) AS size, unnest(bs) AS bigram FROM b) JOIN t USING (bigram) GROUP BY ALL),
+m AS (SELECT r, count(*) AS n_matches, string_agg(DISTINCT template, ',' ORDER BY template) AS licenses, max(2.0::DOUBLE * common / (size + t_size)) AS best_dice FROM c WHERE 200 * common >= 80 * (size + t_size) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, licenses, round(coalesce(best_dice, 0::DOUBLE), 6) AS best_dice FROM d LEFT JOIN m USING (r)"""
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_token_counts": op7_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op5_warc": _OP5, "op8_quality_rules": _OP8, "op9_license_scan": _OP9}

@@ -2,7 +2,7 @@
 
 1. Tasks split texts into pre-tokens and write, for each block of documents, one row per distinct pre-token with the
    packed (document, frequency) pairs of the block: a word costs its string once a block, not once a document.
-2. The rows are dealt by pre-token and sorted, so that each distinct pre-token meets the tokenizer once; it is joined to
+2. The rows are dealt by pre-token and sorted by its hash (a radix sort), so that each distinct pre-token meets the tokenizer once; it is joined to
    its frequencies there, and the products are summed per block before they move again. Pre-tokens that many documents of
    a block hold are spread over more keys (the salt grows with that number), so no word piles up in one task.
 3. The sums of a block meet in one group, bounded by the size of a block.
@@ -209,7 +209,7 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 512, key: str = "do
     spark = df.sparkSession
     rows = pre_token_frequencies(df, tokenizer, key, text)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "part", "salt").sortWithinPartitions("part").select("part", "block", "packed", "keys", "n_bytes")
+    dealt = rows.withColumn("h", F.xxhash64("part")).repartition(n, "part", "salt").sortWithinPartitions("h").select("part", "block", "packed", "keys", "n_bytes")
     middle = T.StructType([T.StructField("block", T.LongType()), T.StructField("packed", T.BinaryType()), rows.schema["keys"], rows.schema["n_bytes"]])
     key_type = to_arrow_type(df.schema[key].dataType)
     sums = dealt.mapInArrow(_sums(tokenizer, key_type), middle)

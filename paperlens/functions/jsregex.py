@@ -23,3 +23,8 @@ def squeeze(c: Column, by: str = " ") -> Column:
 def length(c: Column) -> Column:
     """UTF-16 units: characters beyond U+FFFF count twice."""
     return F.char_length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def named(value: Column, use) -> Column:
+    """use(value), with the value made once however often use() names it: a lambda over one element."""
+    return F.transform(F.array(value), use)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperlens.functions.jsregex import WS, trim
+from paperlens.functions.jsregex import WS, named, trim
 
 # Common English words, replacement signs, and the signs that are normal in such pages.
 COMMON = "a an and are as at be been by for from had has have he her his in is it its of on or that the their they this to was were which with you".split()
@@ -16,8 +16,11 @@ MOJIBAKE = "[½¼¾¿¡]"
 
 def quality(text: Column) -> Column:
     """A struct of compact_length, ratios, flags, garbled and the reasons for it."""
-    compact = F.regexp_replace(text, WS + "+", "")
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
+    parts = F.struct(F.regexp_replace(text, WS + "+", "").alias("compact"), F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0)).alias("words"))
+    return named(parts, lambda p: _judged(text, p.compact, p.words))
+
+
+def _judged(text: Column, compact: Column, words: Column) -> Column:
     counts = F.struct(
         F.char_length(compact).alias("n"),
         F.regexp_count(compact, F.lit(r"[㐀-鿿]")).alias("cjk"),
@@ -50,7 +53,7 @@ def quality(text: Column) -> Column:
             readable.alias("readable"), (F.size(reasons) > 0).alias("garbled"), reasons.alias("reasons"),
         )
 
-    return F.transform(F.array(counts), judge)[0]
+    return named(counts, judge)
 
 
 def wants_ocr(text: Column, garbled: Column, mode: str = "auto", least: int = 80) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from paperlens.functions.jsregex import END, START, WS, squeeze, trim
+from paperlens.functions.jsregex import END, START, WS, named, squeeze, trim
 
 
 @F.pandas_udf(StringType())
@@ -35,8 +35,10 @@ def compact(c: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: trim(x)), lambda x: x != "")
-    return F.when(text == "", F.array().cast("array<string>")).when(F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) == 0, F.array(text)).otherwise(found)
+    def cut(t: Column) -> Column:
+        return named(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, F.filter(F.array(t), lambda x: x != "")).otherwise(F.filter(F.transform(found, lambda x: trim(x)), lambda x: x != "")))
+
+    return named(text, cut)
 
 
 def sentences_en(c: Column) -> Column:
@@ -50,10 +52,13 @@ def sentences_zh(c: Column) -> Column:
 
 def explicit_paragraphs(c: Column) -> Column:
     """Blocks between blank lines; else lines of 20 characters or more if there are several; else the text as one."""
-    text = compact(c)
-    blocks = F.filter(F.transform(F.split(text, rf"\n{WS}*\n", -1), lambda x: trim(x)), lambda x: x != "")
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: trim(x)), lambda x: F.char_length(x) >= 20)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.size(blocks) > 1, blocks).when(F.size(lines) > 1, lines).otherwise(F.array(F.regexp_replace(text, "\n+", " ")))
+    def cut(text: Column) -> Column:
+        blocks = F.filter(F.transform(F.split(text, rf"\n{WS}*\n", -1), lambda x: trim(x)), lambda x: x != "")
+        lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: trim(x)), lambda x: F.char_length(x) >= 20)
+        single = F.filter(F.array(F.regexp_replace(text, "\n+", " ")), lambda x: x != "")
+        return named(F.struct(blocks.alias("blocks"), lines.alias("lines")), lambda p: F.when(F.size(p.blocks) > 1, p.blocks).when(F.size(p.lines) > 1, p.lines).otherwise(single))
+
+    return named(compact(c), cut)
 
 
 def pack_sentences(sentences: Column, most: int = 4, characters: int = 620) -> Column:
@@ -71,14 +76,10 @@ def pack_sentences(sentences: Column, most: int = 4, characters: int = 620) -> C
 
 def paragraphs(c: Column) -> Column:
     """Explicit paragraphs; a single one of over 620 characters and four sentences is packed into smaller ones."""
-    explicit = explicit_paragraphs(c)
-    # The lambda over one element names the array, so that it is made once.
-    return F.flatten(
-        F.transform(
-            F.array(explicit),
-            lambda p: F.when((F.size(p) == 1) & (F.char_length(F.get(p, F.lit(0))) > 620) & (F.size(sentences_en(F.get(p, F.lit(0)))) > 4), pack_sentences(sentences_en(F.get(p, F.lit(0))))).otherwise(p),
-        )
-    )
+    def cut(p: Column) -> Column:
+        return named(sentences_en(F.get(p, F.lit(0))), lambda s: F.when(F.size(s) > 4, pack_sentences(s)).otherwise(p))
+
+    return named(explicit_paragraphs(c), lambda p: F.when((F.size(p) == 1) & (F.char_length(F.get(p, F.lit(0))) > 620), cut(p)).otherwise(p))
 
 
 def words(c: Column) -> Column:

@@ -7,6 +7,7 @@ function; a page's items are few. Everything around it is windows and aggregates
 from __future__ import annotations
 
 import functools
+import statistics
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +47,16 @@ def columns_of(lines: DataFrame, page: list[str]) -> DataFrame:
     """lines (page, x, order) with column 0 or 1: parted at the widest gap if it is wide enough and both sides have two lines."""
     w = Window.partitionBy(*page).orderBy("x", "order")
     gaps = lines.withColumns({"gap": F.lead("x").over(w) - F.col("x"), "next": F.lead("x").over(w), "rank": F.row_number().over(w)})
-    best = gaps.groupBy(*page).agg(
-        F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("range"),
-        F.max_by(F.struct("gap", "x", "next", "rank"), F.struct(F.coalesce("gap", F.lit(-1.0)), -F.col("rank"))).alias("best"),
+    whole = Window.partitionBy(*page)
+    best = gaps.withColumns(
+        {
+            "n": F.count("*").over(whole), "range": F.max("x").over(whole) - F.min("x").over(whole),
+            "best": F.max_by(F.struct("gap", "x", "next", "rank"), F.struct(F.coalesce("gap", F.lit(-1.0)), -F.col("rank"))).over(whole),
+        }
     )
     wide = (F.col("n") >= 4) & (F.col("best.rank") >= 2) & (F.col("n") - F.col("best.rank") >= 2) & (F.col("best.gap") >= F.greatest(F.lit(float(COLUMN_GAP)), COLUMN_SHARE * F.greatest(F.col("range"), F.lit(1.0))))
-    split = best.select(*page, F.when(wide, (F.col("best.x") + F.col("best.next")) / 2).alias("split"))
-    return lines.join(split, page).withColumn("column", F.when(F.col("x") >= F.col("split"), 1).otherwise(0)).drop("split")
+    split = F.when(wide, (F.col("best.x") + F.col("best.next")) / 2)
+    return best.withColumn("column", F.when(F.col("x") >= split, 1).otherwise(0)).select(*lines.columns, "column")
 
 
 def char_width(text: Column, width: Column) -> Column:
@@ -76,16 +80,18 @@ def joined_line(items: DataFrame, line: list[str]) -> DataFrame:
 
 
 def clustered(items: DataFrame, page: list[str]) -> DataFrame:
-    """items (page, idx, x, y, width, height) with line (its number) and line_y: first fit, from top to bottom."""
-    rows = items.select(*page, "idx", "x", "y", "width").join(tolerance(items, page), page)
-    out = items.select(*page, "idx").withColumns({"line": F.lit(0), "line_y": F.lit(0.0)}).schema
+    """items (page, idx, x, y, width, height and more) with line (its number) and line_y: first fit, from top to bottom."""
+    out = items.withColumns({"line": F.lit(0), "line_y": F.lit(0.0)}).schema
+    fields = items.columns
 
     def cluster(group: list) -> list[tuple]:
         lines: list[list[float]] = []  # y, left, right, members
+        heights = [item.height for item in group if item.height > 0]
+        most = max(2.0, 0.65 * statistics.median(heights)) if heights else 2.0
         at = []
         for item in group:
             x, y, end = item.x, item.y, item.x + item.width
-            fits = (k for k, (ly, left, right, _) in enumerate(lines) if abs(ly - y) <= item.tolerance and (x - right if x >= right else left - end) <= LINE_GAP)
+            fits = (k for k, (ly, left, right, _) in enumerate(lines) if abs(ly - y) <= most and (x - right if x >= right else left - end) <= LINE_GAP)
             k = next(fits, len(lines))
             if k == len(lines):
                 lines.append([y, x, end, 1])
@@ -93,9 +99,9 @@ def clustered(items: DataFrame, page: list[str]) -> DataFrame:
                 ly, left, right, n = lines[k]
                 lines[k] = [(ly * n + y) / (n + 1), min(left, x), max(right, end), n + 1]
             at.append(k)
-        return [(*(getattr(item, c) for c in page), item.idx, k, float(lines[k][0])) for item, k in zip(group, at, strict=True)]
+        return [(*(getattr(item, c) for c in fields), k, float(lines[k][0])) for item, k in zip(group, at, strict=True)]
 
-    return walked(rows, page, [F.desc("y"), F.asc("x"), F.asc("idx")], cluster, out)
+    return walked(items, page, [F.desc("y"), F.asc("x"), F.asc("idx")], cluster, out)
 
 
 def _earlier(a, b) -> int:
@@ -119,7 +125,6 @@ def ordered_lines(lines: DataFrame, page: list[str]) -> DataFrame:
 
 def page_texts(items: DataFrame, page: list[str]) -> DataFrame:
     """page and its text in reading order, one line a row of text. items: page, idx, text, x, y, width, height."""
-    placed = items.join(clustered(items, page), [*page, "idx"])
-    texts = joined_line(placed, [*page, "line"]).join(placed.groupBy(*page, "line").agg(F.first("line_y").alias("y")), [*page, "line"])
+    texts = joined_line(clustered(items, page), [*page, "line", "line_y"]).withColumnRenamed("line_y", "y")
     lines = ordered_lines(columns_of(texts.withColumn("order", F.col("line")), page), page)
     return lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x.text), "\n").alias("text"))

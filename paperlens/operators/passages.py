@@ -6,16 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperlens.functions import text as T
-from paperlens.functions.jsregex import trim
+from paperlens.functions.jsregex import named, trim
 
 PASSAGE = "struct<id:string,paragraphs:array<struct<id:string,order:int,en:string,zh:string,sentences:array<struct<id:string,en:string,zh:string,order:int>>>>>"
 
 
-def named(value: Column, use) -> Column:
-    """use(value) with the value made once: a lambda over one element."""
-    return F.transform(F.array(value), use)[0]
-
-
 def sentence_pairs(en: Column, zh: Column) -> Column:
     """Sentences by position (arrays in, array of structs out); surplus sentences of the second language join the last pair."""
 

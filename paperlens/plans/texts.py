@@ -119,3 +119,21 @@ def q_join_lines(spark: SparkSession, d: str) -> DataFrame:
     from paperlens.operators.grammar import join_lines
 
     return S.documents(spark, d).select("doc_id", join_lines(F.split("text", "\n", -1)).alias("joined"))
+
+
+class HtmlPages:
+    """A stand-in extractor: the articles of an HTML file as pages, without their tags."""
+
+    def pages(self, content: bytes):
+        import re
+
+        for article in re.findall(r"(?s)<article>(.*?)</article>", content.decode()):
+            yield re.sub(r"<[^>]*>", "", article)
+
+
+@query("SELECT page_id AS file_id, CAST(1 AS INTEGER) AS page_number, sha256(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', '', 'g')) AS hash FROM pages WHERE regexp_matches(html, '(?s)<article>.*</article>')")
+def q_page_scan(spark: SparkSession, d: str) -> DataFrame:
+    from paperlens.sources.files import extracted
+
+    files = S.table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.col("html").cast("binary").alias("content"))
+    return extracted(files, HtmlPages()).select("file_id", "page_number", F.sha2("raw_text", 256).alias("hash"))

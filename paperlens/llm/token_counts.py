@@ -33,6 +33,8 @@ BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 60_000
 SALT_STEP = 32
 #: Pre-tokens that go to the library at once.
 AT_ONCE = 20_000
+#: Pairs that a task holds before it sends their sums on.
+FLUSH_PAIRS = 4_000_000
 
 
 def _ranges(kind: str) -> str:
@@ -132,48 +134,46 @@ def pre_token_frequencies(df: DataFrame, tokenizer: str, key: str = "doc_id", te
                 end = first + max(1, int(np.searchsorted(np.cumsum(sizes[first : first + BLOCK_DOCS]), BLOCK_BYTES)))
                 end = min(end, len(texts))
                 parts, pairs, ends = _block(texts[first:end], s)
-                block, n, rows = task | n, n + 1, len(parts) + 1
+                block, n = task | n, n + 1
                 packed = pa.array([], pa.binary())
                 if parts:
                     packed = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((ends * 4).astype("int32")), pa.py_buffer(pairs.tobytes())])
-                none = [None] * len(parts)
+                own = _to_bytes(pa.RecordBatch.from_arrays([keys.slice(first, end - first), pa.array(sizes[first:end])], ["key", "n_bytes"]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([*parts, None], pa.string()),
                         pa.array([*((block * 7 + (block >> 32)) % (1 + np.diff(ends) // SALT_STEP)), block], pa.int64()),
-                        pa.array([block] * rows, pa.int64()),
-                        pa.concat_arrays([packed, pa.array([None], pa.binary())]),
-                        pa.array([*none, keys.slice(first, end - first).to_pylist()], pa.list_(keys.type)),
-                        pa.array([*none, sizes[first:end].tolist()], pa.list_(pa.int64())),
+                        pa.array([block] * (len(parts) + 1), pa.int64()),
+                        pa.concat_arrays([packed, pa.array([own], pa.binary())]),
                     ],
                     names,
                 )
                 first = end
 
-    names = ["part", "salt", "block", "packed", "keys", "n_bytes"]
-    schema = T.StructType(
-        [T.StructField("part", T.StringType()), T.StructField("salt", T.LongType()), T.StructField("block", T.LongType()), T.StructField("packed", T.BinaryType()),
-         T.StructField("keys", T.ArrayType(df.schema[key].dataType)), T.StructField("n_bytes", T.ArrayType(T.LongType()))]
-    )
-    return df.select(key, text).mapInArrow(work, schema)
+    names = ["part", "salt", "block", "packed"]
+    return df.select(key, text).mapInArrow(work, "part string, salt long, block long, packed binary")
 
 
-def _sums(tokenizer: str, key_type: pa.DataType):
+# Keys and sizes of a block travel as bytes: Spark measures list columns anew for every row that it sends to a task.
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _sums(tokenizer: str):
     """Rows sorted by pre-token in; per block the (document, tokens) sums of this task out."""
-    names, lists = ["block", "packed", "keys", "n_bytes"], pa.list_(key_type)
+    names = ["block", "own", "packed"]
 
     def flush(held):
         blocks = []
         for block, parts in held.items():
             pairs, counts = np.concatenate([p for p, _ in parts]), np.repeat([c for _, c in parts], [len(p) for p, _ in parts])
-            docs = (pairs >> 16).astype("int64")
-            total = np.bincount(docs, weights=(pairs & 0xFFFF) * counts).astype("int64")
+            total = np.bincount((pairs >> 16).astype("int64"), weights=(pairs & 0xFFFF) * counts).astype("int64")
             where = np.flatnonzero(total)
             blocks.append((block, np.stack([where, total[where]]).astype("<u4").tobytes()))
-        n = len(blocks)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in blocks], pa.int64()), pa.array([x for _, x in blocks], pa.binary()), pa.nulls(n, lists), pa.nulls(n, pa.list_(pa.int64()))], names
-        )
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int64()), pa.array([False] * len(blocks)), pa.array([x for _, x in blocks], pa.binary())], names)
 
     def work(batches):
         s = splitter(tokenizer)
@@ -182,7 +182,7 @@ def _sums(tokenizer: str, key_type: pa.DataType):
         for batch in batches:
             own = batch.filter(pc.is_null(batch.column(0)))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(1), pa.nulls(own.num_rows, pa.binary()), pa.array(own.column(3).to_pylist(), lists), pa.array(own.column(4).to_pylist(), pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([own.column(1), pa.array([True] * own.num_rows), own.column(2)], names)
             batch = batch.filter(pc.is_valid(batch.column(0)))
             for first in range(0, batch.num_rows, AT_ONCE):
                 rows = batch.slice(first, AT_ONCE)
@@ -195,7 +195,7 @@ def _sums(tokenizer: str, key_type: pa.DataType):
                     size += len(pairs) + 8
                     held.setdefault(block, []).append((pairs, counts[part]))
                 last, last_count = parts[-1], counts[parts[-1]]
-                if size > 4_000_000:
+                if size > FLUSH_PAIRS:
                     yield flush(held)
                     held, size = {}, 0
         if held:
@@ -209,22 +209,19 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 512, key: str = "do
     spark = df.sparkSession
     rows = pre_token_frequencies(df, tokenizer, key, text)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("h", F.xxhash64("part")).repartition(n, "part", "salt").sortWithinPartitions("h").select("part", "block", "packed", "keys", "n_bytes")
-    middle = T.StructType([T.StructField("block", T.LongType()), T.StructField("packed", T.BinaryType()), rows.schema["keys"], rows.schema["n_bytes"]])
+    dealt = rows.repartition(n, "part", "salt").sortWithinPartitions(F.xxhash64("part")).select("part", "block", "packed")
+    sums = dealt.mapInArrow(_sums(tokenizer), "block long, own boolean, packed binary")
     key_type = to_arrow_type(df.schema[key].dataType)
-    sums = dealt.mapInArrow(_sums(tokenizer, key_type), middle)
 
     def finish(group: pa.Table) -> pa.Table:
-        keys = sizes = None
-        for k, b in zip(group.column("keys").to_pylist(), group.column("n_bytes").to_pylist(), strict=True):
-            if k is not None:
-                keys, sizes = k, b
-        total = np.zeros(len(keys), "int64")
-        for packed in group.column("packed").to_pylist():
-            if packed is not None:
+        rows = list(zip(group.column("own").to_pylist(), group.column("packed").to_pylist(), strict=True))
+        block = pa.ipc.open_stream(next(x for own, x in rows if own)).read_all()
+        total = np.zeros(len(block), "int64")
+        for own, packed in rows:
+            if not own:
                 where, counts = np.frombuffer(packed, "<u4").reshape(2, -1)
                 total[where] += counts
-        return pa.table([pa.array(keys, key_type), pa.array(sizes, pa.int64()), pa.array(total)], names=[key, "n_bytes", "n_tokens"])
+        return pa.table([block.column("key").cast(key_type), block.column("n_bytes"), pa.array(total)], names=[key, "n_bytes", "n_tokens"])
 
     schema = T.StructType([df.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return sums.groupBy("block").applyInArrow(finish, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -43,6 +43,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """State that a Python worker keeps from task to task. One at a time: what another operator left there goes, so that the
+    workers of a long job stay as small as those of its largest step."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def ascii_lower(col):
     """Lower-case A-Z alone. lower() does the same on pure ASCII and is much faster there."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

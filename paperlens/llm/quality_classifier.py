@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperlens.llm.common import held
+
 SLOTS = 1 << 18
 #: Bound on the labelled rows that are learnt from.
 MAX_LABELLED = 16_000
@@ -30,7 +32,7 @@ SHARDS = 4
 UPDATES, FEWEST_PASSES, MOST_PASSES = 40_000, 3, 30
 #: FTRL-proximal: learning rate, smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 1e-4, 1e-4
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 300_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 LOWER, CAPITAL, UPPER, MIXED, NUMBER, SAME = range(1, 7)
 
@@ -55,7 +57,6 @@ class _Tokens(dict):
         return n
 
 
-_TOKENS = _Tokens()
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -64,10 +65,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     tokens = TOKEN.findall(text) if text else []
     if not tokens:
         return np.empty(0, "int64"), np.empty(0, "float32")
-    if len(_TOKENS) >= CACHE_TOKENS:
-        _TOKENS.clear()
-    ids = np.fromiter(map(_TOKENS.__getitem__, tokens), "int64", len(tokens))
-    word, shape = _TOKENS.hash[ids], _TOKENS.shape[ids].copy()
+    known = held("tokens", _Tokens)
+    if len(known) >= CACHE_TOKENS:
+        known.clear()
+    ids = np.fromiter(map(known.__getitem__, tokens), "int64", len(tokens))
+    word, shape = known.hash[ids], known.shape[ids].copy()
     shape[1:][ids[1:] == ids[:-1]] = SAME
     found = [word, word[:-1] * _A + word[1:] * _B, shape * _B + _A, (shape[:-1] * _A + shape[1:]) * _B, ((shape[:-2] * _A + shape[1:-1]) * _A + shape[2:]) * _B]
     slots, counts = np.unique((np.concatenate(found) * _A) >> np.uint64(46), return_counts=True)

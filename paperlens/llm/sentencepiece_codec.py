@@ -28,9 +28,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from paperlens.llm.common import held
+
 SPACE = "▁"
 #: Entries that a worker keeps before it starts its cache of chunks, or of pairs, anew.
-CACHE_CHUNKS, CACHE_PAIRS = 1_000_000, 500_000
+CACHE_CHUNKS, CACHE_PAIRS = 500_000, 300_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -247,14 +249,9 @@ class PieceCodec:
         return text[1:] if lead.startswith(SPACE) else text
 
 
-_CODECS: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
     """One codec a worker and model."""
-    if path not in _CODECS:
-        _CODECS[path] = PieceCodec(path)
-    return _CODECS[path]
+    return held(f"codec {path}", lambda: PieceCodec(path))
 
 
 def encode(df: DataFrame, model: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from paperlens.llm.common import held
+
 #: Characters whose classes are the same in every Unicode version that the library could have been built with.
 SAFE_END = 0x250
 BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 60_000
@@ -85,13 +87,8 @@ class PreTokens:
         return np.fromiter((len(x.ids) for x in self.library.encode_batch(parts, add_special_tokens=False)), "int64", len(parts))
 
 
-_SPLITTERS: dict[str, PreTokens] = {}
-
-
 def splitter(path: str) -> PreTokens:
-    if path not in _SPLITTERS:
-        _SPLITTERS[path] = PreTokens(path)
-    return _SPLITTERS[path]
+    return held(f"splitter {path}", lambda: PreTokens(path))
 
 
 class _Numbers(dict):

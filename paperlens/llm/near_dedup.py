@@ -6,10 +6,11 @@
 2. Texts with equal sets collapse to their smallest id. Signatures are cut into bands; the number of bands follows from
    the threshold so that a pair at the threshold is missed with a chance below one in a million.
 3. Within a bucket each member is paired with the bucket's smallest id, never with all others. Links confirmed on full sets
-   join components (alternating large-star and small-star rounds over tables). Where a bucket then still holds several
-   components, members outside its first component meet the others of that bucket; only pairs whose two-bit sketches
-   agree enough (five standard deviations of slack) are built, and they too are confirmed on full sets. So no link is
-   lost and groups of copies stay linear; only members that are alike yet unlinked are compared pair by pair.
+   join components (alternating large-star and small-star rounds over tables). While buckets hold several components, each
+   of them picks a few more hubs by hashes and its members outside a hub's component meet that hub. When few such members
+   are left, or a round links nothing, they meet all others of their buckets; only pairs whose two-bit sketches agree
+   enough (five standard deviations of slack) are built, and all are confirmed on full sets. So no link is lost and groups
+   of copies stay linear; only members that are alike yet unlinked are compared pair by pair.
 
 Texts that are null, empty or without words have an empty set and are linked with nothing; a text of fewer words than a
 shingle is one element. Rows that share an id are one node with the links of each. Rows with a null id are linked with
@@ -29,13 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from paperlens.llm.common import stored
+from paperlens.llm.common import held, stored
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Documents and elements that are signed at once.
 SIGN_DOCS, SIGN_ELEMENTS = 2_000, 1_000_000
 #: Chance that banding or the sketch misses a pair at the threshold.
 MISS, SLACK_DEVIATIONS = 1e-6, 5.0
+#: Further star rounds at most, and pairs a member of a mixed bucket up to which the rest is compared at once.
+#: Hubs that a bucket picks in a round.
+STAR_ROUNDS, FEW_PAIRS, HUBS = 3, 8, 4
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -47,9 +51,6 @@ class _WordHashes(dict):
         return h
 
 
-_WORDS = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,7 +63,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.empty(0, "uint64")
-    h = np.fromiter(map(_WORDS.__getitem__, words), "uint64", len(words))
+    h = np.fromiter(map(held("word hashes", _WordHashes).__getitem__, words), "uint64", len(words))
     size = min(k, len(h))
     out = np.full(len(h) - size + 1, size, "uint64")
     for i in range(size):
@@ -227,9 +228,22 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     links = links.union(owned.join(several, "id", "left_semi").where("id <> owner").select("owner", "id"))
     found = components(links)
 
-    placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last").select("bucket", "first")
-    rest = stored(placed.join(mixed, "bucket"), "mixed")
+    for turn in range(STAR_ROUNDS + 1):
+        # Members of buckets that hold several components; first: the component that most of a bucket's members are likely in.
+        placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last").select("bucket", "first")
+        rest = stored(placed.join(mixed, "bucket"), "mixed")
+        work = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.expr("c <> first")).alias("r")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * r")).alias("pairs")).first()
+        if turn == STAR_ROUNDS or (work.pairs or 0) <= FEW_PAIRS * (work.rows or 0):
+            break
+        picks = F.array(*(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(HUBS * turn + i))) for i in range(HUBS)))
+        hubs = rest.groupBy("bucket").agg(F.array_distinct(picks).alias("hubs")).select("bucket", F.explode_outer("hubs").alias("hub"))
+        stars = rest.join(hubs, "bucket").where("c <> hub.c").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+        stars = stars.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id")).where(alike("x", "y")).select("a", "b")
+        late = stored(confirmed(stored(stars, "stars"), docs, k, percent), "confirmed")
+        if late.isEmpty():
+            break
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
     full = rest.join(sets.select("id", "n", "sketch"), "id")
     a, b = full.where("c <> first").alias("x"), full.alias("y")
     more = a.join(b, (F.col("x.bucket") == F.col("y.bucket")) & F.expr("x.c <> y.c AND (y.c = y.first OR x.id < y.id)") & alike("x", "y"))
@@ -237,7 +251,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     if not more.isEmpty():
         late = stored(confirmed(more, docs, k, percent), "confirmed")
         if not late.isEmpty():
-            found = components(links.union(late))
+            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
 
     groups = owners.join(found.withColumnRenamed("id", "owner"), "owner", "left").select("set_id", F.coalesce("component", "owner").alias("component_id"))
     named = signed.where(node).select("id", "n_shingles", "set_id").join(groups, "set_id").select("id", "n_shingles", "component_id")

@@ -75,7 +75,7 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         hits = at.join(small(own), ["hash", "d", "window"]).select("id", "h1", "h2", "first", F.lit(length).alias("length"), "item_id").distinct()
         found = hits if found is None else found.union(hits)
     if found is None:
-        found = docs.select("id", "h1", "h2").limit(0).crossJoin(items.select("item_id").limit(0)).select("id", "h1", "h2", F.lit(0).alias("first"), F.lit(0).alias("length"), "item_id")
+        found = docs.select("id", "h1", "h2", F.lit(0).alias("first"), F.lit(0).alias("length"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
     return found
 
 

@@ -77,6 +77,55 @@ def test_dice_against_brute_force(spark):
         assert got[i] == (round(dice, 6) if dice >= 0.8 else 0.0)
 
 
+def best_span(text, name):
+    """Best Dice of any run of words against a template, by trying all of them."""
+    import re
+
+    words = [w for w in re.split(S.BREAKS, text.lower()) if w]
+    grams, own, best = [f"{a} {b}" for a, b in zip(words, words[1:])], set(S.template_bigrams()[name]), 0.0
+    for a in range(len(grams)):
+        seen = set()
+        for g in grams[a:]:
+            seen.add(g)
+            best = max(best, 2 * len(seen & own) / (len(seen) + len(own)))
+    return round(best, 6) if best >= 0.8 else 0.0
+
+
+def test_licences_of_several_paragraphs_and_notices_within_lines(spark, tmp_path):
+    import re
+
+    around = " ".join(f"other{i}" for i in range(200))
+    texts = {}
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0-header", "GPL-3.0-header"):
+        paragraphs = re.sub(r"(?<=[.:;]) +(?=[A-Z0-9])", "\n\n", TEMPLATES[name].replace("\n", " "))
+        assert paragraphs.count("\n\n") > 1
+        texts[name] = f"{around}\n\n{paragraphs}\n\n{around}"
+    rows = [(i, t) for i, t in enumerate(texts.values())]
+    notice = TEMPLATES["MIT-notice"]
+    rows += [(10, f"{around} Copyright 2020 Jane Doe. {notice} {around}"), (11, f"{around} {notice} {around} {notice} {notice} {around}"), (12, f"{around}\nReleased under\nthe MIT\nLicense.\n{around}"), (13, around)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    for i, (name, text) in enumerate(texts.items()):
+        assert name in got[i].licenses.split(",") and got[i].best_dice >= best_span(text, name) >= 0.99, got[i]
+    assert [(got[i].licenses, got[i].n_matches, got[i].best_dice) for i in (10, 11, 12, 13)] == [("MIT-notice", 1, 1.0), ("MIT-notice", 3, 1.0), ("MIT-notice", 1, 1.0), (None, 0, 0.0)]
+
+
+def test_spans_against_brute_force(spark):
+    import random
+
+    random.seed(3)
+    name, texts = "BSD-3-Clause-notice", []
+    words = TEMPLATES[name].split()
+    for i in range(60):
+        w = list(words)
+        for _ in range(i // 6):
+            k = random.randrange(len(w))
+            w[k : k + random.randint(0, 1)] = random.choice([[f"z{random.random()}"], w[:2], [w[k]], [w[k], "x"]])
+        texts.append(" ".join([*random.choices(["a", "that", "can", "be", "z"], k=20), *w, *random.choices(words, k=20)]))
+    got = {r.id: r.best for r in S.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {name: TEMPLATES[name]}).collect()}
+    assert {i: round(b, 6) for i, b in got.items()} == {i: best_span(t, name) for i, t in enumerate(texts) if best_span(t, name)} and 0 < len(got) < 60
+
+
 def test_ledger_runs_without_python(spark):
     frame = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
     for out in (Q.judged(frame), S.scan(frame)):

@@ -3,6 +3,9 @@
 A URL becomes a set of tokens: the host, its labels and their hyphen-free parts, path segments that hold no digit, file
 endings and query keys. Labelled URLs with their class as one more token go through Spark's FP-growth; rules that conclude
 "block" and reach the least support, confidence and lift remain, and of these the ones that no shorter rule implies.
+Mining takes all tokens of a URL. Tokens below the least support are in no rule and go first; of tokens that the same labelled
+URLs hold, one stands for all while mining, since no such two are in a rule that no shorter one implies, and its rules are
+then written out for each of them.
 Matching uses an inverted index: each rule is listed under its rarest token alone, a URL meets the rules listed under its
 tokens, and a rule fires if the URL holds all of its tokens. A URL with a fired rule is blocked, any other allowed.
 
@@ -12,6 +15,8 @@ one row each. Without labelled URLs no rule is mined. Clashing columns are not c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +27,6 @@ from paperlens.llm.common import ascii_lower, stored
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Least share of labelled URLs that a combination must hold, least share of blocked ones among them, and least lift.
 SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.2
-#: Tokens of one URL that mining looks at: beyond, combinations would multiply. Matching looks at all.
-MINED_TOKENS = 16
 BROADCAST_RULES = 10_000
 BLOCK = "class=block"
 
@@ -60,17 +63,30 @@ def tokens(url: str = "url", host: str = "host", path: str = "path") -> Column:
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """Rules (rule long, antecedent, size, rarest, confidence, lift, support). labelled: tokens array, blocked boolean."""
-    sets = labelled.select(F.concat(F.slice("tokens", 1, MINED_TOKENS), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    rows = stored(labelled.select(F.monotonically_increasing_id().alias("n"), "tokens", "blocked"), "labelled")
+    listed = rows.select("n", "blocked", F.explode_outer("tokens").alias("token"))
+    held = listed.where("token IS NOT NULL").groupBy("token").agg(
+        F.count("*").alias("freq"), F.sum(F.xxhash64("n").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "n")).alias("s2")
+    )
+    singles = stored(held.where(F.col("freq") >= F.lit(math.ceil(support * rows.count()))), "tokens")
+    alike = stored(singles.groupBy("freq", "s1", "s2").agg(F.min("token").alias("first"), F.array_sort(F.collect_list("token")).alias("members")), "alike")
+    stands = alike.select(F.col("first").alias("token"))
+    stands = F.broadcast(stands) if alike.count() <= BROADCAST_RULES else stands
+    kept = listed.join(stands.withColumn("item", F.col("token")), "token", "left").groupBy("n").agg(F.collect_list("item").alias("items"), F.first("blocked").alias("blocked"))
+    sets = kept.select(F.concat("items", F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets)
-    singles = stored(model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq"), "tokens")
     found = model.associationRules.where(F.array_contains("consequent", BLOCK)).where(F.col("lift") >= lift)
+    found = stored(found.select(F.monotonically_increasing_id().alias("n"), "antecedent", "confidence", "lift", "support"), "found")
+    choices = found.select("n", F.explode("antecedent").alias("first")).join(alike.select("first", "members"), "first").groupBy("n").agg(F.collect_list("members").alias("choices"))
+    every = "aggregate(choices, array(cast(array() AS array<string>)), (all, c) -> flatten(transform(all, p -> transform(c, m -> concat(p, array(m))))))"
+    found = found.drop("antecedent").join(choices, "n").select("confidence", "lift", "support", F.explode(F.expr(every)).alias("antecedent"))
     rules = stored(found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.array_sort("antecedent").alias("antecedent"), F.size("antecedent").alias("size"), "confidence", "lift", "support"), "rules")
     # A rule is implied by a shorter one: leave one token out and look for the rest; applied to all lengths, chains fall too.
     shorter = rules.select("rule", F.explode(F.expr("transform(sequence(0, size - 1), i -> xxhash64(filter(antecedent, (x, k) -> k <> i)))")).alias("part")).join(
         rules.select(F.col("rule").alias("part")), "part", "left_semi"
     )
     least = rules.join(shorter.select("rule").distinct(), "rule", "left_anti")
-    rarest = least.select("rule", F.explode("antecedent").alias("token")).join(singles, "token").groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
+    rarest = least.select("rule", F.explode("antecedent").alias("token")).join(singles.select("token", "freq"), "token").groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
     return least.join(rarest, "rule")
 
 

@@ -56,3 +56,22 @@ def test_inverted_index(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert U.judged(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_rules_on_the_last_of_thirty_tokens(spark):
+    random.seed(4)
+    path, keys = "/".join(f"part{'abcdefghijkl'[i]}" for i in range(12)), "&".join(f"{c}=1" for c in "klmno")
+    rows = [(i, f"https://www.a-b.example.co.uk/{path}/{i}.html?{keys}&{random.choice(['utm', 'page'])}=1") for i in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = U.host_and_path(U.F.col("url"))
+    n = frame.select(host.alias("host"), path.alias("path"), "url").select(U.F.size(U.tokens()).alias("n")).first().n
+    assert n >= 30
+    labels = spark.createDataFrame([(i, int("utm=" not in u), 0) for i, u in rows if i % 2], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in U.judged(frame, labels, rules=()).collect()}
+    assert all((got[i] == "block") == ("utm=" in u) for i, u in rows)
+
+
+def test_tokens_that_go_together_keep_their_own_rules(spark):
+    rows = [(["a", "b", "x"], True)] * 30 + [(["c", "x"], False)] * 60 + [(["a", "b", "c"], True)] * 10 + [([], False)] * 5 + [(["rare"], True)]
+    rules = U.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), support=0.05)
+    assert sorted((tuple(r.antecedent), r.size, r.rarest) for r in rules.collect()) == [(("a",), 1, "a"), (("b",), 1, "b")]

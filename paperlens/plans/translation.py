@@ -144,3 +144,13 @@ def q_translate_run(spark: SparkSession, d: str) -> DataFrame:
     return O.translated(batches, Reverser(), "doc_id", "text").select("doc_id", F.sha2("translation", 256).alias("translation_hash"))
 
 
+@query(f"WITH {_B} SELECT doc_id, b.style, translation IS NOT NULL AS cached, sha256(coalesce(translation, reverse(text))) AS translation_hash FROM f JOIN b USING (doc_id) WHERE block_type <> 'heading' AND length(trim(text)) >= 2")
+def q_translate_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run: blocks that are translated meet the cache, misses of both styles are packed and sent."""
+    blocks = _blocks(spark, d)
+    rows = O.lookup(blocks.where(O.translatable(F.col("block_type"), F.col("text"))), _cache(blocks), ["doc_id", "source", "text"])
+    misses = rows.where("translation IS NULL").select("style", "doc_id", "text", F.concat_ws("|", "style", "source").alias("route"), F.char_length("text").alias("n"))
+    batches = O.packed(misses, "route", ["doc_id"], "n").withColumn("batch", F.xxhash64("route", "batch"))
+    new = O.translated(batches, Reverser(), "doc_id", "text").join(misses.select("doc_id", "style"), "doc_id").select("doc_id", "style", F.lit(False).alias("cached"), "translation")
+    both = rows.where("translation IS NOT NULL").select("doc_id", "style", F.lit(True).alias("cached"), "translation").unionByName(new)
+    return both.select("doc_id", "style", "cached", F.sha2("translation", 256).alias("translation_hash"))

@@ -4,23 +4,28 @@
    signature's slots and offers, in round j, the value j + random to slot p(j): the ranks of one element are correlated,
    which lowers the variance, and once every slot has a value of an earlier round the document is done (early stopping).
 2. Texts with equal sets collapse to their smallest id. Signatures are cut into bands; the number of bands follows from
-   the threshold so that a pair at the threshold is missed with a chance below one in a million.
-3. Within a bucket each member is paired with the bucket's smallest id, never with all others. Links confirmed on full sets
-   join components (alternating large-star and small-star rounds over tables). While buckets hold several components, each
-   of them picks a few more hubs by hashes and its members outside a hub's component meet that hub. When few such members
-   are left, or a round links nothing, they meet all others of their buckets; only pairs whose two-bit sketches agree
-   enough (five standard deviations of slack) are built, and all are confirmed on full sets. So no link is lost and groups
-   of copies stay linear; only members that are alike yet unlinked are compared pair by pair.
+   the threshold so that a pair at the threshold is missed with a chance below one in a million. A bucket's hub is its
+   smallest id, and all buckets of one hub are one group: a group holds every pair of its buckets.
+3. Star rounds: each member is held against one hub, that whose two-bit sketch agrees best (five standard deviations of
+   slack), on full sets; in the next round, members outside their hub's component against one more hub of their groups.
+   That is one pair a document and round, however large a group is. Confirmed links join components (alternating
+   large-star and small-star rounds over tables).
+4. Groups that still hold several components are compared as a whole, on full sets: groups are dealt out in blocks of
+   bounded size, and a task holds two blocks against each other, element by element in one array operation a document. It
+   compares only members of different components and returns links that join two, fewer than it has rows: no pairs are
+   listed. Groups that share many members meet as one, where that makes fewer comparisons.
 
 Texts that are null, empty or without words have an empty set and are linked with nothing; a text of fewer words than a
-shingle is one element. Rows that share an id are one node with the links of each. Rows with a null id are linked with
-nothing, get a null component and are kept. Clashing columns of the input are not carried over.
+shingle is one element. Texts of any length are taken whole. Rows that share an id are one node with the links of each. Rows
+with a null id are linked with nothing, get a null component and are kept. Clashing columns of the input are not carried over.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +34,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from paperlens.llm.common import held, stored
+from paperlens.llm.common import discard, held, stored
 
-CACHE_WORDS = 300_000
+#: Cached words, and the longest word that is cached, in bytes.
+CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
 #: Documents and elements that are signed at once.
 SIGN_DOCS, SIGN_ELEMENTS = 2_000, 1_000_000
-#: Chance that banding or the sketch misses a pair at the threshold.
+#: Chance that banding misses a pair at the threshold; slack of the sketch in standard deviations.
 MISS, SLACK_DEVIATIONS = 1e-6, 5.0
-#: Further star rounds at most, and pairs a member of a mixed bucket up to which the rest is compared at once.
-#: Hubs that a bucket picks in a round.
-STAR_ROUNDS, FEW_PAIRS, HUBS = 3, 8, 4
+#: Rounds in which each member meets one hub.
+STAR_ROUNDS = 2
+#: Documents that meet one copy of a hub, and documents and elements of a block.
+HUB_DOCS, BLOCK_DOCS, BLOCK_ELEMENTS = 2_000, 1_000, 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_WORD_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -72,7 +82,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def superminhash(elements: np.ndarray, docs: np.ndarray, n_docs: int, m: int) -> np.ndarray:
-    """Signatures (n_docs x m, uint64: the round in the top 8 bits, the random part below) of documents given as flat elements."""
+    """Signatures (n_docs x m, uint64: the round in the top 16 bits, the random part below) of documents given as flat elements."""
     sig = np.full(n_docs * m, EMPTY)
     e, d = elements, docs.astype("int64")
     swaps: list[np.ndarray] = []
@@ -82,7 +92,7 @@ def superminhash(elements: np.ndarray, docs: np.ndarray, n_docs: int, m: int) ->
         slot = swap.copy()
         for i in range(j - 1, -1, -1):  # follow the earlier swaps of the Fisher-Yates shuffle back
             np.copyto(slot, np.int16(i), where=slot == swaps[i])
-        value = np.uint64(j << 56) | (_mix(rnd ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(8))
+        value = np.uint64(j << 48) | (_mix(rnd ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(16))
         np.minimum.at(sig, d * m + slot, value)
         swaps.append(swap)
         open_ = (sig.reshape(n_docs, m) == EMPTY).any(axis=1)
@@ -98,7 +108,7 @@ def plan_bands(percent: int) -> tuple[int, int]:
     """Rows a band and bands for a threshold in percent."""
     t = percent / 100
     rows = 6 if t >= 0.85 else 5 if t >= 0.75 else 4 if t >= 0.65 else 3
-    return rows, math.ceil(math.log(MISS) / math.log(1 - t**rows))
+    return rows, math.ceil(math.log(MISS) / math.log(1 - t**rows)) if t < 1 else 1
 
 
 def signatures(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,31 +164,117 @@ def signatures(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: s
     return df.select(key, text).mapInArrow(work, schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets reach the threshold. docs: id, text; ids can repeat."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dedup-ids")
-    texts = stored(docs.join(ids, "id", "left_semi"), "dedup-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    id_type = to_arrow_type(pairs.schema["a"].dataType)
+def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """id, n, elements (the full set as 8-byte numbers) of docs: id, text."""
 
     def work(batches):
-        hub, hub_set = None, None
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "elements"])
+
+    return docs.select("id", "text").mapInArrow(work, T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("elements", T.BinaryType())]))
+
+
+def similar(common, a, b, percent: int):
+    return 100 * common >= percent * (a + b - common)
+
+
+def confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, hub), as links (a, b), those whose full sets reach the threshold. A hub is sent once for every HUB_DOCS
+    of its pairs, not with each of them. sets: id, n, elements; ids can repeat."""
+    copies = stars.groupBy("hub").agg(F.ceil(F.count("*") / HUB_DOCS).cast("int").alias("copies"))
+    spread = stars.join(copies, "hub").select("hub", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"), "a")
+    members = spread.join(sets.select(F.col("id").alias("a"), "elements"), "a").select("hub", "copy", F.lit(1).alias("part"), "a", "elements")
+    hubs = copies.join(sets.select(F.col("id").alias("hub"), "elements"), "hub").select(
+        "hub", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), F.lit(0).alias("part"), F.col("hub").alias("a"), "elements"
+    )
+    kind = stars.schema["a"].dataType
+
+    def work(batches):
+        at, hub_sets = None, []
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if y != hub:
-                    hub, hub_set = y, shingle_set(y, k)
-                own = shingle_set(x, k)
-                common = len(np.intersect1d(own, hub_set, assume_unique=True))
-                keep.append(100 * common >= percent * (len(own) + len(hub_set) - common) > 0)
+            for hub, copy, part, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                own = np.frombuffer(raw, "<u8")
+                if (hub, copy) != at:
+                    at, hub_sets = (hub, copy), []
+                if part == 0:
+                    hub_sets.append(own)
+                keep.append(part == 1 and any(similar(len(np.intersect1d(own, h, assume_unique=True)), len(own), len(h), percent) for h in hub_sets))
             found = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([found.column(0).cast(id_type), found.column(1).cast(id_type)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([found.column(3).cast(to_arrow_type(kind)), found.column(0).cast(to_arrow_type(kind))], ["a", "b"])
+
+    rows = members.unionByName(hubs).repartition("hub", "copy").sortWithinPartitions("hub", "copy", "part")
+    return rows.mapInArrow(work, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _runs(batches, keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows whose first columns are equal; rows come sorted by them."""
+    parts, last = [], None
+    for batch in batches:
+        marks, first = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True)), 0
+        for i, mark in enumerate(marks):
+            if mark != last:
+                if i > first:
+                    parts.append(batch.slice(first, i - first))
+                if parts:
+                    yield pa.Table.from_batches(parts)
+                parts, first, last = [], i, mark
+        if len(marks) > first:
+            parts.append(batch.slice(first))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def joining_links(ids: list, components_: list, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple]:
+    """Links between members of different components that join these; sides: 0 and 1 for two blocks, else one block with itself."""
+    number = {c: i for i, c in enumerate(dict.fromkeys(components_))}
+    label = np.array([number[c] for c in components_])
+    size = np.array([len(s) for s in sets])
+    dense = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1].ravel(), np.cumsum(size)[:-1])
+    mark = np.zeros(max(int(d.max()) for d in dense) + 1, "int32")
+    one = not sides.any()
+    left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
+    if not len(left) or not len(right):
+        return
+    flat, starts = np.concatenate([dense[y] for y in right]), np.concatenate([[0], np.cumsum(size[right])[:-1]])
+    for x in left:
+        open_ = (label[right] != label[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))
+        if one:
+            open_ &= right > x
+        at = np.flatnonzero(open_)
+        if not len(at):
+            continue
+        mark[dense[x]] = 1
+        common = np.array([mark[dense[y]].sum() for y in right[at]]) if len(at) < 40 else np.add.reduceat(mark[flat], starts)[at]
+        mark[dense[x]] = 0
+        for y in right[at[similar(common, size[x], size[right[at]], percent)]]:
+            if label[y] != label[x]:
+                yield ids[x], ids[y]
+                label[label == label[y]] = label[x]
+
+
+def linked_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components within groups: meet (the group), id, c (component). sets: id, n, elements."""
+    sized = groups.join(sets.select(F.col("id").alias("own"), "n"), F.col("id") == F.col("own")).groupBy("meet").agg(F.count("*").alias("docs"), F.sum("n").alias("elements"))
+    blocks = sized.select("meet", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "meet").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.select("meet", F.col("id").alias("dealt"), "c", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("meet", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.expr("int(block > other)").alias("side"), "c", "dealt")
+    rows = dealt.join(sets.select("id", "elements"), F.col("dealt") == F.col("id")).select("meet", "p", "q", "side", "c", "dealt", "elements")
+    kind = groups.schema["id"].dataType
+
+    def work(batches):
+        for table in _runs(batches, 3):
+            found = list(joining_links(table.column(5).to_pylist(), table.column(4).to_pylist(), np.array(table.column(3).to_pylist()), [np.frombuffer(s, "<u8") for s in table.column(6).to_pylist()], percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, to_arrow_type(kind)) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, T.StructType([T.StructField("a", pairs.schema["a"].dataType), T.StructField("b", pairs.schema["b"].dataType)]))
+    return rows.repartition("meet", "p", "q").sortWithinPartitions("meet", "p", "q").mapInArrow(work, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (the smallest reachable id) of all ids in the links (a, b): large-star and small-star rounds until nothing changes."""
+    """id, component (the smallest reachable id) of all ids in the links (a, b) that are not their own: large-star and small-star rounds until nothing changes."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:
@@ -187,71 +283,77 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), "links")
+        old, edges = edges, stored(small.where("u <> v").distinct(), "links")
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return edges.withColumnsRenamed({"u": "id", "v": "component"})
         before = state
 
 
+def _mixed(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """hub, id, c of the members of groups that hold several components, and main: the component of the hub."""
+    placed = groups.join(found.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left").select("hub", "id", F.coalesce("component", "id").alias("c"))
+    several = placed.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.expr("CASE WHEN id = hub THEN c END")).alias("main")).where("low <> high")
+    return stored(placed.join(several.select("hub", "main"), "hub"), "mixed")
+
+
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept of each row; component_id is the smallest id of its group, the one that is kept."""
     signed = stored(signatures(df, k, percent, key, text).withColumnRenamed(key, "id"), "signatures")
     node = F.col("set_id").isNotNull() & F.col("id").isNotNull()
-    owners = signed.where(node).groupBy("set_id").agg(F.min("id").alias("owner"))
-    owners = stored(owners, "owners")
+    owners = stored(signed.where(node).groupBy("set_id").agg(F.min("id").alias("owner")), "owners")
     # One row a distinct set. The owner's row is found by its id; repeated rows of one id and set collapse.
     sets = signed.where(node).join(owners, "set_id").where("id = owner").groupBy("id", "set_id").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     sets = stored(sets.drop("set_id"), "sets")
-    spread = sets.select(F.explode("bands").alias("bucket"), "id")
-    buckets = spread.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    members = stored(spread.join(buckets.select("bucket", "least"), "bucket"), "members")
-    m = math.prod(plan_bands(percent))
-    t = percent / 100
+    m, t = math.prod(plan_bands(percent)), percent / 100
     off = (1 - t) * 0.75  # chance that a slot's two bits differ at the threshold
     most_off = math.ceil(m * off + SLACK_DEVIATIONS * math.sqrt(m * off * (1 - off)))
+    bits = [f"(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(math.ceil(m / 32))]
+    differing = F.expr(" + ".join(f"bit_count(({b} | shiftrightunsigned({b}, 1)) & 6148914691236517205L)" for b in bits))
+    x, y = sets.select("id", "n", "sketch").alias("x"), sets.select("id", "n", "sketch").alias("y")
 
-    def alike(x: str, y: str):
-        """Bounds on set sizes and on sketches, as SQL."""
-        bits = [f"shiftrightunsigned({x}.sketch[{i}] ^ {y}.sketch[{i}], 0)" for i in range(math.ceil(m / 32))]
-        differ = " + ".join(f"bit_count(({b} | shiftrightunsigned({b}, 1)) & 6148914691236517205L)" for b in bits)
-        return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {differ} <= {most_off}")
-
+    def weighed(stars: DataFrame) -> DataFrame:
+        """a, hub, off (differing slots of the sketches), fits (sizes and sketches allow the threshold); a and hub once each."""
+        both = stars.join(x, F.expr("a = x.id")).join(y, F.expr("hub = y.id")).select("a", "hub", differing.alias("off"), F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").alias("sized"))
+        return both.groupBy("a", "hub").agg(F.min("off").alias("off"), F.max(F.expr(f"sized AND off <= {most_off}")).alias("fits"))
+
+    spread = sets.select(F.explode("bands").alias("bucket"), F.col("id").alias("a"))
+    shared = spread.groupBy("bucket").agg(F.min("a").alias("hub"), F.max("a").alias("most")).where("hub <> most").select("bucket", "hub")
+    stars = weighed(spread.join(shared, "bucket").where("a <> hub").select("a", "hub").distinct())
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("fits"), "off", "hub")) == 1
+    stars = stored(stars.withColumn("best", best & F.col("fits")), "stars")
+    # A group of a hub and one member is settled once their sketches or their full sets have been compared.
+    groups = stars.groupBy("hub").agg(F.count("*").alias("others"), F.bool_and(F.expr("best OR NOT fits")).alias("settled")).where("others > 1 OR NOT settled").select("hub")
+    groups = stars.select("hub", F.col("a").alias("id")).join(groups, "hub").union(groups.select("hub", F.col("hub").alias("id")))
+    groups = stored(groups, "groups")
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    stars = members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    x, y = sets.select("id", "n", "sketch").alias("x"), sets.select("id", "n", "sketch").alias("y")
-    stars = stars.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id")).where(alike("x", "y")).select("a", "b")
-    links = stored(confirmed(stored(stars, "stars"), docs, k, percent), "confirmed")
+    needed = stars.where("best").select(F.explode(F.array("a", "hub")).alias("id")).union(groups.select("id")).distinct()
+    full = stored(full_sets(docs.join(needed, "id", "left_semi"), k), "full-sets")
+    links = stored(confirmed(stars.where("best").select("a", "hub"), full, percent), "confirmed")
     # Ids with several sets tie the owners of these together.
     owned = signed.where(node).select("id", "set_id").join(owners, "set_id").select("id", "owner").distinct()
     several = owned.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     links = links.union(owned.join(several, "id", "left_semi").where("id <> owner").select("owner", "id"))
     found = components(links)
-
-    for turn in range(STAR_ROUNDS + 1):
-        # Members of buckets that hold several components; first: the component that most of a bucket's members are likely in.
-        placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last").select("bucket", "first")
-        rest = stored(placed.join(mixed, "bucket"), "mixed")
-        work = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.expr("c <> first")).alias("r")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * r")).alias("pairs")).first()
-        if turn == STAR_ROUNDS or (work.pairs or 0) <= FEW_PAIRS * (work.rows or 0):
-            break
-        picks = F.array(*(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(HUBS * turn + i))) for i in range(HUBS)))
-        hubs = rest.groupBy("bucket").agg(F.array_distinct(picks).alias("hubs")).select("bucket", F.explode_outer("hubs").alias("hub"))
-        stars = rest.join(hubs, "bucket").where("c <> hub.c").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
-        stars = stars.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id")).where(alike("x", "y")).select("a", "b")
-        late = stored(confirmed(stored(stars, "stars"), docs, k, percent), "confirmed")
-        if late.isEmpty():
-            break
+    mixed = _mixed(groups, found)
+    for turn in range(1, STAR_ROUNDS):
+        # Of the members outside the component of their group's hub, one becomes a further hub; the others meet one of these.
+        outside = mixed.where("c <> main")
+        hubs = outside.groupBy("hub").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("next"))
+        more = outside.join(hubs, "hub").where("c <> next.c").groupBy("id").agg(F.min("next.id").alias("next")).select(F.col("id").alias("a"), F.col("next").alias("hub"))
+        late = stored(confirmed(stored(weighed(more).where("fits").select("a", "hub"), "stars"), full, percent), "confirmed")
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
-    full = rest.join(sets.select("id", "n", "sketch"), "id")
-    a, b = full.where("c <> first").alias("x"), full.alias("y")
-    more = a.join(b, (F.col("x.bucket") == F.col("y.bucket")) & F.expr("x.c <> y.c AND (y.c = y.first OR x.id < y.id)") & alike("x", "y"))
-    more = stored(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "more")
-    if not more.isEmpty():
-        late = stored(confirmed(more, docs, k, percent), "confirmed")
-        if not late.isEmpty():
-            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
+        mixed = _mixed(groups, found)
+    # Groups that share members form a cluster. A cluster meets as one where that takes no more comparisons than its groups one by one.
+    clusters = components(mixed.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    sizes = mixed.groupBy("hub").agg(F.count("*").alias("n")).join(clusters.select(F.col("id").alias("hub"), "component"), "hub", "left").select("hub", F.expr("n * n").alias("pairs"), F.coalesce("component", "hub").alias("cluster"))
+    whole = clusters.groupBy(F.col("component").alias("cluster")).agg((F.count("*") + 1).alias("all"))
+    fewer = sizes.groupBy("cluster").agg(F.sum("pairs").alias("pairs")).join(whole, "cluster").where("all * all <= pairs").select("cluster", F.lit(True).alias("whole"))
+    meets = sizes.join(fewer, "cluster", "left").select("hub", F.expr("CASE WHEN whole THEN cluster ELSE hub END").alias("meet"))
+    meeting = stored(mixed.join(meets, "hub").select("meet", "id", "c").distinct(), "meeting")
+    late = stored(linked_within(meeting, full, percent), "joining")
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
 
     groups = owners.join(found.withColumnRenamed("id", "owner"), "owner", "left").select("set_id", F.coalesce("component", "owner").alias("component_id"))
     named = signed.where(node).select("id", "n_shingles", "set_id").join(groups, "set_id").select("id", "n_shingles", "component_id")

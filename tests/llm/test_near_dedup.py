@@ -67,7 +67,7 @@ def test_signature_estimates_similarity():
 
 def test_every_slot_is_filled_for_small_sets():
     sig = N.superminhash(np.array([5, 9], "uint64"), np.array([0, 1]), 2, 64)
-    assert (sig != N.EMPTY).all() and len(set(sig[0] >> np.uint64(56))) == 64
+    assert (sig != N.EMPTY).all() and len(set(sig[0] >> np.uint64(48))) == 64
 
 
 def test_components(spark):

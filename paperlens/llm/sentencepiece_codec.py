@@ -7,8 +7,9 @@ failed positions, so that none is tried twice. A sequence whose neighbours are a
 score yields.
 
 No piece of such a vocabulary holds the space sign after another character, and some characters (line ends among them)
-occur in no piece, so a text falls apart into chunks that never merge across their borders. Workers keep a bounded cache
-of chunk -> ids; cost per document is then mostly one dictionary lookup a word.
+occur in no piece, so a text falls apart into chunks that never merge across their borders. Workers keep a cache of
+chunk -> ids, bounded in entries and in the length of a chunk; cost per document is then mostly one dictionary lookup a word.
+Texts of any length are encoded whole, also those without a space.
 
 Null and empty text: begin and end ids only, decoded as the empty string. Repeated rows and repeated ids give one row
 each. Columns of the input that clash with result columns are not carried over.
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 from paperlens.llm.common import held
 
 SPACE = "▁"
-#: Entries that a worker keeps before it starts its cache of chunks, or of pairs, anew.
-CACHE_CHUNKS, CACHE_PAIRS = 500_000, 300_000
+#: Entries that a worker keeps before it starts its cache of chunks, or of pairs, anew; longer chunks are not cached.
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 500_000, 300_000, 48
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -49,10 +50,12 @@ class _Chunks(dict):
         self.codec = codec
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
         ids = self.codec.encode_chunk(chunk)
-        self[chunk] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = out
         return out
 
 
@@ -176,7 +179,7 @@ class PieceCodec:
         longest = [-1] * n
         for end, (i, size) in self.automaton.iter(chunk):
             longest[end - size + 1] = i  # ends come in order: the last one is the longest
-        failed = bytearray(n + 1)
+        failed = bytearray((n >> 3) + 1)  # a bit a position
         taken = []
         shorter = self.shorter
         at = 0
@@ -186,7 +189,7 @@ class PieceCodec:
                 piece = longest[at] = self.single(chunk[at])
             while True:
                 end = at + length[piece]
-                if not failed[end]:
+                if not failed[end >> 3] & 1 << (end & 7):
                     if not taken:
                         break
                     fits = pairs.get((taken[-1], piece))
@@ -196,7 +199,7 @@ class PieceCodec:
                         break
                 piece = shorter[piece]
                 while piece < 0:  # no prefix is left: take the last piece back and try what is shorter
-                    failed[at] = 1
+                    failed[at >> 3] |= 1 << (at & 7)
                     last = taken.pop()
                     at -= length[last]
                     piece = shorter[last]

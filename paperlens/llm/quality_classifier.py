@@ -3,12 +3,15 @@
 Tokens are runs of word characters or of signs. Features are token unigrams and bigrams, and one- to three-grams of token
 shapes (lower case, capitalised, upper case, mixed, number, the sign, or "same as the token before"), hashed into a fixed
 number of slots; values are log counts scaled to unit length. Training takes a bounded sample of labelled rows, by hash of
-the id, in a fixed number of shards; each shard runs per-coordinate FTRL-proximal over its rows and the models are
-averaged. Scoring is one sparse dot product a document in tasks that hold the weights, whose size is fixed.
-
-Null and empty texts have no features: their score is that of the bias. Labels are joined by id alone; null labels are
-ignored and of contradicting labels the lower counts. Without any labelled row every score is 0.5. Repeated rows are
-scored one by one; rows with a null id are scored and never learnt from. Clashing columns are not carried over.
+the id, in a fixed number of shards, as features, not as texts; each shard passes a fixed number of times over its rows with
+per-coordinate FTRL-proximal and the models are averaged. Scoring is one sparse dot product a document in tasks that hold
+the weights, whose size is fixed.
+
+Null and empty texts have no features: their score is that of the bias. Texts of any length are taken whole. Labels are
+joined by id alone; null labels are ignored and of contradicting labels the lower counts. Of several texts with one id the
+one with the smallest hash is learnt from. Without any labelled row every score is 0.5. Repeated rows are scored one by one;
+rows with a null id are scored and never learnt from. quality() carries no other columns over, accepted() all of them unchanged.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ SLOTS = 1 << 18
 #: Bound on the labelled rows that are learnt from.
 MAX_LABELLED = 16_000
 SHARDS = 4
-#: A shard passes over its rows until it has made about so many updates, but within these numbers of passes.
-UPDATES, FEWEST_PASSES, MOST_PASSES = 40_000, 3, 30
+#: Passes of a shard over its rows.
+PASSES = 10
 #: FTRL-proximal: learning rate, smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 1e-4, 1e-4
-CACHE_TOKENS = 300_000
+#: Tokens and characters that a worker keeps before it starts its table anew.
+CACHE_TOKENS, CACHE_CHARS = 300_000, 16_000_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 LOWER, CAPITAL, UPPER, MIXED, NUMBER, SAME = range(1, 7)
 
@@ -42,15 +46,17 @@ class _Tokens(dict):
 
     def __init__(self):
         super().__init__()
+        self.chars = 0
         self.hash, self.shape = np.zeros(CACHE_TOKENS + 1, "uint64"), np.zeros(CACHE_TOKENS + 1, "uint64")
 
     def __missing__(self, token: str) -> int:
         n = len(self)
         self[token] = n
+        self.chars += len(token)
         if token[0].isalnum() or token[0] == "_":
             kind = NUMBER if token.isdigit() else LOWER if token.islower() else UPPER if token.isupper() and len(token) > 1 else CAPITAL if token.istitle() else MIXED
         else:
-            kind = 16 + xxhash.xxh32_intdigest(token[:3])
+            kind = 16 + xxhash.xxh32_intdigest(token)
         if n >= len(self.hash):
             self.hash, self.shape = np.concatenate([self.hash, np.zeros_like(self.hash)]), np.concatenate([self.shape, np.zeros_like(self.shape)])
         self.hash[n], self.shape[n] = xxhash.xxh3_64_intdigest(token.lower()), kind
@@ -66,8 +72,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not tokens:
         return np.empty(0, "int64"), np.empty(0, "float32")
     known = held("tokens", _Tokens)
-    if len(known) >= CACHE_TOKENS:
+    if len(known) >= CACHE_TOKENS or known.chars >= CACHE_CHARS:
         known.clear()
+        known.chars = 0
     ids = np.fromiter(map(known.__getitem__, tokens), "int64", len(tokens))
     word, shape = known.hash[ids], known.shape[ids].copy()
     shape[1:][ids[1:] == ids[:-1]] = SAME
@@ -104,28 +111,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     """Weights (SLOTS + 1) learnt from at most `limit` labelled ids, those with the smallest hashes of the id."""
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"))
     chosen = own.orderBy(F.xxhash64(key), key).limit(limit)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min(text).alias("t"))
-    shards = rows.select(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(SHARDS)).alias("shard"), F.xxhash64(key).alias("at"), "y", "t")
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(F.xxhash64(key).alias("at"), F.xxhash64(text).alias("h"), "y", F.col(text).alias("t"))
+
+    def featured(batches):
+        for batch in batches:
+            found = [features(t) for t in batch.column(3).to_pylist()]
+            packed = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (zip(*found, strict=True) if found else ([], []))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *packed], ["at", "h", "y", "slots", "values"])
+
+    rows = rows.mapInArrow(featured, "at long, h long, y int, slots binary, values binary")
+    rows = rows.groupBy("at", "y").agg(F.min_by(F.struct("slots", "values"), "h").alias("x")).select(F.pmod("at", F.lit(SHARDS)).alias("shard"), "at", "y", "x.slots", "x.values")
 
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by("at")
-        data = [(*features(t), y) for t, y in zip(group.column("t").to_pylist(), group.column("y").to_pylist(), strict=True)]
+        data = [(np.frombuffer(s, "int64"), np.frombuffer(v, "float32"), y) for s, v, y in zip(*(group.column(c).to_pylist() for c in ("slots", "values", "y")), strict=True)]
         model = Ftrl()
-        for _ in range(min(MOST_PASSES, max(FEWEST_PASSES, -(-UPDATES // len(data))))):
+        for _ in range(PASSES):
             for slots, values, y in data:
                 model.learn(slots, values, y)
         return pa.table({"w": [model.weights().astype("<f4").tobytes()], "n": [len(data)]})
 
-    fitted = shards.groupBy("shard").applyInArrow(fit, "w binary, n long").collect()  # SHARDS rows of fixed size
+    fitted = rows.groupBy("shard").applyInArrow(fit, "w binary, n long").collect()  # SHARDS rows of fixed size
     if not fitted:
         return np.zeros(SLOTS + 1, "float32")
     return np.average([np.frombuffer(r.w, "<f4") for r in fitted], axis=0, weights=[r.n for r in fitted]).astype("float32")
 
 
-def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """Each row's key and score; with carry, all its columns and the score."""
-    kept = [c for c in docs.columns if c != "score"] if carry else [key]
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+    """row, score of rows (text, row), where row is a column of any type."""
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def work(batches):
         w = sent.value
@@ -134,14 +148,19 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
             for t in batch.column(0).to_pylist():
                 slots, values = features(t)
                 scores.append(1 / (1 + np.exp(-np.clip(float(w[slots] @ values) + float(w[SLOTS]), -35, 35))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), pa.array(scores, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores, pa.float64())], ["row", "score"])
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(text).alias("text to score"), *(F.col(f"`{c}`") for c in kept)).mapInArrow(work, schema)
+    return rows.mapInArrow(work, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, held_out, score, predicted of each row; learns only from labelled rows that are not held out."""
+    weights = train(docs, labels.where(~held_out(key)), key=key, text=text)
+    found = scored(docs.select(F.col(text).alias("text"), F.col(key).alias("row")), weights)
+    return found.select(F.col("row").alias(key), held_out("row").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """key, held_out, score, predicted; learns only from labelled rows that are not held out."""
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold; learns as quality() does."""
     weights = train(docs, labels.where(~held_out(key)), key=key, text=text)
-    scored = score(docs, weights, key, text, carry)
-    return scored.select(*(scored.columns[:-1]), held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored(docs.select(F.col(text).alias("text"), F.struct("*").alias("row")), weights).where(F.col("score") >= threshold).select("row.*")

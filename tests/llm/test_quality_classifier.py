@@ -44,7 +44,47 @@ def test_edges(spark):
     assert [r.score for r in Q.quality(docs, none).collect()] == [0.5] * 4
     assert Q.quality(docs.limit(0), none).count() == 0
     labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
-    assert len(Q.quality(docs, labels, carry=True).collect()) == 4
+    got = Q.accepted(docs.withColumn("predicted", Q.F.lit("own")).withColumn("held_out", Q.F.lit(7)), labels, threshold=0).collect()
+    assert len(got) == 4 and all((r.score, r.predicted, r.held_out) == (9, "own", 7) for r in got)
+
+
+def test_same_as_naive_ftrl(spark):
+    """The update rule coordinate by coordinate, in plain Python, over the same rows in the same order."""
+    import math
+
+    docs = [(i, f"{'bad!!' if i % 3 == 0 else 'good words'} number {i % 7} of them") for i in range(60)]
+    labels = [(i, int(i % 3 != 0)) for i in range(60)]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    place = {r.doc_id: (r.at, r.shard) for r in frame.select("doc_id", Q.F.xxhash64("doc_id").alias("at")).withColumn("shard", Q.F.pmod("at", Q.F.lit(Q.SHARDS))).collect()}
+    total, count = np.zeros(Q.SLOTS + 1), 0
+    for shard in range(Q.SHARDS):
+        own = sorted((at, i) for i, (at, s) in place.items() if s == shard)
+        z, n = {}, {}
+
+        def weight(k):
+            if abs(z.get(k, 0.0)) <= Q.L1:
+                return 0.0
+            return -(z[k] - math.copysign(Q.L1, z[k])) / ((Q.BETA + math.sqrt(n[k])) / Q.ALPHA + Q.L2)
+
+        for _ in range(Q.PASSES):
+            for _, i in own:
+                slots, values = Q.features(docs[i][1])
+                x = {int(k): float(v) for k, v in zip(slots, values)} | {Q.SLOTS: 1.0}
+                w = {k: weight(k) for k in x}
+                p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+                for k, v in x.items():
+                    g = (p - labels[i][1]) * v
+                    sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / Q.ALPHA
+                    z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                    n[k] = n.get(k, 0.0) + g * g
+        for k in z:
+            total[k] += weight(k) * len(own)
+        count += len(own)
+    assert Q.train(frame, marks) == pytest.approx(total / count, abs=1e-4)
+
+
+def test_long_runs_of_signs_differ():
+    assert set(Q.features("!" * 40)[0]) != set(Q.features("!" * 41)[0])
 
 
 def test_sparse_dot_product():

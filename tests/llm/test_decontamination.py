@@ -59,3 +59,10 @@ def test_empty_tables(spark):
     assert [(r.n_hit, r.contaminated) for r in D.contamination(docs, bench.limit(0)).collect()] == [(0, False)]
     assert D.contamination(docs.limit(0), bench).count() == 0
     assert D.clean(docs, bench.limit(0)).count() == 1
+
+
+def test_runs_without_python(spark):
+    docs, bench = spark.createDataFrame([(1, "a b c " * 9)], "doc_id long, text string"), spark.createDataFrame([(1, "a b"), (2, "b c a " * 5)], "item_id long, text string")
+    for out in (D.contamination(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")), D.window_hits(D._keyed(docs, "doc_id", "text"), D._items(bench, "item_id", "text"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan

@@ -2,14 +2,18 @@
 
 Writing: every task writes one file with one gzip member per record; the driver then lists the files of the successful
 attempts in a manifest, so files of lost attempts are never read. Reading: files are cut into byte ranges; a task looks in its
-range for the gzip magic number, takes a place for a record only if the bytes there decode to a WARC header, and owns the
-records that start inside its range, wherever they end. Archives and manifest go through pyarrow's file systems (local,
-HDFS, S3, GCS).
+range for the gzip magic number, takes a place for a record only if the bytes there decode to a WARC header with a type and
+a length that the record has, and owns the records that start inside its range, wherever they end. A record that follows
+another must be sound: a damaged one raises an error. As no task can tell a damaged first record of its range from chance
+bytes, each task also decodes the record behind its last one. Digest and length of a response are taken from the payload
+read back and must equal those in its header. Archives and manifest go through pyarrow's file systems (local, HDFS, S3, GCS).
 
 Of rows with equal payloads of at least `least` bytes that with the smallest id becomes a response, the others revisits of
 it; a revisit has the digest and the length of the full payload but not its bytes. Null html is an empty payload, a null
-URL an empty target. Rows that repeat an id and payload are all responses; a null id is no response if another id has
-its payload. An empty table gives an archive without records.
+URL an empty target. Ids of any length and with any characters come back whole (percent-encoded in the record's URN); a
+null id has a URN of its own. Rows that repeat an id and payload are all responses; a null id is no response if another id
+has its payload. Payloads of any length are taken whole. Other columns are not carried over. An empty table gives an archive
+without records.
 """
 
 from __future__ import annotations
@@ -22,18 +26,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from paperlens.llm.common import new_path
+from paperlens.llm.common import new_path, small, stored
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES, READ_BYTES = 16 << 20, 1 << 20
-#: Bytes of a candidate that are decoded to see a header, and members that are tried at most at such a place.
+#: Bytes of a candidate that are decoded first to see a header.
 PROBE_BYTES = 512
-ID = "urn:paperlens:page:"
+ID, NO_ID = "urn:paperlens:page:", "urn:paperlens:page"
 SCHEMA = "record_id string, record_type string, date string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary, file string, offset long"
 IN_SCHEMA = "page_id, url, payload, refers_to"
 
@@ -42,25 +47,35 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(page_id) -> str:
+    return NO_ID if page_id is None else ID + quote(str(page_id), safe="")
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
     """One WARC record as a gzip member; a revisit if refers_to is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{urn(page_id)}>", f"WARC-Date: {date}"]
     lines += [f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{ID}{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{urn(refers_to)}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def parse(raw: bytes) -> dict:
-    """Header fields in lower case, and the payload (None for a revisit) with its full length."""
+def header(head: bytes) -> dict | None:
+    """Fields of a WARC header, names in lower case; None if it is none: version, a type and a length are needed."""
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    fields = {name.lower(): value.strip() for name, colon, value in (line.partition(":") for line in lines) if colon}
+    return fields if first.startswith("WARC/1.") and fields.get("warc-type") and fields.get("content-length", "").isdecimal() else None
+
+
+def parse(raw: bytes) -> dict | None:
+    """Header fields, and the payload (None for a revisit) with its full length; None if this is no whole record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = {}
-    for line in head.decode().split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        fields[name.lower()] = value.strip()
+    fields = header(head)
+    if fields is None or len(rest) < int(fields["content-length"]):
+        return None
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
@@ -103,8 +118,8 @@ class Range(InputPartition):
         self.name, self.start, self.end = name, start, end
 
 
-def member_at(source, offset: int, size: int) -> tuple[bytes, int] | None:
-    """The decoded gzip member at an offset and its end; None if no WARC record starts there."""
+def record_at(source, offset: int, size: int) -> tuple[dict, int] | None:
+    """The parsed record of the gzip member at an offset and the member's end; None if no sound WARC record starts there."""
     probe = zlib.decompressobj(31)
     try:
         source.seek(offset)
@@ -116,9 +131,17 @@ def member_at(source, offset: int, size: int) -> tuple[bytes, int] | None:
             out.append(whole.decompress(data))
             at += len(data)
             data = b"" if whole.eof else source.read(min(READ_BYTES, size - at))
-        return (b"".join(out), at - len(whole.unused_data)) if whole.eof else None
     except zlib.error:
         return None
+    fields = parse(b"".join(out)) if whole.eof else None
+    if fields is None:
+        return None
+    told, payload = fields.get("warc-payload-digest"), fields["payload"]
+    if payload is not None:
+        fields |= {"payload_bytes": len(payload), "digest": digest(payload)}
+        if told is not None and told != f"sha1:{fields['digest']}":
+            return None
+    return fields | {"digest": fields.get("digest") or (told or "").removeprefix("sha1:") or None}, at - len(whole.unused_data)
 
 
 class WarcReader(DataSourceReader):
@@ -144,27 +167,32 @@ class WarcReader(DataSourceReader):
         store, base = _open(self.path)
         with store.open_input_file(f"{base}/{partition.name}") as source:
             size, at = source.size(), partition.start
-            while at < partition.end:
-                source.seek(at)
-                window = source.read(min(READ_BYTES, size - at))
-                place = window.find(MAGIC)
-                if place < 0:  # the magic number may lie across the end of the window
-                    at += max(1, len(window) - len(MAGIC) + 1)
-                    continue
-                at += place
+            sure = at == 0  # a record must start here
+            while at < partition.end or sure and at < size:
+                if not sure:
+                    source.seek(at)
+                    window = source.read(min(READ_BYTES, size - at))
+                    place = window.find(MAGIC)
+                    if place < 0:  # the magic number may lie across the end of the window
+                        at += max(1, len(window) - len(MAGIC) + 1)
+                        continue
+                    at += place
+                    if at >= partition.end:
+                        return
+                found = record_at(source, at, size)
+                if found is None and sure:
+                    raise ValueError(f"damaged record in {partition.name} at byte {at}")
                 if at >= partition.end:
                     return
-                found = member_at(source, at, size)
                 if found is None:
                     at += 1
                     continue
-                raw, end = found
-                f = parse(raw)
+                f, end = found
                 yield (
-                    f.get("warc-record-id", "").strip("<>"), f.get("warc-type"), f.get("warc-date"), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                    f.get("warc-record-id", "").strip("<>"), f["warc-type"], f.get("warc-date"), f.get("warc-target-uri"), f["digest"],
                     f["payload_bytes"], f["warc-refers-to"].strip("<>") if "warc-refers-to" in f else None, f["payload"] if self.payload else None, partition.name, at,
                 )
-                at = end
+                at, sure = end, True
 
 
 class WarcSource(DataSource):
@@ -185,10 +213,11 @@ class WarcSource(DataSource):
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to; the last is null for responses."""
+    """page_id, url, payload, refers_to; the last is null for responses. Payloads that occur twice or more are few as a rule and
+    are sent to all tasks as digests, so that no payload is shuffled; beyond a counted bound the join shuffles."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha2("payload", 256))
     groups = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(groups.select("sha", "first"), "sha", "left")
+    joined = rows.join(small(stored(groups.select("sha", "first"), "payloads")), "sha", "left")
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -211,6 +240,6 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     back = read(spark, path, payload=False)
 
     def number(c: str):
-        return F.substring(F.col(c), len(ID) + 1, 40).try_cast(pages.schema["page_id"].dataType)
+        return F.when(F.col(c).startswith(ID), F.url_decode(F.expr(f"substring({c}, {len(ID) + 1})"))).try_cast(pages.schema["page_id"].dataType)
 
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -15,7 +15,8 @@ doubling ends after log2(least_words) rounds.
 Lines are cut at \\n and compared without white space at their ends; lines without words belong to no run and stay, but a
 document of which every line with words is deleted becomes empty. Null text stays null. Rows with equal id and text count
 as one document and have the same result; equal ids with other texts are ordered by a hash of the text, null ids come first.
-In a run that repeats itself (the same line many times) the first line stays.
+In a run that repeats itself (the same line many times) the first line stays. Texts of any length are taken whole. Other
+columns are kept unchanged, whatever their names, but for "lines before" and "lines deleted", which are replaced.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import stored
+from paperlens.llm.common import small, stored
 
 LEAST_WORDS = 10
 DOC = ["id", "h1", "h2"]
 
 
-def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.withColumns({"_id": F.col(key), "_h1": F.xxhash64(F.col(text)), "_h2": F.xxhash64(F.lit(1), F.col(text))})
+def _keys(key: str, text: str) -> list:
+    return [F.col(key).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """id, h1, h2, s (place among the lines with words), line (place among all), a and b (hashes of the line), n (words)."""
-    rows = _keyed(df.select(key, text), key, text).where(F.col(text).isNotNull())
-    worded = F.expr(f"filter(transform(split(`{text}`, '\n'), (l, i) -> struct(regexp_replace(l, '^[\\\\x20\\\\x09-\\\\x0D]+|[\\\\x20\\\\x09-\\\\x0D]+$', '') AS l, i AS i)), x -> x.l <> '')")
-    cut = rows.select(F.col("_id").alias("id"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), F.posexplode_outer(worded).alias("s", "x")).where("s IS NOT NULL")
+    rows = df.where(F.col(text).isNotNull()).select(*_keys(key, text), F.col(text).alias("t"))
+    worded = F.expr("filter(transform(split(t, '\n'), (l, i) -> struct(regexp_replace(l, '^[\\\\x20\\\\x09-\\\\x0D]+|[\\\\x20\\\\x09-\\\\x0D]+$', '') AS l, i AS i)), x -> x.l <> '')")
+    cut = rows.select(*DOC, F.posexplode_outer(worded).alias("s", "x")).where("s IS NOT NULL")
     return cut.select(*DOC, "s", F.col("x.i").alias("line"), F.xxhash64("x.l").alias("a"), F.xxhash64(F.lit(1), "x.l").alias("b"), F.size(F.split("x.l", r"[\x20\x09-\x0D]+")).alias("n"))
 
 
@@ -86,7 +87,7 @@ def deleted_lines(df: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc
     )
     runs = stored(runs.where("left IS NOT NULL AND right IS NOT NULL").distinct(), "runs")
     first = runs.groupBy("size", "left", "right").agg(F.min(F.struct(*DOC, "s")).alias("first"), F.max(F.struct(*DOC, "s")).alias("last")).where("first <> last").drop("last")
-    later = runs.join(first, ["size", "left", "right"]).where("NOT (struct(id, h1, h2, s) <=> first)")
+    later = runs.join(small(stored(first, "intervals")), ["size", "left", "right"]).where("NOT (struct(id, h1, h2, s) <=> first)")
     return later.select(*DOC, F.explode("lines").alias("line")).distinct()
 
 
@@ -94,12 +95,11 @@ def without_repeats(df: DataFrame, least_words: int = LEAST_WORDS, key: str = "d
     """df with later copies deleted from its text; columns "lines before" and "lines deleted" are added."""
     gone = deleted_lines(df, least_words, key, text).groupBy(*DOC).agg(F.collect_list("line").alias("gone"))
     gone = stored(gone, "deleted")
-    rows = _keyed(df, key, text).alias("r")
-    both = rows.join(gone.alias("g"), F.expr("r._id <=> g.id AND r._h1 = g.h1 AND r._h2 = g.h2"), "left")
-    split = f"split(r.`{text}`, '\n')"
-    rest = f"array_join(filter({split}, (l, i) -> NOT array_contains(g.gone, i)), '\n')"
-    new = F.expr(f"CASE WHEN g.gone IS NULL THEN r.`{text}` WHEN {rest} RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' THEN {rest} ELSE '' END").alias(text)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (text, "lines before", "lines deleted"))).alias("row"), F.col(text).alias("t"), *_keys(key, text)).alias("r")
+    both = rows.join(gone.alias("g"), F.expr("r.id <=> g.id AND r.h1 = g.h1 AND r.h2 = g.h2"), "left")
+    rest = "array_join(filter(split(t, '\n'), (l, i) -> NOT array_contains(gone, i)), '\n')"
+    new = F.expr(f"CASE WHEN gone IS NULL THEN t WHEN {rest} RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' THEN {rest} ELSE '' END")
     return both.select(
-        *(new if c == text else F.col(f"r.`{c}`") for c in df.columns if c not in ("lines before", "lines deleted")),
-        F.expr(f"CAST(coalesce(size({split}), 0) AS LONG)").alias("lines before"), F.expr("CAST(coalesce(size(g.gone), 0) AS LONG)").alias("lines deleted"),
+        *(new.alias(text) if c == text else F.col(f"row.`{c}`") for c in df.columns if c not in ("lines before", "lines deleted")),
+        F.expr("CAST(coalesce(size(split(t, '\n')), 0) AS LONG)").alias("lines before"), F.expr("CAST(coalesce(size(gone), 0) AS LONG)").alias("lines deleted"),
     )

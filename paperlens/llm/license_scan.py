@@ -11,8 +11,8 @@ any place and length. Only texts that hold enough bigrams of a template are look
 bigram of the template and does not hold its first bigram again, so from each such bigram one walk goes up to its next copy,
 or to where the set outgrows the bounds. A template counts as often as units match it, or as disjoint spans do, whichever is more.
 
-Null and empty texts, and units of fewer than two words, match nothing. Repeated rows and repeated ids give one row each.
-Clashing columns are not carried over.
+Null and empty texts, and units of fewer than two words, match nothing. Texts of any length are taken whole. Repeated rows
+and repeated ids give one row each. Clashing columns are not carried over. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperlens.llm.common import ascii_lower, stored
+from paperlens.llm.common import ascii_lower, small, stored
 from paperlens.llm.license_templates import TEMPLATES
 
 PERCENT = 80
@@ -108,7 +108,9 @@ def matches(df: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     sizes = sorted({len(b) for b in template_bigrams(templates).values()})
     fits = " OR ".join(f"({percent} * {s} <= {200 - percent} * size AND {percent} * size <= {200 - percent} * {s})" for s in sizes)
     shortest = min(sizes) * percent // (200 - percent)
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")}).distinct()
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")})
+    # Rows with equal ids and texts share a key: their counts are divided by how many they are, so no text is shuffled.
+    rows = small(stored(docs.groupBy(*KEYS).agg(F.count("*").alias("rows")).where("rows > 1"), "repeated-rows"))
     units = docs.select(
         "id", "h1", "h2",
         F.explode(
@@ -129,7 +131,9 @@ def matches(df: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     kept = F.expr(f"flatten(transform(transform(array(words), w -> {pairs}), b -> {fitting}))")
     listed = near.select("id", "h1", "h2", "unit", F.explode_outer(kept).alias("x")).select("id", "h1", "h2", "unit", "x.bigram", "x.size")
     common = listed.join(F.broadcast(_template_table(spark, templates)), "bigram").where(f"{percent} * t_size <= {200 - percent} * size AND {percent} * size <= {200 - percent} * t_size")
-    counted = common.groupBy("id", "h1", "h2", "unit", "template", "size", "t_size").agg(F.count("*").alias("common"))
+    counted = common.groupBy("id", "h1", "h2", "unit", "template", "size", "t_size").agg(F.count("*").alias("common")).alias("c")
+    counted = counted.join(rows.alias("m"), F.expr("c.id <=> m.id AND c.h1 = m.h1 AND c.h2 = m.h2"), "left")
+    counted = counted.select("c.id", "c.h1", "c.h2", "unit", "template", "size", "t_size", F.expr("common div coalesce(rows, 1)").alias("common"))
     return counted.where(f"200 * common >= {percent} * (size + t_size)")
 
 

@@ -4,8 +4,9 @@ Every rule is evaluated once per document: the measurements are stored beside on
 versioned set of rules, that is a mask; applying one, comparing two or asking what each rule alone removes are bitwise
 operations and aggregations over the ledger, never another pass over the texts.
 
-Words are runs without ASCII white space. Null text counts as empty: no words, and so it fails too_few_words. Repeated
-rows and repeated or null ids give one row each. Clashing columns are not carried over.
+Words are runs without ASCII white space. Null text counts as empty: no words, and so it fails too_few_words. Texts of any
+length are taken whole. Repeated rows and repeated or null ids give one row each. Clashing columns are not carried over. An
+empty table gives an empty ledger, and ablations of zeros.
 """
 
 from __future__ import annotations

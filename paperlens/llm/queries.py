@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from paperlens.llm import decontamination, license_scan, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filters, warc
-from paperlens.llm.common import table
+from paperlens.llm.common import stored, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "`lines before` AS n_lines", "`lines deleted` AS n_deleted", "text")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule of the policy: documents that fail it, that fail it alone, and that stay without it, from a stored ledger."""
+    return quality_rules.ablations(stored(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger"), "v1")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -59,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_url_filters, op3_quality_classifier, op4_decontamination, op5_warc, op6_near_dedup, op7_token_counts, op8_quality_rules, op9_license_scan, op10_line_dedup, pipeline,
+        op1_sentencepiece, op2_url_filters, op3_quality_classifier, op4_decontamination, op5_warc, op6_near_dedup, op7_token_counts, op8_quality_rules, op9_license_scan, op10_line_dedup, quality_ablations, pipeline,
     )
 }
 
@@ -89,8 +94,8 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM bits"""
 
-_OP8 = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+_OP8_FAILURES = """
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
@@ -98,10 +103,18 @@ rep AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest(range(0,
 m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaiming
   FROM w LEFT JOIN rep USING (r)),
-f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality_rules.RULES.values()))} AS failures FROM m)
+f AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN n_repeat_words > 0.3 * n_words THEN 2 ELSE 0 END + CASE WHEN n_symbols > 0.3 * n_words THEN 4 ELSE 0 END
+  + CASE WHEN n_words > 0 AND (word_chars / n_words < 2 OR word_chars / n_words > 20) THEN 8 ELSE 0 END + CASE WHEN n_lines > 0 AND 3 * n_dup_lines > 2 * n_lines THEN 16 ELSE 0 END
+  + CASE WHEN n_upper + n_upper > word_chars THEN 32 ELSE 0 END + CASE WHEN n_exclaiming > 0.2 * n_words THEN 64 ELSE 0 END AS failures FROM m)"""
+
+_OP8 = f"""WITH {_OP8_FAILURES}
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failures % 4 > 0 AS base_failed, failures = 0 AS kept, CAST(failures AS BIGINT) AS failures FROM f"""
 
+_ABLATIONS = f"""WITH {_OP8_FAILURES},
+rules(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('odd_word_length', 8), ('repeated_lines', 16), ('shouting', 32), ('exclaiming', 64))
+SELECT rule, count(*) FILTER (failures // bit % 2 = 1) AS fail, count(*) FILTER (failures = bit) AS fail_alone, count(*) FILTER (failures IN (0, bit)) AS kept_without FROM rules, f GROUP BY rule"""
+
 _TEMPLATES = ", ".join("('{}', {}, '{}')".format(b.replace("'", "''"), len(bigrams), name) for name, bigrams in license_scan.template_bigrams().items() for b in bigrams)
 _OP9 = f"""
 WITH t(bigram, t_size, template) AS (VALUES {_TEMPLATES}),
@@ -115,4 +128,4 @@ c AS (SELECT r, kind, i, template, t_size, size, count(*) AS common FROM (SELECT
 m AS (SELECT r, count(*) AS n_matches, string_agg(DISTINCT template, ',' ORDER BY template) AS licenses, max(2.0::DOUBLE * common / (size + t_size)) AS best_dice FROM c WHERE 200 * common >= 80 * (size + t_size) GROUP BY r)
 SELECT doc_id, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, licenses, round(coalesce(best_dice, 0::DOUBLE), 6) AS best_dice FROM d LEFT JOIN m USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op5_warc": _OP5, "op8_quality_rules": _OP8, "op9_license_scan": _OP9}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op5_warc": _OP5, "op8_quality_rules": _OP8, "op9_license_scan": _OP9, "quality_ablations": _ABLATIONS}

@@ -10,6 +10,10 @@ def test_rules_same_as_sql(same_rows):
     same_rows(QUERIES["op8_quality_rules"], ORACLE_SQL["op8_quality_rules"])
 
 
+def test_ablations_same_as_sql(same_rows):
+    same_rows(QUERIES["quality_ablations"], ORACLE_SQL["quality_ablations"])
+
+
 def test_licences_same_as_sql(same_rows):
     same_rows(QUERIES["op9_license_scan"], ORACLE_SQL["op9_license_scan"])
 

@@ -75,3 +75,29 @@ def test_tokens_that_go_together_keep_their_own_rules(spark):
     rows = [(["a", "b", "x"], True)] * 30 + [(["c", "x"], False)] * 60 + [(["a", "b", "c"], True)] * 10 + [([], False)] * 5 + [(["rare"], True)]
     rules = U.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), support=0.05)
     assert sorted((tuple(r.antecedent), r.size, r.rarest) for r in rules.collect()) == [(("a",), 1, "a"), (("b",), 1, "b")]
+
+
+def test_mined_rules_against_enumerated_sets(spark):
+    """Every set of tokens by counting: support, confidence and lift, and only sets that no smaller one implies."""
+    from itertools import combinations
+
+    random.seed(12)
+    rows = []
+    for _ in range(300):
+        tokens = sorted({random.choice("abcdefgh") for _ in range(random.randint(0, 5))})
+        rows.append((tokens, random.random() < (0.9 if {"a", "b"} <= set(tokens) or "h" in tokens else 0.25)))
+    support, confidence, lift = 0.02, 0.7, 1.3
+    share = sum(b for _, b in rows) / len(rows)
+    found = {}
+    for size in range(1, 6):
+        for some in combinations("abcdefgh", size):
+            hit = [b for t, b in rows if set(some) <= set(t)]
+            if hit and sum(hit) >= support * len(rows) and sum(hit) / len(hit) >= confidence and sum(hit) / len(hit) / share >= lift:
+                found[some] = (sum(hit) / len(hit), sum(hit) / len(rows))
+    want = {s: v for s, v in found.items() if not any(s[:k] + s[k + 1 :] in found for k in range(len(s)))}
+    rules = U.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), support, confidence, lift).collect()
+    assert {tuple(r.antecedent) for r in rules} == set(want) and len(want) > 2
+    for r in rules:
+        assert abs(r.confidence - want[tuple(r.antecedent)][0]) < 1e-9 and abs(r.support - want[tuple(r.antecedent)][1]) < 1e-9
+        freq = {t: sum(t in tokens for tokens, _ in rows) for t in r.antecedent}
+        assert r.rarest == min(freq, key=lambda t: (freq[t], t))

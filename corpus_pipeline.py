@@ -1,7 +1,8 @@
 """A corpus pipeline: quality classifier, line dedup, near-dedup, benchmark decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. run() writes each stage's result as Parquet in the shared folder and rereads it.
+docs, whatever these are called. run() writes each stage's result as Parquet in the shared folder and rereads it, and deletes
+what the stage before wrote. An empty table, null texts and ids, and repeated rows pass through every stage.
 """
 
 from __future__ import annotations
@@ -11,32 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlens.llm import decontamination, line_dedup, near_dedup, quality_classifier, sentencepiece_codec
-from paperlens.llm.common import small, stored, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from paperlens.llm.common import discard, small, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labelled ones among them, does not reject."""
-    return quality_classifier.quality(docs, table(spark, sf_dir, "labels"), threshold=0.3, carry=True).where("predicted = 1").select(COLUMNS)
+    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines; those of which nothing is left go."""
     found = line_dedup.without_repeats(docs)
     left = found.where((F.col("lines deleted") == 0) | (F.col("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col("lines deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
+    length = F.when(F.col("lines deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*(length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(small(stored(gone, "gone")), "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more. Of rows with equal id and text
+    one stays; a document without an id goes by its text, behind those with one."""
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated").select(F.struct("key.*").alias("k"))
+    same = F.expr("key.id <=> k.id AND key.h1 = k.h1 AND key.h2 = k.h2")
+    once = rows.join(small(repeated), same, "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row", "key")
+    rows = rows.join(small(repeated), same, "left_anti").union(once)
+    nameless = docs.where("doc_id IS NULL").limit(1).count() > 0
+    number = F.lpad(F.col("key.id").cast("string"), 20, "0")
+    name = F.coalesce(number, F.concat(F.lit("x"), F.hex("key.h1"), F.hex("key.h2"))) if nameless else F.col("key.id")
+    rows = rows.withColumn("name", name)
+    gone = near_dedup.near_duplicates(rows.select("name", "row.text"), k=5, percent=80, key="name").where(~F.col("kept")).select("name").distinct()
+    return rows.join(small(stored(gone, "gone")), "name", "left_anti").select("row.*")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs

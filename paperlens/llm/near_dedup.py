@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from paperlens.llm.common import discard, held, stored
+from paperlens.llm.common import discard, held, small, stored
 
 #: Cached words, and the longest word that is cached, in bytes.
 CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
@@ -329,7 +329,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     groups = stored(groups, "groups")
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     needed = stars.where("best").select(F.explode(F.array("a", "hub")).alias("id")).union(groups.select("id")).distinct()
-    full = stored(full_sets(docs.join(needed, "id", "left_semi"), k), "full-sets")
+    full = stored(full_sets(docs.join(small(stored(needed, "needed")), "id", "left_semi"), k), "full-sets")
     links = stored(confirmed(stars.where("best").select("a", "hub"), full, percent), "confirmed")
     # Ids with several sets tie the owners of these together.
     owned = signed.where(node).select("id", "set_id").join(owners, "set_id").select("id", "owner").distinct()

@@ -65,3 +65,20 @@ def islands(rows: DataFrame, keys: list[str], order: list[Column], starts: Colum
 def carried(rows: DataFrame, keys: list[str], order: list[Column], tag: Column, into: str) -> DataFrame:
     """The last non-null tag up to each row."""
     return rows.withColumn(into, F.last(tag, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+#: Keys of a range in which rows are numbered together.
+RANGE = 4_096
+
+
+def numbered(rows: DataFrame, group: str, key: str, into: str = "place", total: str | None = None, span: int = RANGE) -> DataFrame:
+    """rows (group, whole-number key, each pair once) with their place in the group from 0, and the group's size if `total` names it.
+    A group is cut into ranges of the key: rows are numbered within a range and ranges start at a running sum of the
+    counts before, so that a group that holds a third of all rows is no single task."""
+    cut = rows.withColumn("_range", F.floor(F.col(key) / span).cast("long"))
+    counts = cut.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range")) - F.col("_n")
+    starts = counts.select(group, "_range", before.alias("_start"), F.sum("_n").over(Window.partitionBy(group)).alias("_total"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy(group, "_range").orderBy(key)) - 1
+    out = cut.join(starts, [group, "_range"]).withColumn(into, place)
+    return out.select(*rows.columns, into, *([F.col("_total").alias(total)] if total else []))

@@ -1,5 +1,6 @@
-"""Queries over the exam grammar. The driver's texts hold no exam markup, so papers are made of them: 25 documents of one
-source are the questions of a paper, with options from their words, and a translation part at the end."""
+"""Queries over the exam grammar. The driver's texts hold no exam markup, so papers are made of them: 40 documents of one source
+are the questions of a paper, ten each of listening, word bank, matching and careful reading. All letters of a text are in its
+question, cut into lines of 60, as lines of options, passages or of the question itself. The SQL says which blocks come of that."""
 
 from __future__ import annotations
 
@@ -7,82 +8,150 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperlens.functions.jsregex import trim
 from paperlens.functions.text import text_hash
 from paperlens.operators import grammar as G
 from paperlens.operators import relational as R
 from paperlens.plans.registry import query
 from paperlens.sources import tables as S
 
-QUESTIONS = 25
+PAPER, LINE = 40, 60
+HEAD, BANK, MATCHING, CAREFUL, LAST, LATE = 0, 51, 71, 91, 200, 300
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    """paper_id, n (place of a document in its paper), letters (its text as plain words), doc_id."""
-    rows = S.documents(spark, d).select("doc_id", "source", trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("letters"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
-    return rows.select(F.concat_ws("-", F.col("source"), F.floor(F.col("r") / QUESTIONS).cast("string")).alias("paper_id"), (F.col("r") % QUESTIONS + 1).alias("n"), "letters", "doc_id")
+    """paper_id, r (place of a document in its paper), number (of its question), kind (0 to 3), doc_id, letters, pieces."""
+    places = R.numbered(S.documents(spark, d).select("doc_id", "source"), "source", "doc_id", "place")
+    places = places.select("doc_id", F.concat_ws("-", "source", F.floor(F.col("place") / PAPER).cast("string")).alias("paper_id"), (F.col("place") % PAPER).cast("int").alias("r"))
+    rows = S.documents(spark, d).select("doc_id", F.lower(F.regexp_replace("text", "[^A-Za-z]+", "")).alias("letters")).join(places, "doc_id")
+    rows = rows.withColumns({"kind": F.col("r") % 4, "number": F.element_at(F.array(*map(F.lit, (1, 26, 36, 46))), F.col("r") % 4 + 1) + F.floor(F.col("r") / 4).cast("int")})
+    pieces = F.expr(f"CASE WHEN letters = '' THEN array() ELSE transform(sequence(0, (char_length(letters) - 1) div {LINE}), i -> substring(letters, i * {LINE} + 1, {LINE})) END")
+    return rows.withColumn("pieces", pieces)
 
 
 def exam_pages(spark: SparkSession, d: str) -> DataFrame:
-    """One page per question and one around them: paper_id, page_number, text."""
+    """One page per question and those between the parts: paper_id, page_number, text."""
     rows = _numbered(spark, d)
-    word = lambda i: F.concat(F.lower(F.coalesce(F.get(F.split(F.col("letters"), " "), F.lit(i)), F.lit(""))), F.lit("word."))
-    question = F.concat(F.col("n").cast("string"), F.lit(". asks "), F.lower(F.substring("letters", 1, 60)))
-    body = F.concat_ws("\n", question, *(F.concat(F.lit(f"{label}) "), word(i)) for i, label in enumerate("ABCD")))
-    pages = rows.select("paper_id", F.col("n").alias("page_number"), body.alias("text"))
-    whole = rows.groupBy("paper_id").agg(F.count("*").alias("k"), F.max_by(F.lower(F.substring("letters", 1, 60)), "n").alias("prompt"))
-    first = F.concat(F.lit("Part II\nListening Comprehension\nSection A\nQuestions 1 to "), F.col("k").cast("string"), F.lit(" are based on the conversation you have just heard."))
-    last = F.concat(F.lit("Part IV Translation\nDirections: Write your answer on Answer Sheet 2.\n7\n中文 "), F.col("prompt"))
-    return pages.unionByName(whole.select("paper_id", F.lit(0).cast("bigint").alias("page_number"), first.alias("text"))).unionByName(
-        whole.select("paper_id", F.lit(QUESTIONS + 1).cast("bigint").alias("page_number"), last.alias("text"))
-    )
+    page = (2 * F.col("number")).alias("page_number")
+
+    def option(i: int):
+        own = f"filter(pieces, (p, i) -> {'greatest(i % 4, 1)' if i == 1 else 'i % 4'} = {i})"
+        text = F.concat(F.array(F.lit(f"{'ABCD'[i]}) word")), F.expr(f"CASE WHEN number = 1 THEN {own} ELSE filter(pieces, (p, i) -> i % 4 = {i}) END"))
+        return F.when((F.col("number") == 1) & (i == 0), F.array().cast("array<string>")).otherwise(text)
+
+    # Every second listening question has its text on the next line; the first lacks option A, which the third has twice.
+    asks = F.concat(F.lit("asks document x"), F.col("doc_id").cast("string"))
+    lead = F.concat(F.col("number").cast("string"), F.lit("."))
+    lead = F.when(F.col("number") % 2 == 0, F.array(lead, asks)).otherwise(F.array(F.concat(lead, F.lit(" "), asks)))
+    spare = F.when(F.col("number") == 3, F.array(F.lit("A) spare"))).otherwise(F.array().cast("array<string>"))
+    listening = F.concat(lead, spare, *(option(i) for i in range(4)))
+    said = lambda word: F.array(F.concat(F.col("number").cast("string"), F.lit(f". {word}")))
+    body = F.concat(F.array(F.lit("text")), "pieces")
+    bank = F.concat(said("blank"), body, F.array(F.concat(F.char((F.col("number") + 39).cast("long")), F.lit(")")), F.concat(F.substring("letters", 1, 20), F.lit("x"))))
+    careful = F.concat(said("pick"), body, F.array(F.lit("A) yes B) no")))
+    lines = F.when(F.col("kind") == 0, listening).when(F.col("kind") == 1, bank).when(F.col("kind") == 2, F.concat(said("match"), body)).otherwise(careful)
+    pages = rows.select("paper_id", page, F.array_join(lines, "\n").alias("text"))
+    whole = rows.groupBy("paper_id").agg(F.count_if(F.col("kind") == 0).cast("string").alias("k"), F.count_if(F.col("kind") == 1).alias("banks"), F.max_by("pieces", "r").alias("last"))
+    around = {
+        HEAD: F.concat(F.lit("Part II\nListening Comprehension\nSection A\nQuestions 1 to "), F.col("k"), F.lit(" are based on the conversation you have just heard.")),
+        BANK: F.lit("Part\nIII\nReading Comprehension\n(40 minutes)\nSection A\nDirections: Choose no word more than once."),
+        MATCHING: F.concat(F.lit("Section B\ndeferred words here"), F.when(F.col("banks") > 0, "\nK) kilo L) lima M) mike N) nove 0) oscar").otherwise("")),
+        CAREFUL: F.lit("Section C\nPassage One\nSection C\nPassage Two"),
+        LAST: F.concat(F.lit("Part IV Translation\nDirections: Write your answer on Answer Sheet 2.\n7\n"), F.array_join(F.concat(F.array(F.lit("中文")), "last"), "\n")),
+        LATE: F.lit("50. late\n51. later\nPassage Two"),
+    }
+    return pages.unionByName(whole.select("paper_id", F.explode(F.array(*(F.struct(F.lit(n).alias("page_number"), text.alias("text")) for n, text in around.items()))).alias("x")).select("paper_id", "x.*"))
+
+
+_N = f"""n AS (SELECT source || '-' || CAST(floor(r / {PAPER}) AS BIGINT) AS paper_id, CAST(r % {PAPER} AS INTEGER) AS r, CAST(r % 4 AS INTEGER) AS kind, CAST([1, 26, 36, 46][r % 4 + 1] + (r % {PAPER}) // 4 AS INTEGER) AS number, doc_id, s, p
+  FROM (SELECT *, CASE WHEN s = '' THEN [] ELSE list_transform(range(0, (length(s) - 1) // {LINE} + 1), lambda i: substr(s, i * {LINE} + 1, {LINE})) END AS p
+  FROM (SELECT source, doc_id, lower(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents))),
+w AS (SELECT paper_id, count(*) FILTER (kind = 0) AS k, count(*) FILTER (kind = 1) AS banks, count(*) FILTER (kind = 2) AS matches, count(*) FILTER (kind = 3) AS picks, count(*) AS docs, arg_max(p, r) AS last FROM n GROUP BY 1)"""
+_JOINED = "array_to_string(list_concat([{}], {}), ' ')"
+_BLOCKS = f"""{_N},
+o AS (SELECT paper_id, number, j, list(p[i + 1] ORDER BY i) AS ps FROM (SELECT paper_id, number, p, i, CASE WHEN number = 1 THEN greatest(i % 4, 1) ELSE i % 4 END AS j FROM (SELECT paper_id, number, p, unnest(range(0, len(p))) AS i FROM n WHERE kind = 0)) GROUP BY ALL),
+b(paper_id, page, seq, section_no, section_type, block_type, number, label, text) AS (
+  SELECT paper_id, {HEAD}, 0, 0, 'listening', 'heading', NULL, NULL, 'Part II Listening Comprehension' FROM w
+  UNION ALL SELECT paper_id, {HEAD}, 1, 0, 'listening', 'question_group', NULL, NULL, 'Questions 1 to ' || k || ' are based on the conversation you have just heard.' FROM w
+  UNION ALL SELECT paper_id, 2 * number, 0, 0, 'listening', 'question', number, NULL, number || '. asks document x' || doc_id FROM n WHERE kind = 0
+  UNION ALL SELECT paper_id, 2 * number, 1 + l.j, 0, 'listening', 'option', number, label, {_JOINED.format("label || ') word'", "coalesce(ps, [])")} FROM n CROSS JOIN (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D')) l(j, label) LEFT JOIN o USING (paper_id, number, j) WHERE kind = 0 AND NOT (number = 1 AND l.j = 0)
+  UNION ALL SELECT paper_id, 2, 9, 0, 'listening', 'option', 1, 'A', 'A) spare' FROM n WHERE number = 3
+  UNION ALL SELECT paper_id, {BANK}, 0, 1, 'reading_bank', 'heading', NULL, NULL, 'Part III Reading Comprehension' FROM w
+  UNION ALL SELECT paper_id, {BANK}, 1, 1, 'reading_bank', 'directions', NULL, NULL, 'Directions: Choose no word more than once.' FROM w
+  UNION ALL SELECT paper_id, 2 * number, 0, 1, 'reading_bank', 'question', number, NULL, number || '. blank' FROM n WHERE kind = 1
+  UNION ALL SELECT paper_id, 2 * number, 1, 1, 'reading_bank', 'passage', NULL, NULL, {_JOINED.format("'text'", "p")} FROM n WHERE kind = 1
+  UNION ALL SELECT paper_id, 2 * number, 2, 1, 'reading_bank', 'word_bank', NULL, chr(number + 39), chr(number + 39) || ') ' || substr(s, 1, 20) || 'x' FROM n WHERE kind = 1
+  UNION ALL SELECT paper_id, {MATCHING}, i, 1, 'reading_bank', 'word_bank', NULL, label, label || ') ' || word FROM w, (VALUES (0, 'K', 'kilo'), (1, 'L', 'lima'), (2, 'M', 'mike'), (3, 'N', 'nove'), (4, 'O', 'oscar')) l(i, label, word) WHERE banks > 0
+  UNION ALL SELECT paper_id, {MATCHING}, 5, 2, 'reading_matching', 'paragraph', NULL, NULL, 'deferred words here' FROM w
+  UNION ALL SELECT paper_id, 2 * number, 0, 2, 'reading_matching', 'question', number, NULL, {_JOINED.format("number || '. match', 'text'", "p")} FROM n WHERE kind = 2
+  UNION ALL SELECT paper_id, {CAREFUL}, 0, 3, 'reading_careful', 'heading', NULL, NULL, 'Passage One' FROM w
+  UNION ALL SELECT paper_id, {CAREFUL}, 1, 3, 'reading_careful', 'heading', NULL, NULL, 'Passage Two' FROM w
+  UNION ALL SELECT paper_id, 2 * number, 0, 3, 'reading_careful', 'question', number, NULL, number || '. pick' FROM n WHERE kind = 3
+  UNION ALL SELECT paper_id, 2 * number, 1, 3, 'reading_careful', 'option', number, 'A', 'A) yes' FROM n WHERE kind = 3
+  UNION ALL SELECT paper_id, 2 * number, 2, 3, 'reading_careful', 'option', number, 'B', 'B) no' FROM n WHERE kind = 3
+  UNION ALL SELECT paper_id, 2 * number, 3, 3, 'reading_careful', 'passage', NULL, NULL, {_JOINED.format("'text'", "p")} FROM n WHERE kind = 3
+  UNION ALL SELECT paper_id, {LAST}, 0, 4, 'translation', 'heading', NULL, NULL, 'Part IV Translation' FROM w
+  UNION ALL SELECT paper_id, {LAST}, 1, 4, 'translation', 'directions', NULL, NULL, 'Directions: Write your answer on Answer Sheet 2.' FROM w
+  UNION ALL SELECT paper_id, {LAST}, 2, 4, 'translation', 'translation_prompt', NULL, NULL, {_JOINED.format("'中文'", "last")} FROM w
+  UNION ALL SELECT paper_id, {LATE}, 0, 5, 'reading_careful', 'question', 50, NULL, '50. late' FROM w
+  UNION ALL SELECT paper_id, {LATE}, 1, 5, 'reading_careful', 'question', 51, NULL, '51. later' FROM w
+  UNION ALL SELECT paper_id, {LATE}, 2, 5, 'reading_careful', 'heading', NULL, NULL, 'Passage Two' FROM w)"""
 
 
-_N = f"""n AS (SELECT source || '-' || CAST(floor(r / {QUESTIONS}) AS BIGINT) AS paper_id, r % {QUESTIONS} + 1 AS n, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS letters, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents))"""
-
-
-@query(f"WITH {_N}, k AS (SELECT paper_id, count(*) AS k FROM n GROUP BY 1) SELECT paper_id, CAST(2 AS BIGINT) AS sections, k AS questions, 4 * k AS options, CAST(1 AS BIGINT) AS groups, CAST(1 AS BIGINT) AS directions, CAST(1 AS BIGINT) AS prompts FROM k")
+@query(
+    f"""WITH {_BLOCKS} SELECT paper_id, CAST(section_no AS INTEGER) AS section_no, section_type, block_type, coalesce(CAST(number AS INTEGER), 0) AS question_number, coalesce(label, '') AS option_label,
+    CAST(CASE WHEN text = 'A) spare' THEN 6 ELSE page END AS INTEGER) AS page_number, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY page, seq) - 1 AS INTEGER) AS order_index, CAST(length(text) AS INTEGER) AS n_chars, sha256(lower(text)) AS text_hash FROM b"""
+)
 def q_parse_paper(spark: SparkSession, d: str) -> DataFrame:
-    blocks = G.blocks_of(G.lines_of(exam_pages(spark, d)))
-    kind = F.col("block_type")
-    return blocks.groupBy("paper_id").agg(
-        F.countDistinct("section_no").alias("sections"),
-        F.count_if(kind == "question").alias("questions"), F.count_if(kind == "option").alias("options"), F.count_if(kind == "question_group").alias("groups"),
-        F.count_if(kind == "directions").alias("directions"), F.count_if(kind == "translation_prompt").alias("prompts"),
+    """Every block of every paper."""
+    return G.blocks_of(G.lines_of(exam_pages(spark, d))).select(
+        "paper_id", "section_no", "section_type", "block_type", F.coalesce("question_number", F.lit(0)).alias("question_number"), F.coalesce("option_label", F.lit("")).alias("option_label"),
+        "page_number", "order_index", F.char_length("original_text").alias("n_chars"), "text_hash",
     )
 
 
-@query(f"WITH {_N} SELECT paper_id, n AS question_number, upper(label) AS option_label, lower(coalesce(list_extract(string_split(letters, ' '), i), '')) || 'word.' AS option FROM n, (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4)) l(label, i)")
+@query(f"WITH {_BLOCKS} SELECT paper_id, CAST(number AS INTEGER) AS question_number, label AS option_label, text AS option FROM b WHERE block_type = 'option'")
 def q_options(spark: SparkSession, d: str) -> DataFrame:
     blocks = G.blocks_of(G.lines_of(exam_pages(spark, d))).where("block_type = 'option'")
-    return blocks.select("paper_id", F.col("question_number").cast("bigint").alias("question_number"), "option_label", F.col("original_text").alias("option"))
+    return blocks.select("paper_id", "question_number", "option_label", F.col("original_text").alias("option"))
 
 
-@query(f"WITH {_N} SELECT paper_id, n AS number, trim('asks ' || lower(substr(letters, 1, 60))) AS rest FROM n")
+@query(
+    f"""WITH {_N} SELECT paper_id, CAST(number AS BIGINT) AS number, CASE kind WHEN 0 THEN CASE WHEN number % 2 = 0 THEN '' ELSE 'asks document x' || doc_id END WHEN 1 THEN 'blank' WHEN 2 THEN 'match' ELSE 'pick' END AS rest FROM n
+    UNION ALL SELECT paper_id, CAST(number AS BIGINT), rest FROM w, (VALUES (50, 'late'), (51, 'later')) l(number, rest)"""
+)
 def q_question_lead(spark: SparkSession, d: str) -> DataFrame:
     lines = G.lines_of(exam_pages(spark, d)).select("paper_id", G.question_lead(F.col("text")).alias("q")).where("q IS NOT NULL")
     return lines.select("paper_id", F.col("q.number").cast("bigint").alias("number"), "q.rest")
 
 
-@query(f"WITH {_N} SELECT paper_id, CAST(1 AS INTEGER) AS first, CAST(count(*) AS INTEGER) AS last FROM n GROUP BY 1")
+@query(f"WITH {_N} SELECT paper_id, CAST(1 AS INTEGER) AS first, CAST(k AS INTEGER) AS last FROM w")
 def q_question_range_parse(spark: SparkSession, d: str) -> DataFrame:
     return G.lines_of(exam_pages(spark, d)).select("paper_id", G.question_range(F.col("text")).alias("q")).where("q IS NOT NULL").select("paper_id", "q.first", "q.last")
 
 
-@query(f"WITH {_N} SELECT paper_id, kind, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT paper_id FROM n), (VALUES ('listening'), ('translation')) k(kind)")
-def q_classify_heading(spark: SparkSession, d: str) -> DataFrame:
+def _with_part(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with the part in force; a part's number may stand on the line behind it."""
+    t = F.col("text")
     lines = G.lines_of(exam_pages(spark, d))
-    kinds = lines.select("paper_id", G.classify_heading(F.col("text"), F.lit("listening")).alias("kind")).where("kind <> 'unknown'")
+    after = F.lead(G.bare_roman(t)).over(Window.partitionBy("paper_id").orderBy("page_number", "line_no"))
+    lines = lines.withColumn("roman", F.coalesce(G.part_roman(t), F.when(t.rlike(r"(?i)\APart\z"), after)))
+    part = F.when(F.col("roman") == "II", "listening").when(F.col("roman") == "III", "reading").when(F.col("roman") == "IV", "translation")
+    return R.carried(lines, ["paper_id"], [F.col("page_number"), F.col("line_no")], part, "part")
+
+
+@query(
+    f"""WITH {_N} SELECT paper_id, kind, CAST(c AS BIGINT) AS n FROM w, (VALUES ('listening', 1), ('reading_bank', 1), ('reading_matching', 1), ('reading_careful', 2), ('translation', 1)) l(kind, c)"""
+)
+def q_classify_heading(spark: SparkSession, d: str) -> DataFrame:
+    kinds = _with_part(spark, d).select("paper_id", G.classify_heading(F.col("text"), F.col("part")).alias("kind")).where("kind <> 'unknown'")
     return kinds.groupBy("paper_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_N} SELECT paper_id, 'Directions: Write your answer on Answer Sheet 2.' AS directions, trim('中文 ' || lower(substr(last(letters ORDER BY n), 1, 60))) AS rest FROM n GROUP BY paper_id")
+@query(f"WITH {_N} SELECT paper_id, doc_id, 'Directions: Write your answer on Answer Sheet 2.' AS directions, {_JOINED.format("'中文'", 'p')} AS rest FROM n")
 def q_directions_split(spark: SparkSession, d: str) -> DataFrame:
-    """Directions and prompt on one line, parted by the known ending."""
-    last = exam_pages(spark, d).where(F.col("page_number") == QUESTIONS + 1)
-    line = F.regexp_replace(F.regexp_replace("text", "^[^\n]*\n", ""), "\n7\n", " ")
-    return last.select("paper_id", G.directions(line).alias("x")).select("paper_id", "x.directions", "x.rest")
+    """Directions and a whole text on one line, parted by the known ending."""
+    line = F.concat(F.lit("Directions: Write your answer on Answer Sheet 2. "), F.array_join(F.concat(F.array(F.lit("中文")), "pieces"), " "))
+    return _numbered(spark, d).select("paper_id", "doc_id", G.directions(line).alias("x")).select("paper_id", "doc_id", "x.directions", "x.rest")
 
 
 @query("SELECT doc_id, count(*) AS lines, CAST(count(*) FILTER (regexp_matches(l, '^Answer Sheet')) AS BIGINT) AS sheets FROM (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN 'Answer Sheet 2' || chr(10) || text ELSE text END, chr(10))) AS l FROM documents) GROUP BY 1")
@@ -92,21 +161,23 @@ def q_answer_sheet(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(G.is_answer_sheet(F.col("l"))).alias("sheets"))
 
 
-@query(f"WITH {_N} SELECT paper_id, count(*) * 4 + 1 AS labelled, count(*) + 1 AS other, CAST(2 AS BIGINT) AS parts FROM n GROUP BY 1")
+@query(f"WITH {_N} SELECT paper_id, 4 * k - 1 + CASE WHEN k > 2 THEN 1 ELSE 0 END + picks + 5 AS labelled, docs + 3 AS other, CAST(3 AS BIGINT) AS parts FROM w")
 def q_line_tags(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     lines = G.lines_of(exam_pages(spark, d))
     labelled = (F.size(G.options(t)) > 0) | G.section_label(t).isNotNull()
     other = G.question_lead(t).isNotNull() | G.question_range(t).isNotNull()
-    return lines.groupBy("paper_id").agg(F.count_if(labelled).alias("labelled"), F.count_if(other).alias("other"), F.count_if(G.part_roman(t).isNotNull()).alias("parts"))
+    return lines.groupBy("paper_id").agg(F.count_if(labelled).alias("labelled"), F.count_if(other).alias("other"), F.count_if(G.is_part_line(t)).alias("parts"))
 
 
-@query(f"WITH {_N} SELECT paper_id, 'listening' AS part, count(*) * 5 + 4 AS lines FROM n GROUP BY 1 UNION ALL SELECT DISTINCT paper_id, 'translation', CAST(3 AS BIGINT) FROM n")
+@query(
+    f"""WITH {_N}, c AS (SELECT paper_id, CASE kind WHEN 0 THEN 'listening' ELSE 'reading' END AS part, CASE kind WHEN 0 THEN 5 + CASE WHEN number % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN number = 1 THEN 1 ELSE 0 END + CASE WHEN number = 3 THEN 1 ELSE 0 END WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 3 END + len(p) AS lines FROM n
+    UNION ALL SELECT paper_id, 'listening', 4 FROM w UNION ALL SELECT paper_id, 'reading', 6 + 2 + CASE WHEN banks > 0 THEN 1 ELSE 0 END + 4 FROM w UNION ALL SELECT paper_id, 'translation', 2 + 1 + len(last) + 3 FROM w)
+    SELECT paper_id, part, CAST(sum(lines) AS BIGINT) AS lines FROM c GROUP BY 1, 2"""
+)
 def q_part_heading(spark: SparkSession, d: str) -> DataFrame:
     """Lines by the part in force."""
-    lines = G.lines_of(exam_pages(spark, d)).withColumn("roman", G.part_roman(F.col("text")))
-    part = F.when(F.col("roman") == "II", "listening").when(F.col("roman") == "IV", "translation")
-    return R.carried(lines, ["paper_id"], [F.col("page_number"), F.col("line_no")], part, "part").groupBy("paper_id", "part").agg(F.count("*").alias("lines"))
+    return _with_part(spark, d).groupBy("paper_id", "part").agg(F.count("*").alias("lines"))
 
 
 @query("SELECT doc_id, l AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM (SELECT doc_id, text || chr(10) || doc_id || chr(10) || '第 ' || doc_id || ' 页 共 ' || n_chars || ' 页' AS text FROM documents)) WHERE NOT regexp_matches(l, '^[0-9]+$') AND NOT regexp_matches(l, '^第\\s*[0-9]+\\s*页')")
@@ -171,14 +242,32 @@ def q_section_ffill(spark: SparkSession, d: str) -> DataFrame:
     return R.carried(S.jobs(spark, d), ["paper_id"], [F.col("ts"), F.col("event_id")], F.when(F.col("stage") == "signup", F.col("event_id")), "section").select("event_id", F.coalesce("section", F.lit(-1)).alias("section"))
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS order_index FROM documents")
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS order_index FROM documents")
 def q_renumber(spark: SparkSession, d: str) -> DataFrame:
-    return S.documents(spark, d).select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("order_index"))
+    return R.numbered(S.documents(spark, d).select("source", "doc_id"), "source", "doc_id", "order_index").select("doc_id", "order_index")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as questions (every third part) and options of a paper, numbered by supplier."""
+    order = F.row_number().over(Window.partitionBy("paper_id").orderBy("order_index", "part", "source", "x")).cast("int")
+    return S.items(spark, d).select(
+        "paper_id", (F.col("source") % 4).cast("int").alias("question_number"), F.char((F.lit(65) + F.col("part") % 4).cast("long")).alias("option_label"), order.alias("order_index"), (F.col("part") % 3 == 0).alias("is_question"), (F.col("part") % 11 > 0).alias("substantive")
+    )
+
+
+_ASKED = "a AS (SELECT l_orderkey AS p, l_suppkey % 4 AS q, chr(CAST(65 + l_partkey % 4 AS INTEGER)) AS l, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o, l_partkey % 3 = 0 AS asked FROM lineitem)"
 
 
-@query("SELECT o_orderkey AS paper_id, o_orderstatus AS status, l_linenumber AS order_index, count(*) AS options FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+@query(
+    f"""WITH {_ASKED}, t AS (SELECT p, q, max(o) AS o FROM a WHERE asked GROUP BY 1, 2) SELECT t.p AS paper_id, CAST(t.q AS INTEGER) AS question_number, CAST(t.o AS INTEGER) AS question,
+    coalesce(string_agg(a.l, '' ORDER BY a.o), '') AS labels FROM t LEFT JOIN a ON a.p = t.p AND a.q = t.q AND NOT a.asked GROUP BY ALL"""
+)
 def q_option_assign(spark: SparkSession, d: str) -> DataFrame:
-    return S.items(spark, d).join(S.papers(spark, d).select("paper_id", "status"), "paper_id").groupBy("paper_id", "status", "order_index").agg(F.count("*").alias("options"))
+    """Options joined to the last question of their number, wherever in the paper they stand."""
+    rows = _asked(spark, d)
+    questions = rows.where("is_question").groupBy("paper_id", "question_number").agg(F.max("order_index").alias("question"))
+    given = rows.where("NOT is_question").groupBy("paper_id", "question_number").agg(F.array_sort(F.collect_list(F.struct("order_index", "option_label"))).alias("o"))
+    return questions.join(given, ["paper_id", "question_number"], "left").select("paper_id", "question_number", "question", F.coalesce(F.expr("array_join(transform(o, x -> x.option_label), '')"), F.lit("")).alias("labels"))
 
 
 @query("SELECT l_orderkey AS paper_id, l_linenumber AS question_number, l_partkey AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r > 1")
@@ -187,37 +276,34 @@ def q_option_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return S.items(spark, d).withColumn("r", F.row_number().over(w)).where("r > 1").select("paper_id", F.col("order_index").alias("question_number"), "part")
 
 
-@query(
-    """WITH b AS (SELECT l_orderkey AS p, l_linenumber AS q, chr(CAST(65 + l_partkey % 4 AS INTEGER)) AS l, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o FROM lineitem),
-    r AS (SELECT *, row_number() OVER (PARTITION BY p, q, l ORDER BY o DESC) AS r FROM b), k AS (SELECT * FROM r WHERE r = 1), s AS (SELECT *, row_number() OVER (PARTITION BY p, l ORDER BY q, o) AS n FROM r WHERE r > 1),
-    e AS (SELECT p, q, l, row_number() OVER (PARTITION BY p, l ORDER BY q) AS n FROM (SELECT DISTINCT p, q FROM b), (VALUES ('A'), ('B'), ('C'), ('D')) v(l) WHERE (p, q, l) NOT IN (SELECT (p, q, l) FROM k))
-    SELECT p AS paper_id, q AS question_number, l AS option_label, CAST(o AS INTEGER) AS order_index FROM k UNION ALL SELECT s.p, e.q, s.l, CAST(s.o AS INTEGER) FROM s JOIN e ON s.p = e.p AND s.l = e.l AND s.n = e.n WHERE e.q < s.q"""
-)
+@query()
 def q_option_repair(spark: SparkSession, d: str) -> DataFrame:
-    numbers = S.items(spark, d).withColumn("o", F.row_number().over(Window.partitionBy("paper_id").orderBy("order_index", "part", "source", "x")).cast("int")).select(
-        "paper_id", F.col("order_index").alias("question_number"), F.char((F.lit(65) + F.col("part") % 4).cast("long")).alias("option_label"), F.col("o").alias("order_index")
-    )
-    return G.repaired_options(numbers)
+    """Where the options of each paper belong after repair; a test holds it against plain Python."""
+    return G.repaired_options(_asked(spark, d))
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations)
-    SELECT conv_id AS paper_id, CAST(island AS BIGINT) AS island, count(*) AS parts, sha256(string_agg(text, ' ' ORDER BY turn)) AS merged FROM t GROUP BY ALL"""
+    """WITH t AS (SELECT conv_id, turn, role, sum(CASE WHEN conv_id % 2 = 0 AND role <> 'assistant' OR conv_id % 2 = 1 OR f THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island
+      FROM (SELECT *, coalesce(last_value(CASE WHEN role <> 'assistant' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') <> 'user' AS f FROM conversations))
+    SELECT conv_id AS paper_id, CAST(min(turn) AS BIGINT) AS order_index, string_agg('t' || turn, ' ' ORDER BY turn) AS original_text FROM t GROUP BY conv_id, island"""
 )
 def q_question_merge(spark: SparkSession, d: str) -> DataFrame:
-    """A question with the paragraphs that continue it."""
-    rows = R.islands(S.blocks(spark, d), ["paper_id"], [F.col("order_index")], F.col("block_type") == "user")
-    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "original_text"))), lambda x: x.original_text), " ")
-    return rows.groupBy("paper_id", "island").agg(F.count("*").alias("parts"), F.sha2(merged, 256).alias("merged"))
+    """Conversations as sections, every second one of matching: a question takes the paragraphs that continue it."""
+    kind = F.when(F.col("block_type") == "user", "question").when(F.col("block_type") == "assistant", "paragraph").otherwise("heading")
+    rows = S.blocks(spark, d).select(
+        "paper_id", F.lit(0).alias("section_no"), F.when(F.col("paper_id") % 2 == 0, "reading_matching").otherwise("reading_careful").alias("section_type"), kind.alias("block_type"),
+        F.lit(None).cast("string").alias("option_label"), F.concat(F.lit("t"), F.col("order_index").cast("string")).alias("original_text"), F.col("order_index").cast("long").alias("order_index"),
+    )
+    return G.merged_questions(rows).select("paper_id", "order_index", "original_text")
 
 
 @query(
-    """WITH t AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS s FROM events),
-    i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM t) SELECT user_id AS paper_id, CAST(island AS BIGINT) - 1 AS section, event_type AS type, count(*) AS blocks FROM i GROUP BY ALL"""
+    """WITH t AS (SELECT event_id, user_id, event_type, row_number() OVER w AS n, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT event_id, CAST(sum(CASE WHEN b IS NULL OR NOT (b = 'click' AND event_type = 'click') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n) - 1 AS INTEGER) AS section_no, CAST(n - 1 AS INTEGER) AS order_index FROM t"""
 )
 def q_finalize_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring sections of one type merged and renumbered."""
-    order = [F.col("ts"), F.col("event_id")]
-    rows = S.jobs(spark, d).withColumn("before", F.lag("stage").over(Window.partitionBy("paper_id").orderBy(*order)))
-    rows = R.islands(rows, ["paper_id"], order, ~F.col("before").eqNullSafe(F.col("stage")))
-    return rows.groupBy("paper_id", (F.col("island") - 1).alias("section"), F.col("stage").alias("type")).agg(F.count("*").alias("blocks"))
+    """Events as sections of one block each: neighbouring ones of careful reading become one, the rest stay apart."""
+    n = F.row_number().over(Window.partitionBy("paper_id").orderBy("ts", "event_id"))
+    kind = F.when(F.col("stage") == "click", "reading_careful").otherwise(F.col("stage"))
+    rows = S.jobs(spark, d).select("paper_id", "event_id", n.alias("after"), F.lit(0).alias("step"), n.alias("section_no"), kind.alias("section_type"), F.col("stage").alias("title"))
+    return G.finalized(rows).select("event_id", "section_no", "order_index")

@@ -105,6 +105,95 @@ def test_two_columns(spark):
     assert L.page_texts(frame, ["page"]).first().text == "A\nB\nC\nD"
 
 
+def parsed(spark, *pages):
+    frame = spark.createDataFrame([("p", i, text) for i, text in enumerate(pages, 1)], "paper_id string, page_number int, text string")
+    return G.blocks_of(G.lines_of(frame)).orderBy("order_index").collect()
+
+
+def test_questions_without_a_section_open_one(spark):
+    got = parsed(spark, "1. What is it?\nA) one B) two\nC) three\nD) four")
+    assert [(b.section_type, b.block_type, b.original_text) for b in got] == [("unknown", "question", "1. What is it?"), *(("unknown", "option", x) for x in ("A) one", "B) two", "C) three", "D) four"))]
+    got = parsed(spark, "Section A\nsome words\n36. later on\n47. last")
+    assert [(b.section_no, b.section_type, b.title) for b in got] == [(0, "unknown", "Section A"), (1, "reading_matching", "长篇匹配"), (2, "reading_careful", "仔细阅读")]
+
+
+def test_a_section_waits_for_the_word_bank(spark):
+    bank = " ".join(f"{chr(75 + i)}) word{'abcde'[i]}" for i in range(5))
+    got = parsed(spark, f"Part III Reading Comprehension\nSection A\nA)\naffect\nB) beyond\nSection B\nDirections: You may choose more than once. First part.\n{bank}\nA) Last week.")
+    assert [(b.section_type, b.block_type, b.original_text) for b in got[1:3]] == [("reading_bank", "word_bank", "A) affect"), ("reading_bank", "word_bank", "B) beyond")]
+    assert [(b.section_type, b.block_type, b.original_text) for b in got[8:]] == [("reading_matching", "directions", "Directions: You may choose more than once."), ("reading_matching", "paragraph", "First part."), ("reading_matching", "paragraph", "A) Last week.")]
+
+
+def test_a_section_waits_for_option_d(spark):
+    got = parsed(spark, "Part II\nListening Comprehension\n(30 minutes)\nSection A\n1.\nA) one\nB) two\nSection B\nC) three\nD) four\nQuestions 9 to 11 are next.")
+    assert [(b.section_no, b.option_label or b.block_type) for b in got] == [(0, "heading"), (0, "question"), (0, "A"), (0, "B"), (0, "C"), (0, "D"), (1, "question_group")]
+
+
+def test_surplus_options_of_late_columns_go_back(spark):
+    got = parsed(spark, """Part II
+Listening Comprehension
+Section B
+Questions 9 to 11 are based on the passage you have just heard.
+9.
+A) Santa Claus.
+B) A polar bear.
+10.
+A) To attract customer attention.
+B) To keep up with the times.
+C) To combat counterfeits.
+D) To promote its sales.
+Questions 12 to 15 are based on the passage you have just heard.
+13.
+A) Social anxiety.
+B) Excessive caution.
+Questions 16 to 18 are based on the recording you have just heard.
+18.
+A) They toil on farms.
+C) Cocoa seeds.
+D) A glass bottle.
+C) Lack of social skills.
+D) Preference for solitude.
+C) They live in Spanish-style houses.
+B) They live a poor life.
+D) They hire people to do housework.""")
+    labels = lambda n: [b.option_label for b in got if b.block_type == "option" and b.question_number == n]
+    assert labels(9) == ["A", "B", "C", "D"] and labels(13) == ["A", "B", "C", "D"] and labels(18) == ["A", "C", "B", "D"]
+    assert [b.order_index for b in got] == list(range(len(got)))
+
+
+def test_careful_sections_become_one(spark):
+    got = parsed(spark, "Part III\nReading Comprehension\nSection C\nPassage One\n46. first\nA) a1 B) b1 C) c1 D) d1.\nSection C\nPassage Two\nPart I\nWriting\nsome words")
+    assert [(b.section_no, b.section_type, b.original_text) for b in got if b.block_type == "heading"] == [(0, "reading_careful", "Part III Reading Comprehension"), (0, "reading_careful", "Passage One"), (0, "reading_careful", "Passage Two"), (1, "writing", "Part I Writing")]
+
+
+def test_option_repair_against_plain_python(spark):
+    """The rule itself over random papers: a list of options per question, changed in place."""
+    import random
+
+    random.seed(21)
+    rows = []
+    for paper in range(40):
+        for i in range(random.randint(1, 25)):
+            rows.append((paper, random.randint(1, 5), None if (q := random.random() < 0.25) else random.choice("ABCD"), i, q, random.random() < 0.9))
+    want = []
+    for paper in range(40):
+        own = [r for r in rows if r[0] == paper]
+        numbers = sorted({r[1] for r in own if r[4]})
+        have = {n: [r for r in own if not r[4] and r[1] == n and r[5]] for n in numbers}
+        for n in numbers:
+            for label in "ABCD":
+                have[n, label] = [r for r in have[n] if r[2] == label][:-1]
+            for r in sorted(sum((have[n, x] for x in "ABCD"), []), key=lambda r: r[3]):
+                have[n].remove(r)
+                for m in numbers:
+                    if m < n and len(have[m]) < 4 and r[2] not in [x[2] for x in have[m]]:
+                        have[m].append(r)
+                        break
+        want += [(paper, r[3], n) for n in numbers for r in have[n]] + [(paper, r[3], r[1]) for r in own if not r[4] and r[1] not in numbers]
+    frame = spark.createDataFrame(rows, "paper_id int, question_number int, option_label string, order_index int, is_question boolean, substantive boolean")
+    assert sorted((r.paper_id, r.order_index, r.question_number) for r in G.repaired_options(frame).collect()) == sorted(want)
+
+
 def test_paper(spark):
     pages = [
         ("p", 1, "Text before any section\nPart II\nListening Comprehension\nSection A\nDirections:\nThen mark the corresponding letter on\nAnswer Sheet 1\nwith a single line through the centre.\nQuestions 1 to 4 are based on the conversation you have just heard."),
@@ -116,7 +205,8 @@ def test_paper(spark):
     assert {b["section_type"] for b in blocks} == {"listening", "reading_matching"}
     options = [b for b in blocks if b["block_type"] == "option"]
     assert [(b["option_label"], b["question_number"]) for b in options] == [("A", 1), ("B", 1), ("C", 1), ("D", 1)]
-    assert options[2]["original_text"] == "She is an acclaimed hostess of Book Talk."
+    assert options[2]["original_text"] == "C) She is an acclaimed hostess of Book Talk."
+    assert blocks[0]["original_text"] == "Part II Listening Comprehension"
     assert [b["original_text"] for b in blocks if b["section_type"] == "reading_matching" and b["block_type"] == "paragraph"] == ["A) Last week we met.", "B) The practice goes on."]
     assert [b["order_index"] for b in blocks] == list(range(len(blocks)))
 
@@ -125,10 +215,9 @@ def test_no_markers_no_sections(spark):
     assert G.blocks_of(G.lines_of(spark.createDataFrame([("p", 1, "only prose\nhere")], "paper_id string, page_number int, text string"))).count() == 0
 
 
-def test_option_repair(spark):
-    rows = [("p", 1, "A", 0), ("p", 1, "B", 1), ("p", 2, "A", 2), ("p", 2, "C", 3), ("p", 2, "C", 4)]
-    got = G.repaired_options(spark.createDataFrame(rows, "paper_id string, question_number int, option_label string, order_index int")).collect()
-    assert sorted((r.question_number, r.option_label, r.order_index) for r in got) == [(1, "A", 0), (1, "B", 1), (1, "C", 3), (2, "A", 2), (2, "C", 4)]
+def test_words_before_an_option_begin_its_section(spark):
+    got = parsed(spark, "early words\nA) one\nlate\n2.")
+    assert [(b.section_type, b.block_type, b.original_text) for b in got] == [("unknown", "paragraph", "early words"), ("unknown", "option", "A) one late"), ("listening", "question", "2.")]
 
 
 def test_batches(spark):

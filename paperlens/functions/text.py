@@ -19,7 +19,9 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def normalize_for_hash(c: Column) -> Column:
-    return F.lower(trim(F.translate(squeeze(nfkc(c)), "“”‘’", "\"\"''")))
+    """ASCII texts, which NFKC leaves alone, are not sent to Python."""
+    formed = F.coalesce(nfkc(F.when(F.octet_length(c) != F.char_length(c), c)), c)
+    return F.lower(trim(F.translate(squeeze(formed), "“”‘’", "\"\"''")))
 
 
 def text_hash(c: Column) -> Column:

@@ -82,3 +82,28 @@ def numbered(rows: DataFrame, group: str, key: str, into: str = "place", total:
     place = F.col("_start") + F.row_number().over(Window.partitionBy(group, "_range").orderBy(key)) - 1
     out = cut.join(starts, [group, "_range"]).withColumn(into, place)
     return out.select(*rows.columns, into, *([F.col("_total").alias(total)] if total else []))
+
+
+def acceptable(name: Column, kind: Column) -> Column:
+    """Files that an upload takes, by ending or by type."""
+    return F.lower(name).endswith(".pdf") | (kind == "application/pdf")
+
+
+def enqueued(queue: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The queue and, of incoming rows, the first of each key that the queue does not have."""
+    new = incoming.join(queue.select(*keys).distinct(), keys, "left_anti")
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.struct(*order)).alias("first")).select("first.*")
+    return queue.unionByName(first)
+
+
+def run_state(log: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, status, total, completed of each run. log: key, step, value, order columns. A step start sets the total and nothing completed, update sets
+    what is completed, finish completes all, fail keeps what is completed. A run without a start is idle, with a total of 0. One pass
+    of partial aggregates: the last step of three kinds says it all."""
+    last = lambda what, *steps: F.max_by(F.when(F.col("step").isin(*steps), what), F.when(F.col("step").isin(*steps), F.struct(*order)))
+    folded = log.groupBy(key).agg(
+        F.coalesce(last(F.col("value"), "start"), F.lit(0)).alias("total"), last(F.struct("step", "value"), "start", "update", "finish").alias("moved"), last(F.col("step"), "start", "finish", "fail").alias("turned")
+    )
+    status = F.when(F.col("turned") == "start", "running").when(F.col("turned") == "finish", "finished").when(F.col("turned") == "fail", "failed").otherwise("idle")
+    completed = F.when(F.col("moved.step") == "update", F.col("moved.value")).when(F.col("moved.step") == "finish", F.col("total")).otherwise(F.lit(0))
+    return folded.select(key, status.alias("status"), "total", completed.alias("completed"))

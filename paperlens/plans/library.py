@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from paperlens.functions import metadata as meta
 from paperlens.functions import text as T
+from paperlens.operators import reading as V
 from paperlens.operators import relational as R
 from paperlens.plans.registry import query
+from paperlens.sources import scratch
 from paperlens.sources import tables as S
 
 
@@ -95,7 +97,7 @@ def q_section_type_filter(spark: SparkSession, d: str) -> DataFrame:
 def _named(spark: SparkSession, d: str) -> DataFrame:
     """Papers with file names made of their date and status."""
     kind = F.when(F.col("status") == "F", "真题").when(F.col("status") == "O", "答案解析").otherwise("材料")
-    return S.papers(spark, d).select("paper_id", "created_at", F.concat(F.date_format("created_at", "yyyy"), F.lit("年"), F.date_format("created_at", "MM"), F.lit("月六级"), kind, F.lit("（"), F.col("paper_id").cast("string"), F.lit("）.PDF")).alias("name"))
+    return S.papers(spark, d).select("paper_id", "owner_id", "created_at", F.concat(F.date_format("created_at", "yyyy"), F.lit("年"), F.date_format("created_at", "MM"), F.lit("月六级"), kind, F.lit("（"), F.col("paper_id").cast("string"), F.lit("）.PDF")).alias("name"))
 
 
 _NAMED = """n AS (SELECT o_orderkey AS paper_id, strftime(o_orderdate, '%Y') || '年' || strftime(o_orderdate, '%m') || '月六级' || CASE o_orderstatus WHEN 'F' THEN '真题' WHEN 'O' THEN '答案解析' ELSE '材料' END || '（' || o_orderkey || '）.PDF' AS name FROM orders),
@@ -105,7 +107,7 @@ m AS (SELECT paper_id, name, title, coalesce(y1, y2, '未识别年份') AS year,
 
 
 def _with_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return _named(spark, d).withColumn("m", meta.metadata(F.col("name"))).select("paper_id", "name", "created_at", meta.title(F.col("name")).alias("title"), "m.*")
+    return _named(spark, d).withColumn("m", meta.metadata(F.col("name"))).select("paper_id", "owner_id", "name", "created_at", meta.title(F.col("name")).alias("title"), "m.*")
 
 
 @query(f"WITH {_NAMED} SELECT paper_id, title, year, month, kind, CASE kind WHEN 'exam' THEN '真题' WHEN 'answer' THEN '答案解析' ELSE '其他资料' END AS kind_label FROM m")
@@ -126,9 +128,15 @@ def q_library_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.col("year") == year) if year.isdigit() else rows
 
 
-@query(f"WITH {_NAMED} SELECT year, count(*) AS n, arg_max(title, (o_orderdate, paper_id)) AS newest FROM m JOIN orders ON o_orderkey = paper_id GROUP BY year")
+@query(
+    f"""WITH {_NAMED} SELECT o_custkey AS owner_id, year, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY year DESC) AS INTEGER) AS place, count(*) AS n, string_agg(title, '|' ORDER BY o_orderdate DESC, paper_id DESC) AS titles
+    FROM m JOIN orders ON o_orderkey = paper_id GROUP BY 1, 2"""
+)
 def q_library_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _with_metadata(spark, d).groupBy("year").agg(F.count("*").alias("n"), F.max_by("title", F.struct("created_at", "paper_id")).alias("newest"))
+    """An owner's papers by year, the latest year first and the newest paper first."""
+    newest = F.array_sort(F.collect_list(F.struct("created_at", "paper_id", "title")), lambda a, b: F.when(F.struct(a.created_at, a.paper_id) > F.struct(b.created_at, b.paper_id), -1).otherwise(1))
+    groups = _with_metadata(spark, d).groupBy("owner_id", "year").agg(F.count("*").alias("n"), F.array_join(F.transform(newest, lambda x: x.title), "|").alias("titles"))
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("year"))))
 
 
 @query(f"WITH {_NAMED} SELECT DISTINCT year FROM m WHERE year <> '未识别年份'")
@@ -141,14 +149,28 @@ def q_kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return _with_metadata(spark, d).agg(F.count_if(F.col("kind") == "exam").alias("exams"), F.count_if(F.col("kind") == "answer").alias("answers"), F.count("*").alias("papers"))
 
 
-@query("SELECT page_id, url, lower(url) LIKE '%.html' OR starts_with(html, '<!DOCTYPE') AS accepted FROM pages")
+_NAME = "CASE WHEN page_id % 3 = 0 THEN url || '.PDF' ELSE url END"
+
+
+@query(f"SELECT page_id, lower({_NAME}) LIKE '%.pdf' OR page_id % 5 = 0 AS accepted FROM pages")
 def q_upload_accept(spark: SparkSession, d: str) -> DataFrame:
-    return S.table(spark, d, "pages").select("page_id", "url", (F.lower("url").endswith(".html") | F.col("html").startswith("<!DOCTYPE")).alias("accepted"))
+    """Pages as files, some with the ending and some with the type that an upload needs."""
+    kind = F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html")
+    return S.table(spark, d, "pages").select("page_id", R.acceptable(F.expr(_NAME), kind).alias("accepted"))
 
 
-@query("SELECT source, n_chars, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
+_FILES = "SELECT doc_id, source || CASE lang WHEN 'fr' THEN '.txt' ELSE '.Pdf' END AS name, n_chars // 100 AS size, lang AS modified FROM documents"
+
+
+@query(
+    f"""WITH f AS ({_FILES}), q AS (SELECT * FROM f WHERE doc_id % 2 = 0) SELECT doc_id, name FROM q
+    UNION ALL SELECT min(doc_id), name FROM f WHERE doc_id % 2 = 1 AND name LIKE '%.Pdf' AND NOT EXISTS (SELECT 1 FROM q WHERE q.name = f.name AND q.size = f.size AND q.modified = f.modified) GROUP BY name, size, modified"""
+)
 def q_upload_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return S.documents(spark, d).groupBy("source", "n_chars", "lang").agg(F.min("doc_id").alias("doc_id"))
+    """A queue and the files that join it: acceptable ones whose key is neither in it nor has just joined."""
+    files = S.documents(spark, d).selectExpr("doc_id", "source || CASE lang WHEN 'fr' THEN '.txt' ELSE '.Pdf' END AS name", "n_chars div 100 AS size", "lang AS modified")
+    incoming = files.where("doc_id % 2 = 1").where(R.acceptable(F.col("name"), F.lit("")))
+    return R.enqueued(files.where("doc_id % 2 = 0"), incoming, ["name", "size", "modified"], ["doc_id"]).select("doc_id", "name")
 
 
 @query("SELECT page_id, sha256(html) AS file_hash, octet_length(encode(html)) AS n_bytes FROM pages")
@@ -169,7 +191,8 @@ def q_hash_backfill(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_dup_lookup(spark: SparkSession, d: str) -> DataFrame:
     failed = S.table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("failed"))
-    rows = S.documents(spark, d).join(failed, "doc_id", "left").select("doc_id", T.text_hash(F.col("text")).alias("text_hash"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    hashes = scratch.once(S.documents(spark, d).select("doc_id", T.text_hash(F.col("text")).alias("text_hash")), "hashes")
+    rows = hashes.join(failed, "doc_id", "left").select("doc_id", "text_hash", F.coalesce("failed", F.lit(False)).alias("failed"))
     newest = rows.where(~F.col("failed")).groupBy("text_hash").agg(F.max("doc_id").alias("original"))
     return rows.join(newest, "text_hash", "left").select("doc_id", F.coalesce("original", F.lit(-1)).alias("original"), (F.col("doc_id") != F.coalesce("original", "doc_id")).alias("duplicate"))
 
@@ -217,9 +240,8 @@ def q_status_event_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(8 + round(38.0 * row_number() OVER (PARTITION BY source ORDER BY doc_id) / count(*) OVER (PARTITION BY source)) AS BIGINT) AS progress FROM documents")
 def q_page_progress(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source")
-    share = F.lit(38.0) * F.row_number().over(w.orderBy("doc_id")) / F.count("*").over(w)
-    return S.documents(spark, d).select("doc_id", "source").select("doc_id", (8 + F.round(share)).cast("long").alias("progress"))
+    rows = R.numbered(S.documents(spark, d).select("doc_id", "source"), "source", "doc_id", "place", "total")
+    return rows.select("doc_id", (8 + F.round(F.lit(38.0) * (F.col("place") + 1) / F.col("total"))).cast("long").alias("progress"))
 
 
 @query("SELECT conv_id AS paper_id, least(100, CAST(round(100.0 * count(*) FILTER (role = 'assistant') / count(*)) AS BIGINT)) AS percent FROM conversations GROUP BY 1")
@@ -235,13 +257,15 @@ def q_progress_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id AS paper_id, count(*) FILTER (event_type = 'click') AS completed, count(*) AS updates, CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'finished' ELSE 'running' END AS state,
-    CASE WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN count(*) ELSE count(*) FILTER (event_type = 'click') END AS shown FROM events GROUP BY 1"""
+    """WITH o AS (SELECT user_id, event_type AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events),
+    s AS (SELECT user_id, coalesce(arg_max(v, o) FILTER (t = 'signup'), 0) AS total, arg_max(t, o) FILTER (t IN ('signup', 'click', 'purchase')) AS moved, arg_max(v, o) FILTER (t IN ('signup', 'click', 'purchase')) AS v,
+      arg_max(t, o) FILTER (t IN ('signup', 'purchase', 'error')) AS turned FROM o GROUP BY 1)
+    SELECT user_id AS paper_id, CASE turned WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' ELSE 'idle' END AS status, total, CASE moved WHEN 'click' THEN v WHEN 'purchase' THEN total ELSE 0 END AS completed FROM s"""
 )
 def q_progress_state(spark: SparkSession, d: str) -> DataFrame:
-    folded = S.jobs(spark, d).groupBy("paper_id").agg(F.count_if(F.col("stage") == "click").alias("completed"), F.count("*").alias("updates"), F.max_by("stage", F.struct("ts", "event_id")).alias("last"))
-    state = F.when(F.col("last") == "error", "failed").when(F.col("last") == "purchase", "finished").otherwise("running")
-    return folded.select("paper_id", "completed", "updates", state.alias("state"), F.when(F.col("last") == "purchase", F.col("updates")).otherwise(F.col("completed")).alias("shown"))
+    """Events as a run's progress: a signup starts it anew with a total, a click sets how much is done, a purchase finishes it, an error fails it."""
+    step = F.when(F.col("stage") == "signup", "start").when(F.col("stage") == "click", "update").when(F.col("stage") == "purchase", "finish").when(F.col("stage") == "error", "fail")
+    return R.run_state(S.jobs(spark, d).select("paper_id", step.alias("step"), F.col("progress").alias("value"), "ts", "event_id"), "paper_id", ["ts", "event_id"])
 
 
 @query("SELECT event_type AS stage, count(*) AS n, count(*) FILTER (value >= 40) AS finished, sum(least(82, CAST(round(value / 100 * 82) AS BIGINT)))::BIGINT AS percents, sum(CAST(floor(value * 1000 / 1000) AS BIGINT))::BIGINT AS seconds FROM events GROUP BY 1")
@@ -272,10 +296,26 @@ def q_safe_filename(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
-@query("SELECT min(n) AS first FROM (SELECT TRY_CAST(nullif(regexp_extract(url, '([0-9]+)', 1), '') AS BIGINT) AS n FROM pages)")
+_SHOT = "regexp_replace(url, '^.*/', '') || CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '.txt' END"
+
+
+@query(f"WITH f AS (SELECT {_SHOT} AS name FROM pages) SELECT arg_min(name, (coalesce(TRY_CAST(nullif(regexp_extract(name, '([0-9]+)', 1), '') AS BIGINT), 9223372036854775807), name)) AS first FROM f WHERE name LIKE '%.png'")
 def q_natural_sort_first(spark: SparkSession, d: str) -> DataFrame:
-    number = F.nullif(F.regexp_extract("url", "([0-9]+)", 1), F.lit("")).try_cast("long")
-    return S.table(spark, d, "pages").select(number.alias("n")).agg(F.min("n").alias("first"))
+    """Of the pictures in a folder the first by the number in its name, then by name."""
+    files = S.table(spark, d, "pages").select(F.expr(_SHOT).alias("name")).where(F.col("name").endswith(".png"))
+    number = F.coalesce(F.nullif(F.regexp_extract("name", "([0-9]+)", 1), F.lit("")).try_cast("long"), F.lit(2**63 - 1))
+    return files.agg(F.min_by("name", F.struct(number, "name")).alias("first"))
+
+
+@query(
+    """WITH s AS (SELECT list_extract(['PARSING', 'OCR', 'STRUCTURING', 'TRANSLATING', 'READY', 'FAILED', 'QUEUED'], event_id % 8 + 1) AS stage FROM events)
+    SELECT coalesce(stage, '-') AS stage, CASE stage WHEN 'PARSING' THEN '抽取文本' WHEN 'OCR' THEN 'OCR 识别' WHEN 'STRUCTURING' THEN '识别题型' WHEN 'TRANSLATING' THEN '生成翻译' WHEN 'READY' THEN '完成' WHEN 'FAILED' THEN '失败' ELSE '等待处理' END AS stage_label,
+    CASE stage WHEN 'READY' THEN '完成' WHEN 'FAILED' THEN '失败' WHEN 'PROCESSING' THEN '处理中' ELSE '排队' END AS status_label, count(*) AS n FROM s GROUP BY stage"""
+)
+def q_stage_labels(spark: SparkSession, d: str) -> DataFrame:
+    stage = F.get(F.array(*map(F.lit, ("PARSING", "OCR", "STRUCTURING", "TRANSLATING", "READY", "FAILED", "QUEUED"))), (F.col("event_id") % 8).cast("int"))
+    rows = S.jobs(spark, d).groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
+    return rows.select(F.coalesce("stage", F.lit("-")).alias("stage"), V.label(F.col("stage"), V.STAGE_LABELS, V.WAITING).alias("stage_label"), V.label(F.col("stage"), V.STATUS_LABELS, V.QUEUED).alias("status_label"), "n")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperlens.functions import text as T
 from paperlens.operators import reading as V
 from paperlens.operators import relational as R
+from paperlens.operators.grammar import type_from_number
 from paperlens.plans.registry import query
 from paperlens.sources import tables as S
 
@@ -43,23 +44,35 @@ def q_section_progress(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("quality").alias("d"), F.count("*").alias("n")).select("source", V.section_progress(F.col("d"), F.col("n")).alias("progress"))
 
 
+_TITLES = ("Part I Writing", "Part II Listening", "Section A 选词填空", "Section  B on Matching", "Section C 仔细阅读", "Part IV Translation", "Section B 短文", "none")
+
+
 @query(
-    """WITH e AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t, min(turn) AS n FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4) GROUP BY 1)
-    SELECT conv_id AS paper_id, CASE WHEN regexp_matches(t, '(?i)Part\\s*II\\b.*Listening') THEN 'listening' WHEN regexp_matches(t, '(?is)reth.*tion') THEN 'reading_careful' WHEN n BETWEEN 1 AND 25 THEN 'listening' ELSE 'unknown' END AS type FROM e"""
+    """WITH e AS (SELECT conv_id, regexp_replace(list_extract(['Part I Writing', 'Part II Listening', 'Section A 选词填空', 'Section  B on Matching', 'Section C 仔细阅读', 'Part IV Translation', 'Section B 短文', 'none'], CAST(conv_id % 8 + 1 AS INTEGER)) || ' ' || string_agg(text, ' ' ORDER BY turn) FILTER (k <= 4), '\\s+', ' ', 'g') AS t,
+      CASE WHEN conv_id % 3 > 0 THEN min(turn) + conv_id % 60 END AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY 1)
+    SELECT conv_id AS paper_id, CASE WHEN regexp_matches(t, '(?i)Part\\s*I\\b.*Writing') THEN 'writing' WHEN regexp_matches(t, '(?i)Part\\s*II\\b.*Listening|Section\\s+[ABC]\\s*(长对话|短文|讲座)') THEN 'listening'
+      WHEN regexp_matches(t, '(?i)Section\\s*A\\b.*(选词填空|word bank)') THEN 'reading_bank' WHEN regexp_matches(t, '(?i)Section\\s*B\\b.*(长篇匹配|matching)') THEN 'reading_matching' WHEN regexp_matches(t, '(?i)Section\\s*C\\b.*(仔细阅读|careful)') THEN 'reading_careful'
+      WHEN regexp_matches(t, '(?i)Part\\s*IV\\b.*Translation') THEN 'translation' WHEN n IS NULL THEN 'own' WHEN n BETWEEN 1 AND 25 THEN 'listening' WHEN n BETWEEN 26 AND 35 THEN 'reading_bank' WHEN n BETWEEN 36 AND 45 THEN 'reading_matching' WHEN n BETWEEN 46 AND 55 THEN 'reading_careful' ELSE 'unknown' END AS type FROM e"""
 )
 def q_section_repair(spark: SparkSession, d: str) -> DataFrame:
-    """A section's type from the evidence of its first four blocks: ordered patterns, then the smallest number."""
+    """Conversations as sections with titles of their own: type by title and first four blocks, else by the smallest number, else as it was."""
     first = R.first_per(S.blocks(spark, d), ["paper_id"], [F.col("order_index")], 4)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "original_text"))), lambda x: x.original_text), " ")
     rows = first.groupBy("paper_id").agg(text.alias("t"), F.min("order_index").alias("n"))
-    kind = F.when(F.col("t").rlike(r"(?i)Part\s*II\b.*Listening"), "listening").when(F.col("t").rlike("(?is)reth.*tion"), "reading_careful").when(F.col("n").between(1, 25), "listening").otherwise("unknown")
-    return rows.select("paper_id", kind.alias("type"))
+    title = F.get(F.array(*map(F.lit, _TITLES)), (F.col("paper_id") % 8).cast("int"))
+    number = F.when(F.col("paper_id") % 3 > 0, F.col("n") + F.col("paper_id") % 60)
+    return rows.select("paper_id", V.type_by_evidence(F.concat_ws(" ", title, "t"), number, F.lit("own")).alias("type"))
 
 
-@query("SELECT b AS bucket, count(*) AS n FROM (SELECT CASE lang WHEN 'en' THEN 'writing' WHEN 'de' THEN 'listening' WHEN 'fr' THEN 'reading' ELSE 'other' END AS b FROM documents) GROUP BY 1 HAVING count(*) > 0")
+@query(
+    """WITH s AS (SELECT source, CASE WHEN doc_id % 8 = 0 THEN 'writing' WHEN doc_id % 8 = 1 THEN 'translation' WHEN doc_id % 60 BETWEEN 1 AND 25 THEN 'listening' WHEN doc_id % 60 BETWEEN 26 AND 55 THEN 'reading' ELSE 'unknown' END AS k FROM documents)
+    SELECT source, CASE k WHEN 'writing' THEN 0 WHEN 'listening' THEN 1 WHEN 'reading' THEN 2 WHEN 'translation' THEN 3 ELSE 4 END AS place, CASE k WHEN 'writing' THEN '写作' WHEN 'listening' THEN '听力' WHEN 'reading' THEN '阅读' WHEN 'translation' THEN '翻译' ELSE '未分类' END AS label, count(*) AS n FROM s GROUP BY source, k"""
+)
 def q_directory_groups(spark: SparkSession, d: str) -> DataFrame:
-    bucket = F.when(F.col("lang") == "en", "writing").when(F.col("lang") == "de", "listening").when(F.col("lang") == "fr", "reading").otherwise("other")
-    return S.documents(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where("n > 0")
+    """Documents as sections of a source, in the five groups of the directory; empty groups are not shown."""
+    n = F.col("doc_id")
+    kind = F.when(n % 8 == 0, "writing").when(n % 8 == 1, "translation").otherwise(type_from_number(n % 60))
+    return S.documents(spark, d).groupBy("source", V.directory_group(kind).alias("g")).agg(F.count("*").alias("n")).select("source", "g.place", "g.label", "n")
 
 
 @query("SELECT p_brand, p_partkey, p_name, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY ascii(upper(substr(p_name, 1, 1))) - 65, p_partkey) AS INTEGER) AS place FROM part")
@@ -111,13 +124,15 @@ v AS (SELECT source, word, count(*) AS count, max(met) AS last FROM w GROUP BY 1
 
 
 def _cards(spark: SparkSession, d: str) -> DataFrame:
-    words = S.documents(spark, d).select("source", F.col("doc_id").alias("at"), T.context(F.col("text")).alias("context"), F.explode(T.words(F.col("text"))).alias("w"))
-    return V.vocabulary(words.select("source", "at", "context", F.lower("w").alias("word")), ["source"])
+    words = S.documents(spark, d).select("source", F.col("doc_id").alias("at"), F.explode(T.words(F.col("text"))).alias("w"))
+    return V.vocabulary(words.select("source", "at", F.lower("w").alias("word")), ["source"])
 
 
-@query(f"WITH {_V} SELECT source, word, count, last FROM v")
+@query(f"WITH {_V} SELECT source, word, count, last, left(text, 5) AS context FROM v JOIN (SELECT doc_id AS last, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents) USING (last)")
 def q_vocab_fold(spark: SparkSession, d: str) -> DataFrame:
-    return _cards(spark, d).select("source", "word", "count", "last")
+    """Cards with the beginning of their context."""
+    cards = V.with_context(_cards(spark, d), S.documents(spark, d).select(F.col("doc_id").alias("at"), "text"))
+    return cards.select("source", "word", "count", "last", F.left("context", F.lit(5)).alias("context"))
 
 
 @query(f"WITH {_V} SELECT source, count(*) AS cards, count(*) FILTER (count > 1) AS ready FROM v GROUP BY 1")

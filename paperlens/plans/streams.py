@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlens.functions import text as T
 from paperlens.operators import relational as R
 from paperlens.plans.registry import query
+from paperlens.sources import scratch
 from paperlens.streaming import status
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="paperlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS stage, count(*) AS updates FROM events GROUP BY 1")
 def q_stream_status(spark: SparkSession, d: str) -> DataFrame:
     """The status log as a stream; each batch's last states are folded into the table of last states."""
-    folder = _folder(spark)
+    folder = scratch.folder(spark, "stream")
     log = status.arriving(spark, f"{d}/events.parquet").select("user_id", "ts", "event_id", "event_type")
     last = log.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type"), F.struct("ts", "event_id")).alias("last"), F.count("*").alias("updates"))
     changes = status.drained(last.select("user_id", "last.event_type", "updates"), f"{folder}/out", f"{folder}/state", "update")
@@ -35,18 +25,21 @@ def q_stream_status(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS arrivals FROM (SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS h, count(*) AS n FROM documents GROUP BY 1)")
 def q_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Documents as arriving files; a text that came before is not taken again."""
-    folder = _folder(spark)
+    folder = scratch.folder(spark, "stream")
     arrivals = status.arriving(spark, f"{d}/documents.parquet").select(T.text_hash(F.col("text")).alias("hash"))
-    taken = status.drained(arrivals.dropDuplicates(["hash"]), f"{folder}/out", f"{folder}/state")
+    taken = status.drained_new(arrivals, "hash", f"{folder}/out", f"{folder}/state")
     total = spark.read.parquet(f"{d}/documents.parquet").agg(F.count("*").alias("arrivals"))
-    return taken.agg(F.countDistinct("hash").alias("files")).crossJoin(F.broadcast(total))  # one row each
+    return taken.agg(F.count("hash").alias("files")).crossJoin(F.broadcast(total))  # one row each
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS stage FROM events GROUP BY 1")
+@query(
+    """SELECT user_id, arg_max(event_type, (ts, event_type)) AS stage, arg_max(event_type, (ts, event_type)) NOT IN ('error', 'purchase') AND max(ts) + INTERVAL 10 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS failed
+    FROM events GROUP BY 1"""
+)
 def q_stream_timeout(spark: SparkSession, d: str) -> DataFrame:
     """Jobs of the log with state per job; a job without news for ten minutes of event time times out."""
-    folder = _folder(spark)
+    folder = scratch.folder(spark, "stream")
     log = status.arriving(spark, f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     changes = status.stalled(log, "user_id", "ts", "event_type", ("error", "purchase"), 10 * 60 * 1000)
     out = status.drained(changes, f"{folder}/out", f"{folder}/state", "update")
-    return R.latest(out, ["user_id"], ["batch_id", "failed"]).select("user_id", "stage")
+    return R.latest(out, ["user_id"], ["batch_id", "failed"]).select("user_id", "stage", "failed")

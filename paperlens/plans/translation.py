@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperlens.functions import text as T
 from paperlens.operators import translation as O
 from paperlens.plans.registry import query
+from paperlens.sources import scratch
 from paperlens.sources import tables as S
 
 
@@ -17,6 +18,11 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"style": O.style(F.col("block_type")), "text_hash": T.text_hash(F.col("text"))})
 
 
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks without their texts, which are hashed once for all that a query does with them."""
+    return scratch.once(_blocks(spark, d).select("doc_id", "block_type", "style", "text_hash"), "hashes")
+
+
 def _cache(blocks: DataFrame) -> DataFrame:
     """Texts of every third document, under the legacy style for every sixth."""
     rows = blocks.where("doc_id % 3 = 0")
@@ -42,7 +48,7 @@ def q_style_route(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    blocks = _blocks(spark, d).drop("text", "source")
+    blocks = _hashed(spark, d)
     return O.lookup(blocks, _cache(blocks), ["doc_id"])
 
 
@@ -65,7 +71,7 @@ def q_cache_apply(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_B}, n AS (SELECT DISTINCT text_hash, style, translation FROM f WHERE cached_style <> style) SELECT text_hash, style, max(translation) AS translation FROM (SELECT * FROM n UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.text_hash = c.text_hash AND n.style = c.style)) GROUP BY 1, 2")
 def q_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    blocks = _blocks(spark, d).drop("text", "source")
+    blocks = _hashed(spark, d)
     cache = _cache(blocks)
     return O.migrated(cache, O.lookup(blocks, cache, ["doc_id"]))
 
@@ -128,6 +134,12 @@ def q_type_override(spark: SparkSession, d: str) -> DataFrame:
     return S.blocks(spark, d).select("paper_id", "order_index", "block_type").join(overrides, "paper_id", "left").select("paper_id", "order_index", F.coalesce("override", "block_type").alias("block_type"))
 
 
+def _batches(rows: DataFrame) -> DataFrame:
+    """style, doc_id, text, batch of rows (style, doc_id, text, route). Keys and lengths alone are packed; texts join by key."""
+    packed = O.packed(rows.select("doc_id", "route", F.char_length("text").alias("n")), "route", ["doc_id"], "n")
+    return rows.select("style", "doc_id", "text").join(packed.select("doc_id", F.xxhash64("route", "batch").alias("batch")), "doc_id")
+
+
 class Reverser:
     """A stand-in provider without a network: the text backwards."""
 
@@ -138,19 +150,18 @@ class Reverser:
 @query(f"WITH {_B} SELECT doc_id, sha256(reverse(text)) AS translation_hash FROM b WHERE block_type = 'question'")
 def q_translate_run(spark: SparkSession, d: str) -> DataFrame:
     """The run over one kind of blocks: pack, call the provider, one request a batch."""
-    rows = _blocks(spark, d).where("block_type = 'question'").select("style", "source", "doc_id", "text", F.char_length("text").alias("n"))
-    batches = O.packed(rows.withColumn("route", F.concat_ws("|", "style", "source")), "route", ["doc_id"], "n")
-    batches = batches.withColumn("batch", F.xxhash64("route", "batch"))
+    rows = _blocks(spark, d).where("block_type = 'question'").select("style", "doc_id", "text", F.concat_ws("|", "style", "source").alias("route"))
+    batches = _batches(rows)
     return O.translated(batches, Reverser(), "doc_id", "text").select("doc_id", F.sha2("translation", 256).alias("translation_hash"))
 
 
 @query(f"WITH {_B} SELECT doc_id, b.style, translation IS NOT NULL AS cached, sha256(coalesce(translation, reverse(text))) AS translation_hash FROM f JOIN b USING (doc_id) WHERE block_type <> 'heading' AND length(trim(text)) >= 2")
 def q_translate_all(spark: SparkSession, d: str) -> DataFrame:
     """The whole run: blocks that are translated meet the cache, misses of both styles are packed and sent."""
-    blocks = _blocks(spark, d)
-    rows = O.lookup(blocks.where(O.translatable(F.col("block_type"), F.col("text"))), _cache(blocks), ["doc_id", "source", "text"])
-    misses = rows.where("translation IS NULL").select("style", "doc_id", "text", F.concat_ws("|", "style", "source").alias("route"), F.char_length("text").alias("n"))
-    batches = O.packed(misses, "route", ["doc_id"], "n").withColumn("batch", F.xxhash64("route", "batch"))
-    new = O.translated(batches, Reverser(), "doc_id", "text").join(misses.select("doc_id", "style"), "doc_id").select("doc_id", "style", F.lit(False).alias("cached"), "translation")
+    blocks = scratch.once(_blocks(spark, d).select("doc_id", "style", "text_hash", O.translatable(F.col("block_type"), F.col("text")).alias("wanted")), "hashes")
+    rows = O.lookup(blocks.where("wanted"), _cache(blocks), ["doc_id"])
+    texts = S.documents(spark, d).select("doc_id", "source", "text")
+    misses = rows.where("translation IS NULL").select("style", "doc_id").join(texts, "doc_id").select("style", "doc_id", "text", F.concat_ws("|", "style", "source").alias("route"))
+    new = O.translated(_batches(misses), Reverser(), "doc_id", "text").join(rows.select("doc_id", "style"), "doc_id").select("doc_id", "style", F.lit(False).alias("cached"), "translation")
     both = rows.where("translation IS NOT NULL").select("doc_id", "style", F.lit(True).alias("cached"), "translation").unionByName(new)
     return both.select("doc_id", "style", "cached", F.sha2("translation", 256).alias("translation_hash"))

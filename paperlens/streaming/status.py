@@ -39,6 +39,23 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
     return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
+def drained_new(stream: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
+    """As drained(), but a row whose key an earlier batch has written is left out: the table itself is the memory, so no state grows
+    in the executors. Only folders of earlier batches are read, so a batch that is run again gives the same rows."""
+    spark = stream.sparkSession
+
+    def sink(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates([key])
+        if number:
+            seen = spark.read.schema(stream.schema).parquet(*(f"{path}/batch={n}" for n in range(number)))
+            new = new.join(seen.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def latest_status(log: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """A stream of each key's last state (update mode)."""
     last = F.max_by(F.struct(*order, *[f for f in fields if f not in order]), F.struct(*order))
@@ -46,7 +63,8 @@ def latest_status(log: DataFrame, keys: list[str], order: list[str], fields: lis
 
 
 def stalled(log: DataFrame, key: str, at: str, stage: str, terminal: tuple[str, ...], idle_ms: int, late: str = "1 hour") -> DataFrame:
-    """A stream with a row (key, stage, failed) for each job at each change; failed once its event time stands still for idle_ms."""
+    """A stream with a row (key, stage, failed) for each job at each change; failed once its event time stands still for idle_ms.
+    Of events at one time the one with the largest stage counts."""
     schema = f"{key} {dict(log.dtypes)[key]}, stage string, failed boolean"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,9 +75,9 @@ def stalled(log: DataFrame, key: str, at: str, stage: str, terminal: tuple[str,
             return
         last, newest = state.get if state.exists else (None, -1)
         for frame in frames:
-            i = frame[at].idxmax()
+            i = frame.sort_values([at, stage]).index[-1]
             ms = int(frame[at][i].timestamp() * 1000)
-            if ms >= newest:
+            if (ms, frame[stage][i]) >= (newest, last or ""):
                 last, newest = frame[stage][i], ms
         state.update((last, newest))
         state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))

@@ -56,5 +56,5 @@ def test_ingest_takes_each_text_once(spark, tmp_path):
     path = str(tmp_path / "docs")
     for _ in range(3):
         spark.range(5).select(F.concat(F.lit("t"), "id").alias("hash")).coalesce(1).write.mode("append").parquet(path)
-    out = status.drained(status.arriving(spark, path, 1).dropDuplicates(["hash"]), str(tmp_path / "out"), str(tmp_path / "state"))
-    assert out.count() == 5
+    out = status.drained_new(status.arriving(spark, path, 1), "hash", str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r.hash for r in out.collect()) == [f"t{i}" for i in range(5)]

@@ -257,3 +257,22 @@ def test_names(spark):
     assert one(spark, T.safe_name, "///") == "paper.pdf"
     assert one(spark, T.masked, "sk-123456789") == "sk-1****6789"
     assert one(spark, T.first_object, 'text {"a": {"b": 1}} end') == '{"a": {"b": 1}}'
+
+
+def test_normalized_lines_agree_in_columns_and_in_walks(spark):
+    """Two engines for one table of rewrites, over damaged lines."""
+    import random
+
+    random.seed(5)
+    parts = ["Part", "1", "Il", "IT", "Ill", " ", "  ", "\u00a0", "fo", "llowing", "f", "our", "Tum", "1s", "“", "’", "A)", "B)x", "12", ".", ",", "!", "?Yes", "Questionsl", "2021 年 12 月英语六级真题 第 1 页 共 11 页", "é", "世", "-", "\u3000"]
+    lines = ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(400)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, t string")
+    got = {r.i: (r.n, r.d, r.b) for r in frame.select("i", G.normalize_line(F.col("t")).alias("n"), G.is_fragment(G.normalize_line(F.col("t"))).alias("d"), G.is_fragment(G.normalize_line(F.col("t")), True).alias("b")).collect()}
+    assert [got[i] for i in range(len(lines))] == [((n := G.normalized(x)), G.dropped(n), G.dropped(n, True)) for x in lines]
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    frame = spark.range(500).selectExpr("id % 3 AS g", "id * 7 AS k")
+    got = sorted((r.g, r.k, r.place, r.total) for r in R.numbered(frame, "g", "k", total="total", span=50).collect())
+    groups = {g: [i * 7 for i in range(500) if i % 3 == g] for g in range(3)}
+    assert got == [(g, k, i, len(ks)) for g, ks in groups.items() for i, k in enumerate(ks)]

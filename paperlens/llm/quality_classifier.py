@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,18 +138,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return np.average([np.frombuffer(r.w, "<f4") for r in fitted], axis=0, weights=[r.n for r in fitted]).astype("float32")
 
 
-def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """row, score of rows (text, row), where row is a column of any type."""
+def scored(rows: DataFrame, weights: np.ndarray, place: int | None = None) -> DataFrame:
+    """row, score of rows (row, text); or of rows (row), a struct that holds the text at a place, so that no text travels twice."""
     sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def work(batches):
         w = sent.value
         for batch in batches:
+            texts = batch.column(1) if place is None else pc.struct_field(batch.column(0), [place])
             scores = []
-            for t in batch.column(0).to_pylist():
+            for t in texts.to_pylist():
                 slots, values = features(t)
                 scores.append(1 / (1 + np.exp(-np.clip(float(w[slots] @ values) + float(w[SLOTS]), -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores, pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(work, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
@@ -156,11 +158,11 @@ def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted of each row; learns only from labelled rows that are not held out."""
     weights = train(docs, labels.where(~held_out(key)), key=key, text=text)
-    found = scored(docs.select(F.col(text).alias("text"), F.col(key).alias("row")), weights)
+    found = scored(docs.select(F.col(key).alias("row"), F.col(text).alias("text")), weights)
     return found.select(F.col("row").alias(key), held_out("row").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold; learns as quality() does."""
     weights = train(docs, labels.where(~held_out(key)), key=key, text=text)
-    return scored(docs.select(F.col(text).alias("text"), F.struct("*").alias("row")), weights).where(F.col("score") >= threshold).select("row.*")
+    return scored(docs.select(F.struct("*").alias("row")), weights, docs.columns.index(text)).where(F.col("score") >= threshold).select("row.*")

@@ -63,6 +63,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Bytes of an Arrow batch where the session sets no bound: buffers and Python workers stay small, however long the texts are.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, once Arrow batches to Python are bounded in bytes; a bound that the session already sets stays."""
+    setting, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(setting, None) is None:
+        conf.set(setting, str(BATCH_BYTES))
+    return df
+
+
 _HELD: dict[str, object] = {}
 
 

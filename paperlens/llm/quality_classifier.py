@@ -20,13 +20,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from paperlens.llm.common import held
+from paperlens.llm.common import bounded, held
 
 SLOTS = 1 << 18
 #: Bound on the labelled rows that are learnt from.
@@ -117,19 +115,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     def featured(batches):
         for batch in batches:
             found = [features(t) for t in batch.column(3).to_pylist()]
-            packed = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (zip(*found, strict=True) if found else ([], []))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *packed], ["at", "h", "y", "slots", "values"])
+            slots, values = (pa.array([x[i].astype(kind).tobytes() for x in found], pa.binary()) for i, kind in enumerate(("<i4", "<f4")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), slots, values], ["at", "h", "y", "slots", "values"])
 
-    rows = rows.mapInArrow(featured, "at long, h long, y int, slots binary, values binary")
+    rows = bounded(rows).mapInArrow(featured, "at long, h long, y int, slots binary, values binary")
     rows = rows.groupBy("at", "y").agg(F.min_by(F.struct("slots", "values"), "h").alias("x")).select(F.pmod("at", F.lit(SHARDS)).alias("shard"), "at", "y", "x.slots", "x.values")
 
     def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
-        data = [(np.frombuffer(s, "int64"), np.frombuffer(v, "float32"), y) for s, v, y in zip(*(group.column(c).to_pylist() for c in ("slots", "values", "y")), strict=True)]
+        slots, values, labels_ = group.column("slots"), group.column("values"), group.column("y").to_pylist()
+        # Views of the table's own buffers: the shard is in memory once.
+        data = [(np.frombuffer(slots[i].as_buffer(), "<i4"), np.frombuffer(values[i].as_buffer(), "<f4"), labels_[i]) for i in np.argsort(group.column("at").to_numpy()).tolist()]
         model = Ftrl()
         for _ in range(PASSES):
-            for slots, values, y in data:
-                model.learn(slots, values, y)
+            for at, x, y in data:
+                model.learn(at, x, y)
         return pa.table({"w": [model.weights().astype("<f4").tobytes()], "n": [len(data)]})
 
     fitted = rows.groupBy("shard").applyInArrow(fit, "w binary, n long").collect()  # SHARDS rows of fixed size
@@ -138,31 +137,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return np.average([np.frombuffer(r.w, "<f4") for r in fitted], axis=0, weights=[r.n for r in fitted]).astype("float32")
 
 
-def scored(rows: DataFrame, weights: np.ndarray, place: int | None = None) -> DataFrame:
-    """row, score of rows (row, text); or of rows (row), a struct that holds the text at a place, so that no text travels twice."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
+def score(spark: SparkSession, weights: np.ndarray):
+    """Function of a text column: its score. Rows stay in the JVM, texts alone go to Python and scores alone come back."""
+    sent = spark.sparkContext.broadcast(weights)
 
-    def work(batches):
-        w = sent.value
-        for batch in batches:
-            texts = batch.column(1) if place is None else pc.struct_field(batch.column(0), [place])
-            scores = []
-            for t in texts.to_pylist():
-                slots, values = features(t)
-                scores.append(1 / (1 + np.exp(-np.clip(float(w[slots] @ values) + float(w[SLOTS]), -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        w, out = sent.value, []
+        for t in texts:
+            slots, values = features(t.as_py())
+            out.append(1 / (1 + np.exp(-np.clip(float(w[slots] @ values) + float(w[SLOTS]), -35, 35))))
+        return pa.array(out, pa.float64())
 
-    return rows.mapInArrow(work, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scores
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted of each row; learns only from labelled rows that are not held out."""
     weights = train(docs, labels.where(~held_out(key)), key=key, text=text)
-    found = scored(docs.select(F.col(key).alias("row"), F.col(text).alias("text")), weights)
+    found = bounded(docs).select(F.col(key).alias("row"), score(docs.sparkSession, weights)(F.col(text)).alias("score"))
     return found.select(F.col("row").alias(key), held_out("row").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold; learns as quality() does."""
     weights = train(docs, labels.where(~held_out(key)), key=key, text=text)
-    return scored(docs.select(F.struct("*").alias("row")), weights, docs.columns.index(text)).where(F.col("score") >= threshold).select("row.*")
+    return bounded(docs).where(score(docs.sparkSession, weights)(F.col(text)) >= threshold)

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from paperlens.llm.common import discard, held, small, stored
+from paperlens.llm.common import bounded, discard, held, small, stored
 
 #: Cached words, and the longest word that is cached, in bytes.
 CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
@@ -161,7 +161,7 @@ def signatures(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: s
 
     array = T.ArrayType(T.LongType())
     schema = T.StructType([df.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("bands", array), T.StructField("sketch", array)])
-    return df.select(key, text).mapInArrow(work, schema)
+    return bounded(df).select(key, text).mapInArrow(work, schema)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -172,7 +172,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "elements"])
 
-    return docs.select("id", "text").mapInArrow(work, T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("elements", T.BinaryType())]))
+    return bounded(docs).select("id", "text").mapInArrow(work, T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("elements", T.BinaryType())]))
 
 
 def similar(common, a, b, percent: int):

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paperlens.llm.common import held
+from paperlens.llm.common import bounded, held
 
 SPACE = "▁"
 #: Entries that a worker keeps before it starts its cache of chunks, or of pairs, anew; longer chunks are not cached.
@@ -270,7 +270,7 @@ def encode(df: DataFrame, model: str, text: str = "text", into: str = "ids") ->
 
     keep = [c for c in df.columns if c != into]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(into, T.ArrayType(T.IntegerType()))])
-    return df.select(*(f"`{c}`" for c in keep)).mapInArrow(work, schema)
+    return bounded(df).select(*(f"`{c}`" for c in keep)).mapInArrow(work, schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -284,7 +284,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -
 
     keep = [c for c in df.columns if c != into]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(into, T.StringType())])
-    return df.select(*(f"`{c}`" for c in keep)).mapInArrow(work, schema)
+    return bounded(df).select(*(f"`{c}`" for c in keep)).mapInArrow(work, schema)
 
 
 def round_trip(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,4 +307,4 @@ def round_trip(df: DataFrame, model: str, key: str = "doc_id", text: str = "text
     schema = T.StructType(
         [df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     )
-    return df.select(key, text).mapInArrow(work, schema)
+    return bounded(df).select(key, text).mapInArrow(work, schema)

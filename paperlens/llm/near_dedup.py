@@ -39,9 +39,9 @@ from pyspark.sql.window import Window
 from paperlens.llm.common import bounded, discard, held, small, stored
 
 #: Cached words, and the longest word that is cached, in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 100_000, 64
 #: Documents and elements that are signed at once.
-SIGN_DOCS, SIGN_ELEMENTS = 2_000, 1_000_000
+SIGN_DOCS, SIGN_ELEMENTS = 2_000, 300_000
 #: Chance that banding misses a pair at the threshold; slack of the sketch in standard deviations.
 MISS, SLACK_DEVIATIONS = 1e-6, 5.0
 #: Rounds in which each member meets one hub.

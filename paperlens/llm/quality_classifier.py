@@ -35,7 +35,7 @@ PASSES = 10
 #: FTRL-proximal: learning rate, smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 1e-4, 1e-4
 #: Tokens and characters that a worker keeps before it starts its table anew.
-CACHE_TOKENS, CACHE_CHARS = 300_000, 16_000_000
+CACHE_TOKENS, CACHE_CHARS = 100_000, 4_000_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 LOWER, CAPITAL, UPPER, MIXED, NUMBER, SAME = range(1, 7)
 

@@ -33,7 +33,7 @@ from paperlens.llm.common import bounded, held
 
 SPACE = "▁"
 #: Entries that a worker keeps before it starts its cache of chunks, or of pairs, anew; longer chunks are not cached.
-CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 500_000, 300_000, 48
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 300_000, 200_000, 48
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paperlens.llm import decontamination, license_scan, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filters, warc
+from paperlens.llm import chat_format, decontamination, license_scan, line_dedup, near_dedup, quality_classifier, quality_rules, ranked_search, sentencepiece_codec, token_counts, url_filters, vector_codes, warc
 from paperlens.llm.common import stored, table
 
 
@@ -52,6 +54,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "`lines before` AS n_lines", "`lines deleted` AS n_deleted", "text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat_format.read_back(chat_format.formatted(rows.union(more), path), path)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each rule of the policy: documents that fail it, that fail it alone, and that stay without it, from a stored ledger."""
     return quality_rules.ablations(stored(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger"), "v1")
@@ -64,10 +82,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_url_filters, op3_quality_classifier, op4_decontamination, op5_warc, op6_near_dedup, op7_token_counts, op8_quality_rules, op9_license_scan, op10_line_dedup, quality_ablations, pipeline,
+        op1_sentencepiece, op2_url_filters, op3_quality_classifier, op4_decontamination, op5_warc, op6_near_dedup, op7_token_counts, op8_quality_rules, op9_license_scan, op10_line_dedup, op11_ranked_search, op12_chat_format, op13_vector_codes, quality_ablations, pipeline,
     )
 }
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -128,4 +147,46 @@ c AS (SELECT r, kind, i, template, t_size, size, count(*) AS common FROM (SELECT
 m AS (SELECT r, count(*) AS n_matches, string_agg(DISTINCT template, ',' ORDER BY template) AS licenses, max(2.0::DOUBLE * common / (size + t_size)) AS best_dice FROM c WHERE 200 * common >= 80 * (size + t_size) GROUP BY r)
 SELECT doc_id, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, licenses, round(coalesce(best_dice, 0::DOUBLE), 6) AS best_dice FROM d LEFT JOIN m USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op5_warc": _OP5, "op8_quality_rules": _OP8, "op9_license_scan": _OP9, "quality_ablations": _ABLATIONS}
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '{_TERMS}') AS ts FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERMS}')) AS term FROM benchmark),
+c AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM c GROUP BY term), s),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(ts) * n_docs) // n_terms AS m FROM d, s),
+scored AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score FROM i JOIN w USING (term) JOIN c USING (term) JOIN m USING (r) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10"""
+
+_RESTS = "|".join(re.escape(c[1:]) for c in [*chat_format.CONTROLS, "<|endoftext|>"])
+_OPEN = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat_format.TURNS.items())
+_OP12 = rf"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -1, n, ['user', 'assistant'][n + 1], '</s>[INST] ok [/INST]' FROM range(0, 2) AS x(n)),
+e AS (SELECT *, length(regexp_replace(t, '([\[<])(\\*)({_RESTS})', '\1\\\2\3', 'g')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + CASE role {_OPEN} ELSE {len(chat_format.CLOSED)} + CASE WHEN role IS NULL THEN {len(chat_format.NAMELESS)} ELSE {len(chat_format.NAMED + chat_format.TEXT)} + length(regexp_replace(role, '([\[<])(\\*)({_RESTS})', '\1\\\2\3', 'g')) END END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+def _op13() -> str:
+    sql = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS z
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (len(z) // 8) AS part, (i - 1) % (len(z) // 8) AS pos, z[i] AS x FROM (SELECT r, z, unnest(range(1, len(z) + 1)) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= 16)"""
+    for k in range(7):
+        sql += f""",
+a{k} AS MATERIALIZED (SELECT r, part, min(d * 16 + entry) % 16 AS entry, min(d * 16 + entry) // 16 AS d FROM (SELECT r, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL)"""
+        if k < 6:
+            sql += f""",
+s{k} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{k} USING (r, part) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{k} LEFT JOIN s{k} USING (part, entry, pos))"""
+    return sql + """,
+e AS (SELECT r, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 JOIN v USING (r) GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c6) AS codebooks_sha256 FROM e"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": _OP4, "op5_warc": _OP5, "op8_quality_rules": _OP8, "op9_license_scan": _OP9, "op11_ranked_search": _OP11, "op12_chat_format": _OP12, "op13_vector_codes": _op13(), "quality_ablations": _ABLATIONS,
+}

@@ -24,23 +24,27 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines; those of which nothing is left go."""
     found = line_dedup.without_repeats(docs)
     left = found.where((F.col("lines deleted") == 0) | (F.col("text") != ""))
+    if "n_chars" not in docs.columns:
+        return left.select(*(F.col(f"`{c}`") for c in docs.columns))
     length = F.when(F.col("lines deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.select(*(length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more. Of rows with equal id and text
-    one stays; a document without an id goes by its text, behind those with one."""
+    one stays; a document without an id goes by its text, behind those with one. Ids may be of any type and length."""
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
     repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated").select(F.struct("key.*").alias("k"))
     same = F.expr("key.id <=> k.id AND key.h1 = k.h1 AND key.h2 = k.h2")
     once = rows.join(small(repeated), same, "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row", "key")
-    rows = rows.join(small(repeated), same, "left_anti").union(once)
-    nameless = docs.where("doc_id IS NULL").limit(1).count() > 0
-    number = F.lpad(F.col("key.id").cast("string"), 20, "0")
-    name = F.coalesce(number, F.concat(F.lit("x"), F.hex("key.h1"), F.hex("key.h2"))) if nameless else F.col("key.id")
-    rows = rows.withColumn("name", name)
+    rows = rows.join(small(repeated), same, "left_anti").union(once).withColumn("name", F.col("key.id"))
+    if docs.where("doc_id IS NULL").limit(1).count():
+        # Names for all: numbers in the order of the ids, so that the same ones stay as without nameless rows; those come last, by text.
+        own = [F.col("key.id").alias("id"), *(F.when(F.col("key.id").isNull(), F.col(f"key.{h}")).alias(h) for h in ("h1", "h2"))]
+        order = [F.col("id").asc_nulls_last(), "h1", "h2"]
+        names = stored(rows.select(*own).distinct().orderBy(*order).select(F.struct("id", "h1", "h2").alias("of"), F.monotonically_increasing_id().alias("name")), "names")
+        rows = rows.drop("name").withColumn("own", F.struct(*own)).join(names, F.expr("own.id <=> of.id AND own.h1 <=> of.h1 AND own.h2 <=> of.h2")).select("row", "key", "name")
     gone = near_dedup.near_duplicates(rows.select("name", "row.text"), k=5, percent=80, key="name").where(~F.col("kept")).select("name").distinct()
     return rows.join(small(stored(gone, "gone")), "name", "left_anti").select("row.*")
 

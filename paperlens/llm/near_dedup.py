@@ -179,15 +179,26 @@ def similar(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
+def hubs_apart(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the copy of their hub that they meet, and hub, copies of those with several: one for every HUB_DOCS pairs, so
+    that a hub of any number of pairs is no single task."""
+    large = stars.groupBy("hub").agg(F.ceil(F.count("*") / HUB_DOCS).cast("int").alias("copies")).where("copies > 1")
+    large = small(stored(large, "large-hubs"))
+    copy = F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")
+    return stars.join(large, "hub", "left").select(*stars.columns, copy.alias("copy")), large
+
+
+def copied(hubs: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of hubs: once for each of the hub's copies."""
+    return hubs.join(large, "hub", "left").select(*hubs.columns, F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)")).alias("copy"))
+
+
 def confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, hub), as links (a, b), those whose full sets reach the threshold. A hub is sent once for every HUB_DOCS
-    of its pairs, not with each of them. sets: id, n, elements; ids can repeat."""
-    copies = stars.groupBy("hub").agg(F.ceil(F.count("*") / HUB_DOCS).cast("int").alias("copies"))
-    spread = stars.join(copies, "hub").select("hub", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"), "a")
+    """Of the pairs (a, hub), as links (a, b), those whose full sets reach the threshold. A hub's set is sent once a copy, not
+    with each of its pairs. sets: id, n, elements; ids can repeat."""
+    spread, large = hubs_apart(stars)
     members = spread.join(sets.select(F.col("id").alias("a"), "elements"), "a").select("hub", "copy", F.lit(1).alias("part"), "a", "elements")
-    hubs = copies.join(sets.select(F.col("id").alias("hub"), "elements"), "hub").select(
-        "hub", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), F.lit(0).alias("part"), F.col("hub").alias("a"), "elements"
-    )
+    hubs = copied(stars.select("hub").distinct(), large).join(sets.select(F.col("id").alias("hub"), "elements"), "hub").select("hub", "copy", F.lit(0).alias("part"), F.col("hub").alias("a"), "elements")
     kind = stars.schema["a"].dataType
 
     def work(batches):
@@ -311,16 +322,18 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     most_off = math.ceil(m * off + SLACK_DEVIATIONS * math.sqrt(m * off * (1 - off)))
     bits = [f"(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(math.ceil(m / 32))]
     differing = F.expr(" + ".join(f"bit_count(({b} | shiftrightunsigned({b}, 1)) & 6148914691236517205L)" for b in bits))
-    x, y = sets.select("id", "n", "sketch").alias("x"), sets.select("id", "n", "sketch").alias("y")
+    x = sets.select("id", "n", "sketch").alias("x")
 
     def weighed(stars: DataFrame) -> DataFrame:
         """a, hub, off (differing slots of the sketches), fits (sizes and sketches allow the threshold); a and hub once each."""
-        both = stars.join(x, F.expr("a = x.id")).join(y, F.expr("hub = y.id")).select("a", "hub", differing.alias("off"), F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").alias("sized"))
+        spread, large = hubs_apart(stars)
+        sketches = copied(sets.select(F.col("id").alias("hub"), "n", "sketch").join(stars.select("hub").distinct(), "hub", "left_semi"), large).alias("y")
+        both = spread.alias("s").join(x, F.expr("s.a = x.id")).join(sketches, F.expr("s.hub = y.hub AND s.copy = y.copy")).select("s.a", "s.hub", differing.alias("off"), F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").alias("sized"))
         return both.groupBy("a", "hub").agg(F.min("off").alias("off"), F.max(F.expr(f"sized AND off <= {most_off}")).alias("fits"))
 
     spread = sets.select(F.explode("bands").alias("bucket"), F.col("id").alias("a"))
     shared = spread.groupBy("bucket").agg(F.min("a").alias("hub"), F.max("a").alias("most")).where("hub <> most").select("bucket", "hub")
-    stars = weighed(spread.join(shared, "bucket").where("a <> hub").select("a", "hub").distinct())
+    stars = weighed(stored(spread.join(shared, "bucket").where("a <> hub").select("a", "hub").distinct(), "pairs"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("fits"), "off", "hub")) == 1
     stars = stored(stars.withColumn("best", best & F.col("fits")), "stars")
     # A group of a hub and one member is settled once their sketches or their full sets have been compared.
@@ -342,7 +355,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
         outside = mixed.where("c <> main")
         hubs = outside.groupBy("hub").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("next"))
         more = outside.join(hubs, "hub").where("c <> next.c").groupBy("id").agg(F.min("next.id").alias("next")).select(F.col("id").alias("a"), F.col("next").alias("hub"))
-        late = stored(confirmed(stored(weighed(more).where("fits").select("a", "hub"), "stars"), full, percent), "confirmed")
+        late = stored(confirmed(stored(weighed(stored(more, "pairs")).where("fits").select("a", "hub"), "stars"), full, percent), "confirmed")
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
         mixed = _mixed(groups, found)
     # Groups that share members form a cluster. A cluster meets as one where that takes no more comparisons than its groups one by one.

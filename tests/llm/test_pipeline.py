@@ -47,3 +47,30 @@ def test_stages(spark):
 
     result = P.run(spark, TINY)
     assert result.count() > 0 and set(result.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_ids_of_any_type_and_nameless_rows(spark):
+    """Long ids that share a prefix, negative ones, the same choice with and without nameless rows, a table without n_chars."""
+    x, y = " ".join(f"one{i}" for i in range(30)), " ".join(f"two{i}" for i in range(30))
+    near = x.replace("one29", "end")
+
+    def kept(rows, kind):
+        docs = spark.createDataFrame([(i, t, "other") for i, t in rows], f"doc_id {kind}, text string, name string")
+        return sorted(((r.doc_id, r.text) for r in P.one_of_each(spark, docs, TINY).collect()), key=str)
+
+    for nameless in ([], [(None, "nobody has words like these here")]):
+        assert kept([("alpha-corpus/2024/00000001", x), ("alpha-corpus/2024/00000002", y), ("z", x), ("0", y), *nameless], "string") == sorted([("alpha-corpus/2024/00000001", x), ("0", y), *nameless], key=str)
+        assert kept([(-5, x), (-7, x), (3, y), (20, near), *nameless], "long") == sorted([(-7, x), (3, y), *nameless], key=str)
+        assert kept([(4, x), (4, y), (9, y), *nameless], "long") == sorted([(4, x), (4, y), *nameless], key=str)
+    assert kept([(None, x), (None, x), (None, near), (8, y), (None, y)], "long") in ([(8, y), (None, x)], [(8, y), (None, near)])
+
+    docs = spark.createDataFrame([(1, f"first\n{x}"), (2, f"second\n{x}")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in P.fresh_lines(spark, docs, TINY).collect()) == [(1, f"first\n{x}"), (2, "second")]
+
+
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    want = sorted(tuple(r) for r in P.one_of_each(spark, docs, TINY).collect())
+    monkeypatch.setattr("paperlens.llm.common.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("paperlens.llm.near_dedup.HUB_DOCS", 2)
+    assert sorted(tuple(r) for r in P.one_of_each(spark, docs, TINY).collect()) == want

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import attrgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a task gathers before it sends them on.
 ROWS = 10_000
@@ -16,16 +18,21 @@ ROWS = 10_000
 
 def walked(rows: DataFrame, keys: list[str], order: list[Column], walk: Callable[[list], list[tuple]], schema: T.StructType) -> DataFrame:
     """walk(rows of one key, in order) -> tuples of the schema, for every key. One group is in memory at a time."""
-    names = [f.name for f in schema]
+    columns, fields = rows.columns, to_arrow_schema(schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = namedtuple("row", columns)
+
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        for _, group in groupby((row for frame in frames for row in frame.itertuples(index=False)), key=attrgetter(*keys)):
+        for _, group in groupby((r for b in batches for r in map(row._make, zip(*(c.to_pylist() for c in b.columns), strict=True))), key=attrgetter(*keys)):
             out += walk(list(group))
             if len(out) >= ROWS:
-                yield pd.DataFrame(out, columns=names)
+                yield sent(out)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield sent(out)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(task, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(task, schema)

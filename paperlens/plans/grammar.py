@@ -1,6 +1,7 @@
 """Queries over the exam grammar. The driver's texts hold no exam markup, so papers are made of them: 40 documents of one source
-are the questions of a paper, ten each of listening, word bank, matching and careful reading. All letters of a text are in its
-question, cut into lines of 60, as lines of options, passages or of the question itself. The SQL says which blocks come of that."""
+are the questions of a paper, ten each of listening, word bank, matching and careful reading. A text is in its question with all
+its characters (small letters, a blank for closing brackets), cut into lines of 60 between two letters that keep a line from meaning
+something else, as lines of options, passages or of the question itself. The SQL says which blocks come of that."""
 
 from __future__ import annotations
 
@@ -19,12 +20,14 @@ HEAD, BANK, MATCHING, CAREFUL, LAST, LATE = 0, 51, 71, 91, 200, 300
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    """paper_id, r (place of a document in its paper), number (of its question), kind (0 to 3), doc_id, letters, pieces."""
+    """paper_id, r (place of a document in its paper), number (of its question), kind (0 to 3), doc_id, plain, letters, pieces."""
     places = R.numbered(S.documents(spark, d).select("doc_id", "source"), "source", "doc_id", "place")
     places = places.select("doc_id", F.concat_ws("-", "source", F.floor(F.col("place") / PAPER).cast("string")).alias("paper_id"), (F.col("place") % PAPER).cast("int").alias("r"))
-    rows = S.documents(spark, d).select("doc_id", F.lower(F.regexp_replace("text", "[^A-Za-z]+", "")).alias("letters")).join(places, "doc_id")
+    plain = F.regexp_replace("text", r"[)“”‘’\x00\t\n\x0B\f\r \x{A0}]+", " ")
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]+", ""))
+    rows = S.documents(spark, d).select("doc_id", F.lower(plain).alias("plain"), letters.alias("letters")).join(places, "doc_id")
     rows = rows.withColumns({"kind": F.col("r") % 4, "number": F.element_at(F.array(*map(F.lit, (1, 26, 36, 46))), F.col("r") % 4 + 1) + F.floor(F.col("r") / 4).cast("int")})
-    pieces = F.expr(f"CASE WHEN letters = '' THEN array() ELSE transform(sequence(0, (char_length(letters) - 1) div {LINE}), i -> substring(letters, i * {LINE} + 1, {LINE})) END")
+    pieces = F.expr(f"CASE WHEN plain = '' THEN array() ELSE transform(sequence(0, (char_length(plain) - 1) div {LINE}), i -> concat('y', substring(plain, i * {LINE} + 1, {LINE}), 'x')) END")
     return rows.withColumn("pieces", pieces)
 
 
@@ -63,8 +66,8 @@ def exam_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 _N = f"""n AS (SELECT source || '-' || CAST(floor(r / {PAPER}) AS BIGINT) AS paper_id, CAST(r % {PAPER} AS INTEGER) AS r, CAST(r % 4 AS INTEGER) AS kind, CAST([1, 26, 36, 46][r % 4 + 1] + (r % {PAPER}) // 4 AS INTEGER) AS number, doc_id, s, p
-  FROM (SELECT *, CASE WHEN s = '' THEN [] ELSE list_transform(range(0, (length(s) - 1) // {LINE} + 1), lambda i: substr(s, i * {LINE} + 1, {LINE})) END AS p
-  FROM (SELECT source, doc_id, lower(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents))),
+  FROM (SELECT *, CASE WHEN t = '' THEN [] ELSE list_transform(range(0, (length(t) - 1) // {LINE} + 1), lambda i: regexp_replace(regexp_replace('y' || substr(t, i * {LINE} + 1, {LINE}) || 'x', ' +([,.;:?!])', '\\1', 'g'), ' +', ' ', 'g')) END AS p
+  FROM (SELECT source, doc_id, lower(regexp_replace(text, '[)“”‘’\\x00\\t\\n\\x0B\\f\\r \\x{{A0}}]+', ' ', 'g')) AS t, lower(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents))),
 w AS (SELECT paper_id, count(*) FILTER (kind = 0) AS k, count(*) FILTER (kind = 1) AS banks, count(*) FILTER (kind = 2) AS matches, count(*) FILTER (kind = 3) AS picks, count(*) AS docs, arg_max(p, r) AS last FROM n GROUP BY 1)"""
 _JOINED = "array_to_string(list_concat([{}], {}), ' ')"
 _BLOCKS = f"""{_N},
@@ -109,6 +112,16 @@ def q_parse_paper(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {_N} SELECT paper_id, CAST(i AS INTEGER) AS section_no, 'section-' || i AS client_id, section_type, title, CAST(a AS INTEGER) AS page_start, CAST(b AS INTEGER) AS page_end FROM w, (VALUES
+    (0, 'listening', 'Section A 长对话', {HEAD}, {BANK}), (1, 'reading_bank', 'Section A 选词填空', {BANK}, {MATCHING}), (2, 'reading_matching', 'Section B 长篇匹配', {MATCHING}, {CAREFUL}),
+    (3, 'reading_careful', 'Section C 仔细阅读', {CAREFUL}, {LAST}), (4, 'translation', 'Part IV Translation', {LAST}, {LATE}), (5, 'reading_careful', '仔细阅读', {LATE}, {LATE})) l(i, section_type, title, a, b)"""
+)
+def q_parse_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Every section of every paper, with the pages that it spans."""
+    return G.parsed(G.lines_of(exam_pages(spark, d)))[0].select("paper_id", "section_no", "client_id", "section_type", "title", "page_start", "page_end")
+
+
 @query(f"WITH {_BLOCKS} SELECT paper_id, CAST(number AS INTEGER) AS question_number, label AS option_label, text AS option FROM b WHERE block_type = 'option'")
 def q_options(spark: SparkSession, d: str) -> DataFrame:
     blocks = G.blocks_of(G.lines_of(exam_pages(spark, d))).where("block_type = 'option'")

@@ -39,21 +39,9 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
     return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def drained_new(stream: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
-    """As drained(), but a row whose key an earlier batch has written is left out: the table itself is the memory, so no state grows
-    in the executors. Only folders of earlier batches are read, so a batch that is run again gives the same rows."""
-    spark = stream.sparkSession
-
-    def sink(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key])
-        if number:
-            seen = spark.read.schema(stream.schema).parquet(*(f"{path}/batch={n}" for n in range(number)))
-            new = new.join(seen.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+def new_keys(stream: DataFrame, key: str) -> DataFrame:
+    """The stream without rows whose key has come before: keys are kept in the state store, no earlier batch is read again."""
+    return stream.dropDuplicates([key])
 
 
 def latest_status(log: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:

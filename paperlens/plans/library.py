@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from paperlens.functions import metadata as meta
 from paperlens.functions import text as T
 from paperlens.operators import reading as V
 from paperlens.operators import relational as R
+from paperlens.operators import search
 from paperlens.plans.registry import query
 from paperlens.sources import scratch
 from paperlens.sources import tables as S
@@ -87,6 +90,50 @@ def q_client_search(spark: SparkSession, d: str) -> DataFrame:
     return S.blocks(spark, d).where(F.contains(F.lower("original_text"), F.lit(q)) | (F.col("order_index").cast("string") == q)).select("paper_id", "order_index")
 
 
+#: Texts that are looked for: words and parts of words, a number, signs, and one that is nowhere.
+NEEDLES = (" The ", "schen", "ion.", "7", "éÈ", "on the w", "zzzzqq")
+_SEARCHED = "b AS (SELECT conv_id AS paper_id, turn AS order_index, role, text AS original_text, reverse(text) AS translated_text, turn % 5 + conv_id % 3 AS page_number FROM conversations)"
+
+
+def _searchable(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks with a translation (the text from behind) and a page number."""
+    page = F.col("order_index") % 5 + F.col("paper_id") % 3
+    return S.blocks(spark, d).select("paper_id", "order_index", F.col("block_type").alias("role"), "original_text", F.reverse("original_text").alias("translated_text"), page.alias("page_number"))
+
+
+def _indexed(spark: SparkSession, d: str) -> str:
+    path = scratch.folder(spark, "index")
+    search.build(_searchable(spark, d), ["original_text", "translated_text"], path)
+    return path
+
+
+_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NEEDLES = "q(needle) AS (VALUES " + ", ".join(f"('{n}')" for n in NEEDLES) + ")"
+
+
+@query(
+    f"""WITH {_SEARCHED}, {_NEEDLES} SELECT needle, paper_id, order_index FROM q, b WHERE contains({_AZ.format("original_text")}, {_AZ.format("trim(needle)")})
+    OR contains({_AZ.format("translated_text")}, {_AZ.format("trim(needle)")}) OR page_number = TRY_CAST(trim(needle) AS BIGINT)"""
+)
+def q_search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks whose text or translation contains what is looked for, or whose page it is, by the index."""
+    path = _indexed(spark, d)
+    hits = [search.found(spark, path, "ascii", n, ["original_text", "translated_text"], {"page_number": "integer"}).select(F.lit(n).alias("needle"), "paper_id", "order_index") for n in NEEDLES]
+    return reduce(DataFrame.union, hits)
+
+
+@query(
+    f"""WITH {_SEARCHED}, {_NEEDLES} SELECT needle, paper_id, order_index FROM q, b WHERE role = 'assistant' AND (contains(lower(original_text), lower(trim(needle))) OR contains(lower(translated_text), lower(trim(needle)))
+    OR CAST(page_number AS VARCHAR) = lower(trim(needle)) OR CAST(order_index AS VARCHAR) = lower(trim(needle)))"""
+)
+def q_search_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The reader's search, inside the sections chosen (those of one role), by page and question number, too."""
+    path = _indexed(spark, d)
+    numbers = {"page_number": "text", "order_index": "text"}
+    hits = [search.found(spark, path, "lower", n, ["original_text", "translated_text"], numbers, F.col("role") == "assistant").select(F.lit(n).alias("needle"), "paper_id", "order_index") for n in NEEDLES]
+    return reduce(DataFrame.union, hits)
+
+
 @query("SELECT conv_id AS paper_id, turn AS order_index, role AS block_type FROM conversations WHERE role = 'user'")
 def q_section_type_filter(spark: SparkSession, d: str) -> DataFrame:
     kinds, wanted = ("user", "assistant", "system"), "user"

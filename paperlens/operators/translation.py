@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from paperlens.functions.jsregex import trim
-from paperlens.operators.relational import upsert
+from paperlens.operators import packing
+from paperlens.operators.relational import latest, upsert
+from paperlens.sources.scratch import once
 
 # Block types that are translated, styles, and the limits of a batch.
 TRANSLATED = ("directions", "passage", "paragraph", "question_group", "question", "option", "word_bank", "translation_prompt")
 PROMPT_STYLE, STYLE, LEGACY_STYLE = "cet6_cn_to_en_reference", "exam_intensive_zh", "exam_intensive"
-BATCH_ITEMS, BATCH_CHARS = 48, 6500
+BATCH_ITEMS, BATCH_CHARS, CONCURRENCY = 48, 6500, 6
 
 
 class Translator(Protocol):
@@ -46,41 +51,31 @@ def lookup(blocks: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def packed(rows: DataFrame, group: str, order: list[str], size: str, most: int = BATCH_ITEMS, characters: int = BATCH_CHARS) -> DataFrame:
-    """rows with a batch number: greedy, in order, closed at `most` items or before `characters` are passed; a longer item is alone.
+    """rows with a batch number: greedy, in order, closed at `most` items or before `characters` are passed; a longer item is alone."""
+    return packing.packed(rows, group, order, size, most, characters)
 
-    A task walks the sorted rows of its groups with two counters in memory, whatever the length of a group.
-    """
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, items, total, batch = None, 0, 0, 0
-        for frame in frames:
-            numbers = []
-            for g, n in zip(frame[group], frame[size], strict=True):
-                if g != last:
-                    last, items, total, batch = g, 0, 0, 0
-                if items and (items >= most or total + n > characters):
-                    items, total, batch = 0, 0, batch + 1
-                items, total = items + 1, total + n
-                numbers.append(batch)
-            yield frame.assign(batch=numbers)
-
-    return rows.repartition(group).sortWithinPartitions(group, *order).mapInPandas(walk, schema)
-
-
-def translated(batches: DataFrame, translator: Translator, key: str, text: str) -> DataFrame:
-    """key, translation, error of every row; a failing batch stamps its own rows and no others."""
+
+def translated(batches: DataFrame, translator: Translator, key: str, text: str, concurrency: int = CONCURRENCY) -> DataFrame:
+    """key, translation, error of every row; a failing batch stamps its own rows and no others. batches: style, batch, and route where batch
+    numbers are those of a route. There are as many tasks as calls may be in flight; a task holds one batch at a time."""
+    by = [c for c in ("style", "route", "batch") if c in batches.columns]
     schema = T.StructType([batches.schema[key], T.StructField("translation", T.StringType()), T.StructField("error", T.StringType())])
 
-    def call(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def call(style: str, rows: list[tuple]) -> list[tuple]:
         try:
-            found = translator.translate(dict(zip(frame[key].astype(str), frame[text], strict=True)), keys[0])
-            texts = [found.get(str(k)) or None for k in frame[key]]
-            return pd.DataFrame({key: frame[key], "translation": texts, "error": [None if t else "missing" for t in texts]})
+            found = translator.translate({str(k): t for k, t in rows}, style)
+            return [(k, found.get(str(k)) or None, None if found.get(str(k)) else "missing") for k, _ in rows]
         except Exception as e:  # noqa: BLE001  a provider's failure becomes a column
-            return pd.DataFrame({key: frame[key], "translation": None, "error": f"{type(e).__name__}: {e}"})
+            return [(k, None, f"{type(e).__name__}: {e}") for k, _ in rows]
+
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for f in frames for r in zip(*(c.to_pylist() for c in f.columns), strict=True))
+        for at, batch in groupby(rows, key=lambda r: r[: len(by)]):
+            done = call(at[0], [r[len(by) :] for r in batch])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], schema.names)
 
-    return batches.groupBy("style", "batch").applyInPandas(call, schema)
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    return batches.select(*by, key, text).repartition(concurrency, *by).sortWithinPartitions(*by).mapInArrow(work, schema)
 
 
 def patched(blocks: DataFrame, results: DataFrame, key: str) -> DataFrame:
@@ -94,3 +89,56 @@ def migrated(cache: DataFrame, hits: DataFrame) -> DataFrame:
     return upsert(cache.withColumn("version", F.lit(0)), new, ["text_hash", "style"], ["version", "translation"]).drop("version")
 
 
+
+
+class Run:
+    """Enrichment of blocks against a cache that is a table of versions in a folder; each run adds one.
+
+    run() takes blocks (key, text_hash, style, text), looks them up, sends each missing hash once, in batches, and writes two folders of its version:
+    new cache rows (answers, and rows of the legacy style under the style that asked for them) and results (key, translation,
+    cached, error). A version that runs again finds the cache of the versions before it and overwrites its own folders. Counters are
+    taken while results and batches are written; nothing is read a second time for them."""
+
+    def __init__(self, spark: SparkSession, path: str, translator: Translator, key: str, route: str = "style"):
+        self.spark, self.path, self.translator, self.key, self.route = spark, path, translator, key, route
+
+    def cache(self, before: int | None = None) -> DataFrame:
+        """text_hash, style, translation: of each the last version (before one, if named)."""
+        rows = self.spark.read.schema("text_hash string, style string, translation string, version long").parquet(f"{self.path}/cache")
+        rows = rows if before is None else rows.where(F.col("version") < before)
+        return latest(rows, ["text_hash", "style"], ["version", "translation"]).drop("version")
+
+    def seed(self, rows: DataFrame) -> None:
+        """Cache rows from elsewhere, as the version before the first run."""
+        self._write(rows.select("text_hash", "style", "translation"), "cache", -1)
+
+    def results(self) -> DataFrame:
+        """key, translation, cached, error of all runs."""
+        return self.spark.read.parquet(f"{self.path}/results").drop("version")
+
+    def _write(self, rows: DataFrame, table: str, version: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/version={version}")
+
+    def run(self, blocks: DataFrame, version: int) -> dict[str, int]:
+        """total, cached, translated, failed, batches, calls (rows sent) of this version."""
+        rows = once(lookup(blocks, self.cache(version), [self.key]), "looked-up")
+        missing = rows.where("translation IS NULL")
+        texts = blocks.join(missing.select(self.key), self.key, "left_semi").groupBy("text_hash", "style").agg(F.min("text").alias("text"))
+        texts = once(texts.withColumn("route", F.col(self.route)), "pending")
+        numbers = packed(texts.select("text_hash", "style", "route", F.char_length("text").alias("n")), "route", ["text_hash"], "n").drop("n")
+        sent, seen = Observation("sent"), Observation("seen")
+        first = F.row_number().over(Window.partitionBy("style", "route", "batch").orderBy("text_hash")) == 1
+        batches = texts.join(numbers, ["text_hash", "style", "route"]).withColumn("first", first).observe(sent, F.count("*").alias("calls"), F.count_if("first").alias("batches"))
+        answers = once(translated(batches.withColumn("id", F.concat_ws("|", "text_hash", "style")), self.translator, "id", "text"), "answers")
+        named = answers.select(F.substring_index("id", "|", 1).alias("text_hash"), F.substring_index("id", "|", -1).alias("style"), F.col("translation").alias("answer"), "error")
+        old = rows.where("cached_style <> style").select("text_hash", "style", "translation").distinct()
+        self._write(named.where("answer IS NOT NULL").select("text_hash", "style", F.col("answer").alias("translation")).unionByName(old), "cache", version)
+        whole = rows.join(named, ["text_hash", "style"], "left")
+        done = whole.select(self.key, F.coalesce("translation", "answer").alias("translation"), F.col("translation").isNotNull().alias("cached"), F.when(F.col("translation").isNull(), F.col("error")).alias("error"))
+        counts = [F.count("*").alias("total"), F.count_if(F.col("cached")).alias("cached"), F.count_if(~F.col("cached") & F.col("translation").isNotNull()).alias("translated"), F.count_if(F.col("translation").isNull()).alias("failed")]
+        self._write(done.observe(seen, *counts), "results", version)
+        return seen.get | sent.get
+
+    def follow(self, stream: DataFrame, checkpoint: str) -> None:
+        """Run a stream of blocks, each batch as the version of its number; a batch that is repeated gives the same version again."""
+        stream.writeStream.foreachBatch(lambda batch, number: self.run(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

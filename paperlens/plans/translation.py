@@ -76,13 +76,14 @@ def q_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     return O.migrated(cache, O.lookup(blocks, cache, ["doc_id"]))
 
 
-@query(
-    """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+PACKED_SQL = """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
     p AS (SELECT source, doc_id, r, 1 AS items, n_chars AS total, CAST(0 AS BIGINT) AS batch FROM o WHERE r = 1
     UNION ALL SELECT o.source, o.doc_id, o.r, CASE WHEN p.items >= 48 OR p.total + o.n_chars > 6500 THEN 1 ELSE p.items + 1 END, CASE WHEN p.items >= 48 OR p.total + o.n_chars > 6500 THEN o.n_chars ELSE p.total + o.n_chars END,
      p.batch + CASE WHEN p.items >= 48 OR p.total + o.n_chars > 6500 THEN 1 ELSE 0 END FROM p JOIN o ON o.source = p.source AND o.r = p.r + 1)
     SELECT source, doc_id, batch FROM p"""
-)
+
+
+@query(PACKED_SQL)
 def q_batch_pack(spark: SparkSession, d: str) -> DataFrame:
     return O.packed(S.documents(spark, d).select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars").select("source", "doc_id", "batch")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlens.functions import text as T
+from paperlens.operators import display as D
 from paperlens.operators import reading as V
 from paperlens.operators import relational as R
 from paperlens.operators.grammar import type_from_number
@@ -151,3 +152,39 @@ def q_vocab_load(spark: SparkSession, d: str) -> DataFrame:
     stored = _cards(spark, d).groupBy("source").agg(F.to_json(F.collect_list(F.struct("word", "count"))).alias("json"))
     cards = F.filter(F.from_json("json", "array<struct<word:string,count:int>>"), lambda c: F.coalesce(c.word, F.lit("")) != "")
     return stored.select("source", F.explode(F.slice(F.array_sort(cards), 1, V.CARDS)).alias("c")).select("source", "c.word", "c.count")
+
+
+_TYPES = ("writing", "listening", "reading_bank", "reading_matching", "reading_careful", "translation", "unknown")
+_KINDS = ("question", "option", "option", "paragraph", "word_bank", "translation_prompt", "heading", "passage")
+_SHOWN = f"""b AS (SELECT conv_id AS paper_id, turn AS i, {list(_TYPES)}[conv_id % 7 + 1] AS type, {list(_KINDS)}[(turn + conv_id // 7) % 8 + 1] AS kind, CASE WHEN conv_id % 5 > 0 THEN (turn // 3)::INTEGER END AS number, chr(CAST(65 + (turn * 3) % 5 AS INTEGER)) AS label,
+  CASE turn % 4 WHEN 0 THEN '(30 minutes) with' WHEN 1 THEN turn || '.' ELSE text END AS text, CASE (turn + conv_id) % 4 WHEN 1 THEN ' ' || text WHEN 2 THEN reverse(text) WHEN 3 THEN ' ' END AS zh, CASE WHEN conv_id % 11 = 0 AND turn % 2 = 1 THEN 'failed' END AS error FROM conversations),
+l AS (SELECT *, CASE type WHEN 'listening' THEN 'questions' WHEN 'reading_careful' THEN 'questions' WHEN 'reading_bank' THEN 'bank' WHEN 'reading_matching' THEN 'matching' WHEN 'translation' THEN 'translation' ELSE 'general' END AS layout FROM b),
+p AS (SELECT *, CASE layout WHEN 'questions' THEN CASE WHEN kind IN ('question', 'option') THEN 'card' ELSE 'lead' END WHEN 'bank' THEN CASE kind WHEN 'word_bank' THEN 'word bank' ELSE 'content' END
+  WHEN 'matching' THEN CASE kind WHEN 'paragraph' THEN 'paragraphs' WHEN 'question' THEN 'questions' ELSE 'other' END WHEN 'translation' THEN CASE kind WHEN 'translation_prompt' THEN 'source' ELSE 'supporting' END ELSE 'blocks' END AS part,
+  max(CASE kind WHEN 'question' THEN i END) OVER (PARTITION BY paper_id, number) AS asked FROM l),
+v AS (SELECT *, part IN ('card', 'word bank', 'questions') AS small, coalesce(error, nullif(trim(coalesce(zh, '')), '')) AS raw, row_number() OVER (PARTITION BY paper_id ORDER BY CASE part WHEN 'lead' THEN 0 WHEN 'content' THEN 0 WHEN 'other' THEN 0 WHEN 'supporting' THEN 0 WHEN 'blocks' THEN 0 WHEN 'questions' THEN 2 ELSE 1 END,
+  CASE part WHEN 'card' THEN number ELSE 0 END, CASE WHEN part = 'card' AND kind = 'question' THEN -1 WHEN part = 'card' THEN CASE WHEN label <= 'D' THEN ascii(label) - 65 ELSE 99 END WHEN part = 'word bank' THEN ascii(label) - 65 ELSE 0 END, i) AS place
+  FROM p WHERE NOT (part = 'card' AND (number IS NULL OR kind = 'question' AND i < asked)) AND NOT (part = 'lead' AND kind = 'paragraph' AND text = '(30 minutes) with')),
+m AS (SELECT *, coalesce(error, nullif(zh, ''), '待翻译') AS given, CASE part WHEN 'word bank' THEN mode <> 'hideChinese' ELSE mode IN ('parallel', 'sentence') END AS open_,
+  trim(regexp_replace(coalesce(raw, ''), '\\s+', ' ', 'g')) <> trim(regexp_replace(text, '\\s+', ' ', 'g')) AS differs, mode IN ('parallel', 'sentence') AND NOT small AND kind <> 'heading' AND part <> 'source' AS pairs FROM v, (VALUES ('parallel'), ('sentence'), ('original'), ('hideChinese')) q(mode))"""
+
+
+@query(
+    f"""WITH {_SHOWN} SELECT paper_id, i AS order_index, mode, layout, part, CAST(place AS INTEGER) AS place,
+    CASE WHEN small THEN 'small' WHEN part = 'source' THEN 'source and reference' WHEN kind = 'heading' THEN 'heading' WHEN mode = 'sentence' AND kind IN ('directions', 'passage', 'paragraph', 'translation_prompt') THEN 'pairs of sentences'
+      WHEN pairs THEN 'pairs of paragraphs' WHEN mode = 'hideChinese' THEN 'paragraphs, translation hidden' ELSE 'paragraphs' END AS shape,
+    coalesce(sha256(CASE WHEN small THEN CASE WHEN open_ AND (raw IS NOT NULL AND differs OR raw IS NULL AND NOT regexp_matches(text, '^[0-9]{{1,2}}\\.$')) THEN given END
+      WHEN part = 'source' THEN coalesce(error, CASE WHEN trim(coalesce(zh, '')) <> '' THEN zh END, '待翻译/待生成参考译文') WHEN pairs THEN given END), '') AS beside FROM m"""
+)
+def q_reader_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as sections of all types: what each mode shows, in which part and order, and what stands beside it."""
+    turn, conv = F.col("order_index"), F.col("paper_id")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
+    text, state = F.col("original_text"), (turn + conv) % 4
+    rows = S.blocks(spark, d).select(
+        "paper_id", "order_index", pick(_TYPES, conv % 7).alias("section_type"), pick(_KINDS, (turn + F.floor(conv / 7)) % 8).alias("block_type"), F.when(conv % 5 > 0, F.floor(turn / 3).cast("int")).alias("question_number"),
+        F.char((65 + turn * 3 % 5).cast("long")).alias("option_label"), F.when(turn % 4 == 0, "(30 minutes) with").when(turn % 4 == 1, F.concat(turn.cast("string"), F.lit("."))).otherwise(text).alias("original_text"),
+        F.when(state == 1, F.concat(F.lit(" "), text)).when(state == 2, F.reverse(text)).when(state == 3, " ").alias("translated_text"), F.when((conv % 11 == 0) & (turn % 2 == 1), "failed").alias("translation_error"),
+    )
+    out = D.shown(D.arranged(rows, ["paper_id"]))
+    return out.select("paper_id", "order_index", "mode", "layout", "part", "place", "shape", F.coalesce(F.sha2("beside", 256), F.lit("")).alias("beside"))

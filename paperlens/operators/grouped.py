@@ -9,8 +9,10 @@ from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 #: Rows that a task gathers before it sends them on.
 ROWS = 10_000
@@ -27,7 +29,7 @@ def walked(rows: DataFrame, keys: list[str], order: list[Column], walk: Callable
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
         out: list[tuple] = []
-        for _, group in groupby((r for b in batches for r in map(row._make, zip(*(c.to_pylist() for c in b.columns), strict=True))), key=attrgetter(*keys)):
+        for _, group in groupby((r for b in batches for r in map(row._make, zip(*(c.to_pylist() for c in b.columns[:-1]), strict=True))), key=attrgetter(*keys)):
             out += walk(list(group))
             if len(out) >= ROWS:
                 yield sent(out)
@@ -35,4 +37,6 @@ def walked(rows: DataFrame, keys: list[str], order: list[Column], walk: Callable
         if out:
             yield sent(out)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(task, schema)
+    # A window asks for groups that lie together and in order, and shuffles only rows that are not dealt by these keys yet.
+    dealt = rows.withColumn("walk order", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return dealt.mapInArrow(task, schema)

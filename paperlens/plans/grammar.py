@@ -25,9 +25,9 @@ def _numbered(spark: SparkSession, d: str) -> DataFrame:
     places = places.select("doc_id", F.concat_ws("-", "source", F.floor(F.col("place") / PAPER).cast("string")).alias("paper_id"), (F.col("place") % PAPER).cast("int").alias("r"))
     plain = F.regexp_replace("text", r"[)“”‘’\x00\t\n\x0B\f\r \x{A0}]+", " ")
     letters = F.lower(F.regexp_replace("text", "[^A-Za-z]+", ""))
-    rows = S.documents(spark, d).select("doc_id", F.lower(plain).alias("plain"), letters.alias("letters")).join(places, "doc_id")
+    rows = S.documents(spark, d).repartition("doc_id").select("doc_id", F.lower(plain).alias("plain"), letters.alias("letters")).join(places, "doc_id")
     rows = rows.withColumns({"kind": F.col("r") % 4, "number": F.element_at(F.array(*map(F.lit, (1, 26, 36, 46))), F.col("r") % 4 + 1) + F.floor(F.col("r") / 4).cast("int")})
-    pieces = F.expr(f"CASE WHEN plain = '' THEN array() ELSE transform(sequence(0, (char_length(plain) - 1) div {LINE}), i -> concat('y', substring(plain, i * {LINE} + 1, {LINE}), 'x')) END")
+    pieces = F.transform(F.regexp_extract_all("plain", F.lit(f"(?s).{{1,{LINE}}}"), F.lit(0)), lambda p: F.concat(F.lit("y"), p, F.lit("x")))
     return rows.withColumn("pieces", pieces)
 
 

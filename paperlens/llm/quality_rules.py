@@ -81,22 +81,12 @@ def passes(policy: str, failures: str = "failures") -> Column:
 def ablations(found: DataFrame, policy: str) -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone, and that the policy would keep without it."""
     used = found.select(F.col("failures").bitwiseAND(F.lit(mask(policy))).alias("f")).groupBy("f").agg(F.count("*").alias("n"))
-    rows = []
-    for rule in POLICIES[policy]:
-        bit = 1 << list(RULES).index(rule)
-        failed, alone = F.expr(f"f & {bit}L <> 0"), F.expr(f"f = {bit}L")
-        rows.append(
-            used.agg(
-                F.lit(rule).alias("rule"),
-                F.coalesce(F.sum(F.when(failed, F.col("n"))), F.lit(0)).alias("fail"),
-                F.coalesce(F.sum(F.when(alone, F.col("n"))), F.lit(0)).alias("fail_alone"),
-                F.coalesce(F.sum(F.when(alone | (F.col("f") == 0), F.col("n"))), F.lit(0)).alias("kept_without"),
-            )
-        )
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.union(row)
-    return out
+    rules = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(1 << list(RULES).index(rule)).cast("long").alias("bit")) for rule in POLICIES[policy]))
+    # A row a rule without documents, so that an empty table has all rules.
+    none = found.sparkSession.range(1).select(F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("n"))
+    each = used.unionByName(none).select("f", "n", F.explode(rules).alias("r")).select("f", "n", "r.*")
+    total = lambda test: F.sum(F.when(F.expr(test), F.col("n")).otherwise(0))
+    return each.groupBy("rule").agg(total("f & bit <> 0").alias("fail"), total("f = bit").alias("fail_alone"), total("f = 0 OR f = bit").alias("kept_without"))
 
 
 def judged(df: DataFrame, policy: str = "v1", key: str = "doc_id", text: str = "text") -> DataFrame:

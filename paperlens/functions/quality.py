@@ -65,6 +65,16 @@ def wants_ocr(text: Column, garbled: Column, mode: str = "auto", least: int = 80
     return (trim(text) == "") | (F.char_length(F.regexp_replace(text, WS + "+", "")) < least) | garbled
 
 
+def ocr_error(page: Column, raw: Column, ocr: Column, reasons: Column, failure: Column) -> Column:
+    """What stops a page whose text is empty or garbled and that OCR could not read either: it failed, or gave nothing; null if the page is fine."""
+    lost = (F.coalesce(raw, F.lit("")) == "") | (F.size(reasons) > 0)
+    number = page.cast("string")
+    why = F.when(F.size(reasons) > 0, F.concat(F.lit(" after "), F.array_join(reasons, ", "))).otherwise("")
+    failed = F.concat(F.lit("OCR fallback failed on page "), number, F.lit(": "), failure)
+    unread = F.concat(F.lit("OCR fallback returned no readable text on page "), number, why)
+    return F.when(lost & failure.isNotNull(), failed).when(lost & (F.coalesce(ocr, F.lit("")) == ""), unread)
+
+
 def page_source(raw: Column, ocr: Column, garbled: Column) -> Column:
     """PDF_TEXT or EMPTY without OCR text; with it OCR if the raw text is garbled or empty, else MIXED."""
     empty = trim(F.coalesce(raw, F.lit(""))) == ""

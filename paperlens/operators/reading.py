@@ -18,6 +18,8 @@ CARDS = 200
 STAGE_LABELS = {"PARSING": "抽取文本", "OCR": "OCR 识别", "STRUCTURING": "识别题型", "TRANSLATING": "生成翻译", "READY": "完成", "FAILED": "失败"}
 STATUS_LABELS = {"READY": "完成", "FAILED": "失败", "PROCESSING": "处理中"}
 WAITING, QUEUED = "等待处理", "排队"
+# Labels of section types, in their order.
+TYPE_LABELS = {"writing": "写作", "listening": "听力", "reading_bank": "阅读 Section A 选词填空", "reading_matching": "阅读 Section B 长篇匹配", "reading_careful": "阅读 Section C 仔细阅读", "translation": "翻译", "unknown": "未分类"}
 # Groups of the directory, in order, and the section types in them.
 DIRECTORY = {"写作": ("writing",), "听力": ("listening",), "阅读": ("reading_bank", "reading_matching", "reading_careful"), "翻译": ("translation",), "未分类": ("unknown",)}
 # What the evidence of a section says of its type; the first pattern that fits counts.
@@ -35,6 +37,11 @@ def label(value: Column, labels: dict[str, str], other: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), value), F.lit(other))
 
 
+def type_place(section_type: Column) -> Column:
+    """Place of a section type in their order, from 0; null for none."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, TYPE_LABELS)), section_type), F.lit(0)).cast("int") - 1
+
+
 def directory_group(section_type: Column) -> Column:
     """A struct of place and label of the group that a section stands in."""
     out = F.lit(None)

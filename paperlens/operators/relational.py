@@ -107,3 +107,24 @@ def run_state(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     status = F.when(F.col("turned") == "start", "running").when(F.col("turned") == "finish", "finished").when(F.col("turned") == "fail", "failed").otherwise("idle")
     completed = F.when(F.col("moved.step") == "update", F.col("moved.value")).when(F.col("moved.step") == "finish", F.col("total")).otherwise(F.lit(0))
     return folded.select(key, status.alias("status"), "total", completed.alias("completed"))
+
+
+def model_urls(base: Column) -> Column:
+    """Where a provider with this base address (without a closing slash) may list its models, in order."""
+    first = F.concat(base, F.lit("/models"))
+    return F.when(base.rlike(r"(?i)/v1\z"), F.array(first)).otherwise(F.array(first, F.concat(base, F.lit("/v1/models"))))
+
+
+def quoted_setting(value: Column) -> Column:
+    inside = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), inside, F.lit('"'))
+
+
+def settings_saved(lines: DataFrame, values: DataFrame) -> DataFrame:
+    """env, line, text of settings files (env, line, text) with values (env, name, value): a line of a name that has a value is written
+    anew, all others stay as they are, names without a line follow behind (line -1)."""
+    named = lines.withColumn("name", F.nullif(F.regexp_extract("text", r"\A\s*([A-Za-z_][A-Za-z0-9_]*)\s*=", 1), F.lit("")))
+    line = F.concat("name", F.lit("="), quoted_setting(F.col("value")))
+    kept = named.join(values, ["env", "name"], "left").select("env", "line", F.when(F.col("value").isNotNull(), line).otherwise(F.col("text")).alias("text"))
+    new = values.join(named.select("env", "name").distinct(), ["env", "name"], "left_anti")
+    return kept.unionByName(new.select("env", F.lit(-1).cast(lines.schema["line"].dataType).alias("line"), line.alias("text")))

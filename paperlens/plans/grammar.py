@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperlens.functions.jsregex import WS
 from paperlens.functions.text import text_hash
 from paperlens.operators import grammar as G
 from paperlens.operators import relational as R
-from paperlens.plans.registry import query
+from paperlens.plans.registry import SQL_SPACE, query, rewritten_sql
 from paperlens.sources import tables as S
 
 PAPER, LINE = 40, 60
@@ -207,7 +208,11 @@ def q_drop_fragment(spark: SparkSession, d: str) -> DataFrame:
     return words.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(G.is_fragment(F.col("w"))).alias("dropped"))
 
 
-@query()
+_DAMAGED = "'Part 1 “Writing”  fo llowing f our' || chr(10) || '12 . A)x' || chr(10) || text"
+_LINE = rewritten_sql("l[i]", (*G.REWRITES, (rf"\A{WS}+|{WS}+\z", "")))
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, sha256(lower(trim(regexp_replace({_LINE}, '{SQL_SPACE}+', ' ', 'g')))) AS hash FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split({_DAMAGED}, chr(10)) AS l FROM documents))")
 def q_normalize_line(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents with damage put into them."""
     lines = S.documents(spark, d).select("doc_id", F.posexplode(F.split(F.concat(F.lit("Part 1 “Writing”  fo llowing f our\n12 . A)x\n"), F.col("text")), "\n")).alias("line_no", "line"))

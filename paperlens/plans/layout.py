@@ -53,7 +53,10 @@ def q_layout_columns(spark: SparkSession, d: str) -> DataFrame:
     return L.columns_of(text_items(spark, d).withColumn("order", F.col("idx")), PAGE).select("page", "idx", "column")
 
 
-@query()
+@query(
+    f"""WITH {_I}, b AS (SELECT *, length(text) * 5.0 AS w, lag(x) OVER o AS bx, lag(length(text) * 5.0) OVER o AS bw, lag(length(text)) OVER o AS bn FROM i WINDOW o AS (PARTITION BY page ORDER BY x, y DESC, idx))
+    SELECT page, string_agg(CASE WHEN x - (bx + bw) > 0 AND x - (bx + bw) > greatest(1.5, 0.45 * (w / length(text) + bw / bn) / 2) THEN ' ' ELSE '' END || text, '' ORDER BY x, y DESC, idx) AS text FROM b GROUP BY 1"""
+)
 def q_line_text(spark: SparkSession, d: str) -> DataFrame:
     """All items of a page as one line."""
     return L.joined_line(text_items(spark, d), PAGE).select("page", "text")

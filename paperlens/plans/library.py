@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,7 +173,7 @@ def q_library_filter(spark: SparkSession, d: str) -> DataFrame:
     kind, year = "exam", "2001"
     rows = _with_metadata(spark, d).select("paper_id", "year", "kind")
     rows = rows.where(F.col("kind") == kind) if kind in ("exam", "answer") else rows
-    return rows.where(F.col("year") == year) if year.isdigit() else rows
+    return rows.where(F.col("year") == year) if re.fullmatch("20[0-9]{2}", year) else rows
 
 
 @query(
@@ -383,3 +384,35 @@ def q_env_parse(spark: SparkSession, d: str) -> DataFrame:
     pattern = r'^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"?([^"]*)"?\s*$'
     parsed = lines.select("env", "line", F.regexp_extract("text", pattern, 1).alias("name"), F.regexp_extract("text", pattern, 2).alias("value")).where("name <> ''")
     return parsed.groupBy("env", "name").agg(F.max_by("value", "line").alias("value"))
+
+
+@query("SELECT source, CAST(round(avg(least(100, doc_id % 120))) AS BIGINT) AS percent, count(*) FILTER (doc_id % 120 < 100) AS pending, count(*) FILTER (doc_id % 120 >= 100) AS finished FROM documents GROUP BY 1")
+def q_upload_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as uploads of a source: the percent of all, and how many are still to come."""
+    done = F.least(F.lit(100), F.col("doc_id") % 120)
+    rows = S.documents(spark, d).groupBy("source")
+    return rows.agg(F.round(F.avg(done)).cast("long").alias("percent"), F.count_if(done < 100).alias("pending"), F.count_if(done >= 100).alias("finished"))
+
+
+@query("SELECT page_id, b AS base, b || '/models' AS first, CASE WHEN regexp_matches(b, '(?i)/v1$') THEN '' ELSE b || '/v1/models' END AS second FROM (SELECT page_id, regexp_replace(trim(url), '/+$', '') || CASE page_id % 3 WHEN 0 THEN '/V1' ELSE '' END AS b FROM pages)")
+def q_model_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses at which a provider may list its models, in order."""
+    base = F.concat(F.regexp_replace(F.trim("url"), "/+$", ""), F.when(F.col("page_id") % 3 == 0, "/V1").otherwise(""))
+    urls = R.model_urls(F.col("base"))
+    rows = S.table(spark, d, "pages").select("page_id", base.alias("base"))
+    return rows.select("page_id", "base", F.get(urls, F.lit(0)).alias("first"), F.coalesce(F.get(urls, F.lit(1)), F.lit("")).alias("second"))
+
+
+@query(
+    r"""WITH l AS (SELECT source AS env, doc_id AS line, CASE doc_id % 4 WHEN 0 THEN '# ' || lang WHEN 1 THEN 'KEY_' || upper(lang) || '="old"' WHEN 2 THEN ' other = ' || n_chars ELSE '' END AS text, CASE doc_id % 4 WHEN 1 THEN 'KEY_' || upper(lang) END AS name FROM documents),
+    v AS (SELECT source AS env, 'KEY_' || upper(lang) AS name, max(doc_id) || ' "\' AS value FROM documents WHERE lang <> 'en' GROUP BY ALL)
+    SELECT env, line, CASE WHEN value IS NULL THEN text ELSE name || '="' || replace(replace(value, '\', '\\'), '"', '\"') || '"' END AS text FROM l LEFT JOIN v USING (env, name)
+    UNION ALL SELECT env, -1, name || '="' || replace(replace(value, '\', '\\'), '"', '\"') || '"' FROM v WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.env = v.env AND l.name = v.name)"""
+)
+def q_env_save(spark: SparkSession, d: str) -> DataFrame:
+    """Settings files with new values: lines of known names are written anew and quoted, all others stay, new names follow (line -1)."""
+    docs, kind = S.documents(spark, d), F.col("doc_id") % 4
+    key = F.concat(F.lit("KEY_"), F.upper("lang"))
+    text = F.when(kind == 0, F.concat(F.lit("# "), "lang")).when(kind == 1, F.concat(key, F.lit('="old"'))).when(kind == 2, F.concat(F.lit(" other = "), F.col("n_chars").cast("string"))).otherwise("")
+    values = docs.where("lang <> 'en'").groupBy(F.col("source").alias("env"), key.alias("name")).agg(F.concat(F.max("doc_id").cast("string"), F.lit(' "\\')).alias("value"))
+    return R.settings_saved(docs.select(F.col("source").alias("env"), F.col("doc_id").alias("line"), text.alias("text")), values)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlens.functions import text as T
 from paperlens.operators import display as D
+from paperlens.operators import grammar as G
 from paperlens.operators import reading as V
 from paperlens.operators import relational as R
 from paperlens.operators.grammar import type_from_number
@@ -48,13 +49,14 @@ def q_section_progress(spark: SparkSession, d: str) -> DataFrame:
 _TITLES = ("Part I Writing", "Part II Listening", "Section A 选词填空", "Section  B on Matching", "Section C 仔细阅读", "Part IV Translation", "Section B 短文", "none")
 
 
-@query(
-    """WITH e AS (SELECT conv_id, regexp_replace(list_extract(['Part I Writing', 'Part II Listening', 'Section A 选词填空', 'Section  B on Matching', 'Section C 仔细阅读', 'Part IV Translation', 'Section B 短文', 'none'], CAST(conv_id % 8 + 1 AS INTEGER)) || ' ' || string_agg(text, ' ' ORDER BY turn) FILTER (k <= 4), '\\s+', ' ', 'g') AS t,
+_REPAIRED = """WITH e AS (SELECT conv_id, regexp_replace(list_extract(['Part I Writing', 'Part II Listening', 'Section A 选词填空', 'Section  B on Matching', 'Section C 仔细阅读', 'Part IV Translation', 'Section B 短文', 'none'], CAST(conv_id % 8 + 1 AS INTEGER)) || ' ' || string_agg(text, ' ' ORDER BY turn) FILTER (k <= 4), '\\s+', ' ', 'g') AS t,
       CASE WHEN conv_id % 3 > 0 THEN min(turn) + conv_id % 60 END AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY 1)
     SELECT conv_id AS paper_id, CASE WHEN regexp_matches(t, '(?i)Part\\s*I\\b.*Writing') THEN 'writing' WHEN regexp_matches(t, '(?i)Part\\s*II\\b.*Listening|Section\\s+[ABC]\\s*(长对话|短文|讲座)') THEN 'listening'
       WHEN regexp_matches(t, '(?i)Section\\s*A\\b.*(选词填空|word bank)') THEN 'reading_bank' WHEN regexp_matches(t, '(?i)Section\\s*B\\b.*(长篇匹配|matching)') THEN 'reading_matching' WHEN regexp_matches(t, '(?i)Section\\s*C\\b.*(仔细阅读|careful)') THEN 'reading_careful'
       WHEN regexp_matches(t, '(?i)Part\\s*IV\\b.*Translation') THEN 'translation' WHEN n IS NULL THEN 'own' WHEN n BETWEEN 1 AND 25 THEN 'listening' WHEN n BETWEEN 26 AND 35 THEN 'reading_bank' WHEN n BETWEEN 36 AND 45 THEN 'reading_matching' WHEN n BETWEEN 46 AND 55 THEN 'reading_careful' ELSE 'unknown' END AS type FROM e"""
-)
+
+
+@query(_REPAIRED)
 def q_section_repair(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as sections with titles of their own: type by title and first four blocks, else by the smallest number, else as it was."""
     first = R.first_per(S.blocks(spark, d), ["paper_id"], [F.col("order_index")], 4)
@@ -188,3 +190,24 @@ def q_reader_layout(spark: SparkSession, d: str) -> DataFrame:
     )
     out = D.shown(D.arranged(rows, ["paper_id"]))
     return out.select("paper_id", "order_index", "mode", "layout", "part", "place", "shape", F.coalesce(F.sha2("beside", 256), F.lit("")).alias("beside"))
+
+
+@query(f"WITH r AS ({_REPAIRED}), x AS (SELECT paper_id, {list(_TYPES)}[paper_id % 7 + 1] AS was, CASE type WHEN 'own' THEN {list(_TYPES)}[paper_id % 7 + 1] ELSE type END AS now FROM r) SELECT * FROM x WHERE was <> now")
+def q_section_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Sections whose type a repair changes, and no others."""
+    was = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("paper_id") % 7).cast("int") + 1)
+    rows = q_section_repair(spark, d).withColumn("was", was)
+    return rows.select("paper_id", "was", F.when(F.col("type") == "own", F.col("was")).otherwise(F.col("type")).alias("now")).where("was <> now")
+
+
+@query(
+    f"""SELECT conv_id AS paper_id, type, CASE type WHEN 'reading_bank' THEN '阅读 Section A 选词填空' WHEN 'reading_matching' THEN '阅读 Section B 长篇匹配' WHEN 'reading_careful' THEN '阅读 Section C 仔细阅读' WHEN 'writing' THEN '写作' WHEN 'listening' THEN '听力' WHEN 'translation' THEN '翻译' ELSE '未分类' END AS label,
+    CASE type WHEN 'reading_bank' THEN '选词填空' WHEN 'reading_matching' THEN '长篇匹配' WHEN 'reading_careful' THEN '仔细阅读' WHEN 'writing' THEN '写作' WHEN 'listening' THEN '听力' WHEN 'translation' THEN '翻译' ELSE '未分类' END AS short,
+    CAST(conv_id % 7 AS INTEGER) AS place, CASE type WHEN 'translation' THEN 'translation_prompt' WHEN 'reading_bank' THEN 'passage' WHEN 'reading_careful' THEN 'passage' ELSE 'paragraph' END AS plain_block
+    FROM (SELECT DISTINCT conv_id, {list(_TYPES)}[conv_id % 7 + 1] AS type FROM conversations)"""
+)
+def q_section_types(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of all types: long and short label, place in the order of types, kind of their plain blocks."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("paper_id") % 7).cast("int") + 1)
+    rows = S.blocks(spark, d).select("paper_id").distinct().withColumn("type", kind)
+    return rows.select("paper_id", "type", V.label(F.col("type"), V.TYPE_LABELS, "").alias("label"), V.label(F.col("type"), G.TITLES, "").alias("short"), V.type_place(F.col("type")).alias("place"), G.default_block_type(F.col("type")).alias("plain_block"))

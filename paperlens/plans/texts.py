@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from paperlens.functions import quality as Q
 from paperlens.functions import text as T
-from paperlens.functions.jsregex import WS
-from paperlens.plans.registry import query
+from paperlens.functions.jsregex import END, START, WS
+from paperlens.plans.registry import SQL_SPACE, query, rewritten_sql
 from paperlens.sources import tables as S
 
-# JavaScript's white space for RE2.
-_S = r"[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_S = SQL_SPACE
 _COMPACT = rf"""trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"""
 
 
@@ -67,7 +66,13 @@ def q_words(spark: SparkSession, d: str) -> DataFrame:
     return words.groupBy("word", "item_id").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("items"))
 
 
-@query()
+_EXTRACTED = (
+    ("\x00", ""), ("\r\n?", "\n"), (r"[ \t]+", " "), *((rf"([{T.CJK}]){WS}+([{T.CJK}，。；：？！、])", "$1$2"),) * 2, *((rf"([，。；：？！、]){WS}+([{T.CJK}])", "$1$2"),) * 2, (rf"{WS}+\n", "\n"), (r"\n{3,}", "\n\n"),
+    *((f"(?i){START}{pattern.replace(chr(92) + 's', WS)}{END}", repair) for pattern, repair in T.BROKEN), (rf"\A{WS}+|{WS}+\z", ""),
+)
+
+
+@query(f"SELECT doc_id, {rewritten_sql('damaged', _EXTRACTED)} AS text FROM (SELECT doc_id, replace(text, ' the ', '  f our ') || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || 'Part 1V quest ions 一 二 ， 三' AS damaged FROM documents)")
 def q_normalize_extracted(spark: SparkSession, d: str) -> DataFrame:
     """Page texts with extraction damage put into them."""
     damaged = F.concat(F.regexp_replace("text", " the ", "  f our "), F.lit("\r\n\r\n\r\nPart 1V quest ions 一 二 ， 三"))
@@ -102,6 +107,18 @@ def q_ocr_route(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "ocr", Q.page_source(F.col("text"), recognised, F.col("garbled")).alias("source"))
 
 
+@query(
+    f"""WITH {_QUALITY} SELECT doc_id, coalesce(CASE WHEN (n = 0 OR reasons <> '') AND doc_id % 5 = 0 THEN 'OCR fallback failed on page ' || doc_id || ': down'
+    WHEN (n = 0 OR reasons <> '') AND doc_id % 5 < 3 THEN 'OCR fallback returned no readable text on page ' || doc_id || CASE WHEN reasons <> '' THEN ' after ' || replace(reasons, ',', ', ') ELSE '' END END, '') AS error FROM r"""
+)
+def q_ocr_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that neither their text nor OCR makes readable, with what is said of them."""
+    rows = quality_rows(spark, d).select("doc_id", "text", "q.reasons")
+    five = F.col("doc_id") % 5
+    error = Q.ocr_error(F.col("doc_id"), F.col("text"), F.when(five >= 3, "read").otherwise(""), F.col("reasons"), F.when(five == 0, "down"))
+    return rows.select("doc_id", F.coalesce(error, F.lit("")).alias("error"))
+
+
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN upper(lang) WHEN 1 THEN text || chr(10) || chr(10) || upper(lang) ELSE text END AS readable FROM documents")
 def q_readable_text(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, "OCR").when(F.col("doc_id") % 3 == 1, "MIXED").otherwise("PDF_TEXT")

@@ -72,12 +72,15 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     marks = marks.withColumn("kept", F.array_distinct(F.concat(*(_kept(f"grams{n}", neighbours[n]) if neighbours[n] > 1 else F.col(f"grams{n}") for n in lengths))))
     marked = marks.select("id", "h1", "h2", F.explode_outer("kept").alias("hash")).join(few, "hash", "left_semi").select("id", "h1", "h2").distinct()
     marked = stored(marked, "marked")
-    same = F.expr("d.id <=> m.id AND d.h1 = m.h1 AND d.h2 = m.h2")
-    some = docs.alias("d").join(small(marked).alias("m"), same, "left_semi").select("id", "h1", "h2", words_of(F.col("t")).alias("words"))
-    some = stored(some, "suspects") if len(lengths) > 1 else some
+    same = lambda other: F.expr(f"d.id <=> {other}.id AND d.h1 = {other}.h1 AND d.h2 = {other}.h2")
+    some = docs.alias("d").join(small(marked).alias("m"), same("m"), "left_semi").select("id", "h1", "h2", words_of(F.col("t")).alias("words"))
+    some = stored(some, "suspects")
 
     def hits_of(n: int) -> DataFrame:
-        at = with_grams(some, n).select("id", "h1", "h2", "words", F.posexplode_outer("grams").alias("p", "hash")).join(few, "hash", "left_semi")
+        # Only ids, places and hashes meet the fingerprints; what is left of a text comes back to its words as one list.
+        at = with_grams(some, n).select("id", "h1", "h2", F.posexplode_outer("grams").alias("p", "hash")).join(few, "hash", "left_semi")
+        at = at.groupBy("id", "h1", "h2").agg(F.collect_set(F.struct("p", "hash")).alias("places"))
+        at = some.alias("d").join(at.alias("a"), same("a")).select("d.*", F.explode("places").alias("place")).select("id", "h1", "h2", "words", "place.*")
         at = at.select("id", "h1", "h2", "hash", "p", "words", F.explode(F.expr(f"sequence(0, {neighbours[n] - 1})")).alias("d")).where(f"p >= d AND p - d + {n} <= size(words)")
         return at.select("id", "h1", "h2", "hash", "d", F.lit(n).alias("length"), (F.col("p") - F.col("d")).alias("first"), F.expr(f"array_join(slice(words, p - d + 1, {n}), ' ')").alias("window"))
 

@@ -54,6 +54,27 @@ def test_joins_without_broadcast(spark, monkeypatch):
     assert [r.doc_id for r in D.clean(docs, bench).collect()] == [2]
 
 
+def test_words_do_not_meet_the_fingerprints(spark, monkeypatch):
+    """Beyond the broadcast bound the join on fingerprints has narrow rows: no array of words beside a k-gram."""
+    import paperlens.llm.common as common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "clean " * 30), (1, f"before {item} after")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    out = D.window_hits(D._keyed(docs, "doc_id", "text"), D._items(bench, "item_id", "text"))
+    assert sorted((r.id, r["first"]) for r in out.collect()) == [(1, 1), (1, 2), (1, 3)]
+    stack, seen = [out._jdf.queryExecution().optimizedPlan()], 0
+    while stack:
+        node = stack.pop()
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())]
+        if node.nodeName() == "Join" and "LeftSemi" in node.toString().split("\n")[0]:
+            assert "words" not in node.output().toString()
+            seen += 1
+    assert seen
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert [(r.n_hit, r.contaminated) for r in D.contamination(docs, bench.limit(0)).collect()] == [(0, False)]

@@ -89,8 +89,6 @@ def migrated(cache: DataFrame, hits: DataFrame) -> DataFrame:
     return upsert(cache.withColumn("version", F.lit(0)), new, ["text_hash", "style"], ["version", "translation"]).drop("version")
 
 
-
-
 class Run:
     """Enrichment of blocks against a cache that is a table of versions in a folder; each run adds one.
 
@@ -122,19 +120,21 @@ class Run:
     def run(self, blocks: DataFrame, version: int) -> dict[str, int]:
         """total, cached, translated, failed, batches, calls (rows sent) of this version."""
         rows = once(lookup(blocks, self.cache(version), [self.key]), "looked-up")
-        missing = rows.where("translation IS NULL")
-        texts = blocks.join(missing.select(self.key), self.key, "left_semi").groupBy("text_hash", "style").agg(F.min("text").alias("text"))
+        missing = rows.where("translation IS NULL").drop("translation", "cached_style")
+        # Texts meet the missing hashes and are reduced to one a hash in one and the same exchange.
+        texts = blocks.join(missing.select("text_hash", "style").distinct(), ["text_hash", "style"], "left_semi").groupBy("text_hash", "style").agg(F.min("text").alias("text"))
         texts = once(texts.withColumn("route", F.col(self.route)), "pending")
-        numbers = packed(texts.select("text_hash", "style", "route", F.char_length("text").alias("n")), "route", ["text_hash"], "n").drop("n")
-        sent, seen = Observation("sent"), Observation("seen")
         first = F.row_number().over(Window.partitionBy("style", "route", "batch").orderBy("text_hash")) == 1
-        batches = texts.join(numbers, ["text_hash", "style", "route"]).withColumn("first", first).observe(sent, F.count("*").alias("calls"), F.count_if("first").alias("batches"))
+        numbers = packed(texts.select("text_hash", "style", "route", F.char_length("text").alias("n")), "route", ["text_hash"], "n").drop("n").withColumn("first", first)
+        sent, seen = Observation("sent"), Observation("seen")
+        batches = texts.join(numbers, ["text_hash", "style", "route"]).observe(sent, F.count("*").alias("calls"), F.count_if("first").alias("batches"))
         answers = once(translated(batches.withColumn("id", F.concat_ws("|", "text_hash", "style")), self.translator, "id", "text"), "answers")
         named = answers.select(F.substring_index("id", "|", 1).alias("text_hash"), F.substring_index("id", "|", -1).alias("style"), F.col("translation").alias("answer"), "error")
         old = rows.where("cached_style <> style").select("text_hash", "style", "translation").distinct()
         self._write(named.where("answer IS NOT NULL").select("text_hash", "style", F.col("answer").alias("translation")).unionByName(old), "cache", version)
-        whole = rows.join(named, ["text_hash", "style"], "left")
-        done = whole.select(self.key, F.coalesce("translation", "answer").alias("translation"), F.col("translation").isNotNull().alias("cached"), F.when(F.col("translation").isNull(), F.col("error")).alias("error"))
+        # What the cache had goes out as it is; only rows without a translation meet the answers.
+        hits = rows.where("translation IS NOT NULL").select(self.key, "translation", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"))
+        done = hits.unionByName(missing.join(named, ["text_hash", "style"], "left").select(self.key, F.col("answer").alias("translation"), F.lit(False).alias("cached"), "error"))
         counts = [F.count("*").alias("total"), F.count_if(F.col("cached")).alias("cached"), F.count_if(~F.col("cached") & F.col("translation").isNotNull()).alias("translated"), F.count_if(F.col("translation").isNull()).alias("failed")]
         self._write(done.observe(seen, *counts), "results", version)
         return seen.get | sent.get

@@ -170,12 +170,12 @@ def q_translate_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_B}, t AS (SELECT doc_id, text_hash, style, translation, cached_style, text FROM f JOIN b USING (doc_id, text_hash, style) WHERE block_type <> 'heading' AND length(trim(text)) >= 2),
-    m AS (SELECT text_hash, style, min(text) AS text, min(doc_id % 2) AS odd FROM t WHERE translation IS NULL GROUP BY 1, 2)
+    m AS (SELECT text_hash, style, coalesce(min(text) FILTER (doc_id % 2 = 0), min(text)) AS text, min(doc_id % 2) AS odd FROM t WHERE translation IS NULL GROUP BY 1, 2)
     SELECT run, doc_id, sha256(coalesce(translation, reverse(m.text))) AS translation_hash, run = 1 OR translation IS NOT NULL OR m.odd = 0 AND doc_id % 2 = 1 AS cached
     FROM t LEFT JOIN m USING (text_hash, style), (VALUES (0), (1)) r(run)"""
 )
 def q_translate_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Even documents, then odd ones, then all again: each missing hash is sent once, and what one run sent the next ones find in the cache."""
+    """Even documents, then odd ones, then all again: each missing hash is sent once, by the smallest of its run's texts, and what one run sent the next ones find in the cache."""
     blocks = scratch.once(_blocks(spark, d).where(O.translatable(F.col("block_type"), F.col("text"))).select("doc_id", "text_hash", "style", "text"), "blocks")
     run = O.Run(spark, scratch.folder(spark, "run"), Reverser(), "doc_id")
     run.seed(_cache(_hashed(spark, d)))

@@ -81,3 +81,20 @@ def test_a_stream_of_blocks(spark, tmp_path):
     more([(1, "a", "x"), (2, "b", "y")])
     more([(3, "a", "x"), (4, "c", "z")])
     assert sorted((r.id, r.translation, r.cached) for r in run.results().collect()) == [(1, "X", False), (2, "Y", False), (3, "X", True), (4, "Z", False)]
+
+
+def test_runs_send_the_first_runs_text_of_a_hash(spark, tmp_path):
+    """Texts of one hash that differ: what the even documents' run sends holds for the odd ones too."""
+    import duckdb
+
+    from tests.conftest import rows
+    from paperlens.plans.catalogue import ORACLE_SQL, QUERIES
+
+    texts = [(2, "beta one two"), (5, "Beta one two"), (7, "Gamma  one"), (11, "gamma one"), (4, "Delta one"), (8, "delta  one"), (1, "DELTA one"), (3, "Epsilon one"), (10, "epsilon one")]
+    made = spark.createDataFrame([(i, t, "fr", "web", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(ORACLE_SQL["q_translate_runs"]).df()
+    got = QUERIES["q_translate_runs"](spark, str(tmp_path)).toPandas()
+    assert rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))

@@ -276,3 +276,19 @@ def test_rows_are_numbered_by_ranges(spark):
     got = sorted((r.g, r.k, r.place, r.total) for r in R.numbered(frame, "g", "k", total="total", span=50).collect())
     groups = {g: [i * 7 for i in range(500) if i % 3 == g] for g in range(3)}
     assert got == [(g, k, i, len(ks)) for g, ks in groups.items() for i, k in enumerate(ks)]
+
+
+def test_lines_are_normalised_once(spark):
+    """Conditions on a line do not rewrite it again; white space is told alike by both engines' classes."""
+    import re
+
+    from paperlens.functions.jsregex import ODD_WS, PLAIN_WS, WS
+
+    pages = spark.createDataFrame([("p", 1, "Part  1 x\n12 . A)x\n7\n")], "paper_id string, page_number int, text string")
+    lines = G.lines_of(pages).where(G.question_lead(F.col("text")).isNotNull())
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Questionsl|fo") == 1
+    assert [(r.line_no, r.text) for r in lines.collect()] == [(1, "12. A) x")]
+    signs = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    told = spark.createDataFrame([(c,) for c in signs], "c string").select("c", F.col("c").rlike(rf"\A{WS}\z").alias("ws"), F.col("c").rlike(rf"\A{ODD_WS}\z").alias("odd")).collect()
+    assert all(r.ws == bool(re.fullmatch(PLAIN_WS, r.c)) and r.odd == (r.ws and r.c != " ") for r in told)

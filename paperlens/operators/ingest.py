@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from paperlens.operators import layout
 from paperlens.sources import pdf
+from paperlens.sources.scratch import once
 
 PAPERS = T.StructType([T.StructField(n, T.LongType() if n == "n_bytes" else T.StringType()) for n in ("name", "title", "file_hash", "n_bytes", "status")])
 
@@ -39,7 +40,8 @@ def taken(files: DataFrame, known: DataFrame, forced: DataFrame | None = None) -
 
 def ingested(spark: SparkSession, path: str, table: str, forced: DataFrame | None = None) -> None:
     """Append the papers of a folder's new files to the table."""
-    new = taken(uploaded(spark, path), papers(spark, table), forced)
+    # Files are read and hashed once, though hashes and names are used twice.
+    new = taken(once(uploaded(spark, path), "uploads"), papers(spark, table), forced)
     new.select("name", "title", "file_hash", "n_bytes", F.lit("UPLOADED").alias("status")).write.mode("append").parquet(table)
 
 

@@ -49,5 +49,5 @@ def q_upload_papers(spark: SparkSession, d: str) -> DataFrame:
         pdf.write(docs.where(F.col("doc_id") % 2 == odd), f"{folder}/{odd}")
         forced = docs.where("doc_id % 10 = 3").select(F.concat("name", F.lit(".pdf")).alias("name")) if odd else None
         ingest.ingested(spark, f"{folder}/{odd}", f"{folder}/papers", forced)
-    pages = pdf.read(spark, folder).groupBy(F.element_at(F.split("file", "/"), -1).alias("name")).agg(F.max("page_number").cast("long").alias("n_pages"))
+    pages = pdf.read(spark, folder, contents=False).groupBy(F.element_at(F.split("file", "/"), -1).alias("name")).agg(F.max("page_number").cast("long").alias("n_pages"))
     return ingest.papers(spark, f"{folder}/papers").join(pages, "name").select("name", "title", "status", "n_pages")

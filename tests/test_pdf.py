@@ -105,3 +105,18 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     run()
     run()
     assert sorted((r.file.rsplit("/", 1)[-1], r.str or r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a.pdf", "first"), ("b.pdf", "second"), ("c.pdf", "ValueError: no catalogue of pages")]
+
+
+def test_pages_without_their_contents(spark, tmp_path, monkeypatch):
+    """Pages are counted without a look at their text, by file, damaged ones as before."""
+    import io
+
+    from paperlens.sources import pdf
+
+    texts = [("a", [["one"], ["two words"], []]), ("b", [["x y"]])]
+    pdf.write(spark.createDataFrame(texts, "name string, pages array<array<string>>"), str(tmp_path))
+    (tmp_path / "bad.pdf").write_bytes(b"no pdf")
+    got = {(r.file, r.page_number, r.idx, r.error is None) for r in pdf.read(spark, str(tmp_path), contents=False).collect()}
+    assert got == {("a.pdf", 1, None, True), ("a.pdf", 2, None, True), ("a.pdf", 3, None, True), ("b.pdf", 1, None, True), ("bad.pdf", 0, None, False)}
+    monkeypatch.setattr(pdf, "items", lambda *_: 1 / 0)
+    assert [r[1] for r in pdf.rows_of("a", io.BytesIO((tmp_path / "a.pdf").read_bytes()), contents=False)] == [1, 2, 3]

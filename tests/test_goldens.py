@@ -292,3 +292,15 @@ def test_lines_are_normalised_once(spark):
     signs = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
     told = spark.createDataFrame([(c,) for c in signs], "c string").select("c", F.col("c").rlike(rf"\A{WS}\z").alias("ws"), F.col("c").rlike(rf"\A{ODD_WS}\z").alias("odd")).collect()
     assert all(r.ws == bool(re.fullmatch(PLAIN_WS, r.c)) and r.odd == (r.ws and r.c != " ") for r in told)
+
+
+def test_lines_told_to_be_unchanged(spark):
+    """One pass tells the lines that no rewrite changes; every other one is rewritten as before."""
+    from paperlens.operators import grammar as G
+
+    signs = "\t\n\r\x0b\x00\x7f\x80\xa0\xa1\xffſKé ᚁ ​‘’‚“”„  ‰ ⁠　、年中﻾﻿！😀"
+    lines = [f"a{chr(i)}{after}" for i in range(32, 127) for after in ("", "b", "C", ")", " ", ".", "um", "s", "art x", "o  llowing", " our", "uestionsl")]
+    lines += [f"{x}{c}{y}" for c in signs for x in ("", "a") for y in ("", "b")] + ["", " ", "12 .", "1 .x", "a 1 .x", "Part 1", "PART  Ill", "see fo llowing", "F our", "Turn Tum", "a  b", "3.5", "“x”", "A)b", "P)b", "end. ", " x"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", G.normalize_line(F.col("line")).alias("made"), F.col("line").rlike(G.UNCHANGED).alias("same")).collect()
+    assert [(r.line, r.made) for r in rows] == [(x, G.normalized(x)) for x in lines]
+    assert all(r.line == r.made for r in rows if r.same)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperlens.functions.jsregex import named
 from paperlens.operators.grouped import walked
 
 ITEM = "struct<str:string,transform:array<double>,width:double,height:double,hasEOL:boolean>"
@@ -27,14 +28,17 @@ def finite(c: Column) -> Column:
 
 def items_from_json(json: Column) -> Column:
     """A struct of text, x, y, width, height, has_transform, has_eol; null without a string."""
-    item = F.from_json(json, ITEM)
-    whole = F.coalesce(F.size(item["transform"]) >= 6, F.lit(False))
-    at = lambda i: F.when(whole, finite(F.get(item["transform"], F.lit(i)))).otherwise(0.0)
-    height = F.when(finite(item.height) > 0, finite(item.height)).otherwise(F.abs(at(3)))
-    return F.when(
-        item.str.isNotNull(),
-        F.struct(item.str.alias("text"), at(4).alias("x"), at(5).alias("y"), finite(item.width).alias("width"), height.alias("height"), whole.alias("has_transform"), F.coalesce(item.hasEOL, F.lit(False)).alias("has_eol")),
-    )
+    def read(item: Column) -> Column:
+        whole = F.coalesce(F.size(item["transform"]) >= 6, F.lit(False))
+        at = lambda i: F.when(whole, finite(F.get(item["transform"], F.lit(i)))).otherwise(0.0)
+        height = F.when(finite(item["height"]) > 0, finite(item["height"])).otherwise(F.abs(at(3)))
+        return F.when(
+            item["str"].isNotNull(),
+            F.struct(item["str"].alias("text"), at(4).alias("x"), at(5).alias("y"), finite(item["width"]).alias("width"), height.alias("height"), whole.alias("has_transform"), F.coalesce(item["hasEOL"], F.lit(False)).alias("has_eol")),
+        )
+
+    # The string is parsed once, and what comes out of an array is not made again for each of its fields.
+    return named(F.from_json(json, ITEM), read)
 
 
 def tolerance(items: DataFrame, page: list[str]) -> DataFrame:

@@ -304,3 +304,13 @@ def test_lines_told_to_be_unchanged(spark):
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", G.normalize_line(F.col("line")).alias("made"), F.col("line").rlike(G.UNCHANGED).alias("same")).collect()
     assert [(r.line, r.made) for r in rows] == [(x, G.normalized(x)) for x in lines]
     assert all(r.line == r.made for r in rows if r.same)
+
+
+def test_items_are_parsed_once(spark):
+    """However many fields of an item are asked for, its string is parsed once."""
+    rows = spark.createDataFrame([("a", 1.5), (None, 2.0)], "t string, h double")
+    json = F.to_json(F.struct(F.col("t").alias("str"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("h"), F.lit(4.0), F.lit(5.0)).alias("transform")))
+    items = rows.select(L.items_from_json(json).alias("i")).select("i.text", "i.x", "i.y", "i.height")
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert [tuple(r) for r in items.collect()] == [("a", 4.0, 5.0, 1.5), (None, None, None, None)]

@@ -6,12 +6,16 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperlens.functions import quality as Q
 
+#: Bytes of an Arrow batch of files where the session sets no bound; batches of pages hold a quarter of it.
+BATCH_BYTES = 4 << 20
 BOM = "﻿"
 
 
@@ -27,21 +31,43 @@ class OcrEngine(Protocol):
     def recognise(self, content: bytes, page_number: int) -> tuple[str, float]: ...
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, once Arrow batches to Python are bounded in bytes; a bound that the session already sets stays."""
+    setting, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(setting, None) is None:
+        conf.set(setting, str(BATCH_BYTES))
+    return df
+
+
+def batches_of(rows: Iterator[tuple], fields: pa.Schema, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that end once their texts (the column with this place) reach a bound, so that a worker holds few of them."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[text] or "") + 64
+        if size >= BATCH_BYTES // 4:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), fields, strict=True)], schema=fields)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), fields, strict=True)], schema=fields)
+
+
 def extracted(files: DataFrame, extractor: PageExtractor, key: str = "file_id", content: str = "content") -> DataFrame:
     """key, page_number, raw_text, error of each page; a file that fails becomes one row with its error."""
     schema = T.StructType([files.schema[key], T.StructField("page_number", T.IntegerType()), T.StructField("raw_text", T.StringType()), T.StructField("error", T.StringType())])
+    fields = to_arrow_schema(schema)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, data in zip(frame[key], frame[content], strict=True):
-                try:
-                    rows += [(k, n, text, None) for n, text in enumerate(extractor.pages(bytes(data or b"")), 1)]
-                except Exception as e:  # noqa: BLE001  a broken file becomes a row
-                    rows.append((k, 0, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=schema.names)
+    def pages(k, data) -> list[tuple]:
+        try:
+            return [(k, n, text, None) for n, text in enumerate(extractor.pages(bytes(data or b"")), 1)]
+        except Exception as e:  # noqa: BLE001  a broken file becomes a row
+            return [(k, 0, None, f"{type(e).__name__}: {e}")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for b in batches for k, data in zip(b.column(0), b.column(1), strict=True) for row in pages(k.as_py(), data.as_py()))
+        yield from batches_of(found, fields, 2)
 
-    return files.select(key, content).mapInPandas(work, schema)
+    return _bounded(files.select(key, content)).mapInArrow(work, schema)
 
 
 def recognised(pages: DataFrame, files: DataFrame, engine: Callable[[], OcrEngine], key: str = "file_id", content: str = "content", mode: str = "auto") -> DataFrame:

@@ -130,3 +130,13 @@ def test_frames_of_lost_attempts_are_not_read(spark, tmp_path):
     assert sorted((r.batch, r.event, r.data) for r in stateful.read_frames(spark, str(tmp_path)).collect()) == [(0, "error", "two\nlines"), (0, "status", '{"a": "x"}')]
     writer.abort([kept], 1)
     assert stateful.read_frames(spark, str(tmp_path)).count() == 0
+
+
+def test_extracted_pages_leave_in_small_batches():
+    """A worker holds few pages at a time, however many a batch of files has."""
+    import pyarrow as pa
+
+    fields = pa.schema([("file_id", pa.int64()), ("page_number", pa.int32()), ("raw_text", pa.string()), ("error", pa.string())])
+    rows = [(i, 1, "x" * 100_000, None) for i in range(100)] + [(100, 0, None, "broken")]
+    made = list(S.batches_of(iter(rows), fields, 2))
+    assert max(b.nbytes for b in made) < 2 << 20 and [tuple(r.values()) for b in made for r in b.to_pylist()] == rows

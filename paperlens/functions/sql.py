@@ -65,9 +65,8 @@ class ParsePaper:
         self.lines, self.kind = [], None
 
     def eval(self, line):
-        row = line.asDict(recursive=True)
-        self.kind = self.kind or namedtuple("line", row)
-        self.lines.append(self.kind(**row))
+        self.kind = self.kind or namedtuple("line", line.__fields__)
+        self.lines.append(self.kind._make(line))
 
     def terminate(self):
         for i, (number, kind, _, block, question, label, text, page) in enumerate(G.Walk(self.lines).run()):

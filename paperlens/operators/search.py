@@ -35,16 +35,16 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def build(blocks: DataFrame, texts: list[str], path: str) -> None:
-    """Write the index of blocks (texts: names of the columns that are searched; others come back with a hit)."""
+def build(blocks: DataFrame, texts: list[str], path: str, folds: tuple[str, ...] = tuple(FOLDS)) -> None:
+    """Write the index of blocks (texts: names of the columns that are searched; others come back with a hit), for the foldings that will be asked for."""
     spark = blocks.sparkSession
     number = F.monotonically_increasing_id()
     numbered = blocks.withColumn("number", number).withColumn("segment", F.shiftright("number", 33).cast("int"))
     numbered.write.mode("overwrite").partitionBy("segment").parquet(f"{path}/blocks")
     kept = spark.read.parquet(f"{path}/blocks")
     parts = []
-    for fold, folded in FOLDS.items():
-        own = reduce(F.array_union, (grams(folded(F.coalesce(c, F.lit("")))) for c in texts))
+    for fold in folds:
+        own = reduce(F.array_union, (grams(FOLDS[fold](F.coalesce(c, F.lit("")))) for c in texts))
         parts.append(kept.select(F.lit(fold).alias("fold"), "number", F.explode(own).alias("gram")))
     rows = reduce(DataFrame.union, parts).withColumn("shard", F.floor(F.col("number") / SHARD))
     offset = (F.col("number") % SHARD).cast("int")

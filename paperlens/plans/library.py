@@ -102,9 +102,9 @@ def _searchable(spark: SparkSession, d: str) -> DataFrame:
     return S.blocks(spark, d).select("paper_id", "order_index", F.col("block_type").alias("role"), "original_text", F.reverse("original_text").alias("translated_text"), page.alias("page_number"))
 
 
-def _indexed(spark: SparkSession, d: str) -> str:
+def _indexed(spark: SparkSession, d: str, fold: str) -> str:
     path = scratch.folder(spark, "index")
-    search.build(_searchable(spark, d), ["original_text", "translated_text"], path)
+    search.build(_searchable(spark, d), ["original_text", "translated_text"], path, (fold,))
     return path
 
 
@@ -118,7 +118,7 @@ _NEEDLES = "q(needle) AS (VALUES " + ", ".join(f"('{n}')" for n in NEEDLES) + ")
 )
 def q_search_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks whose text or translation contains what is looked for, or whose page it is, by the index."""
-    path = _indexed(spark, d)
+    path = _indexed(spark, d, "ascii")
     hits = [search.found(spark, path, "ascii", n, ["original_text", "translated_text"], {"page_number": "integer"}).select(F.lit(n).alias("needle"), "paper_id", "order_index") for n in NEEDLES]
     return reduce(DataFrame.union, hits)
 
@@ -129,7 +129,7 @@ def q_search_blocks(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_search_sections(spark: SparkSession, d: str) -> DataFrame:
     """The reader's search, inside the sections chosen (those of one role), by page and question number, too."""
-    path = _indexed(spark, d)
+    path = _indexed(spark, d, "lower")
     numbers = {"page_number": "text", "order_index": "text"}
     hits = [search.found(spark, path, "lower", n, ["original_text", "translated_text"], numbers, F.col("role") == "assistant").select(F.lit(n).alias("needle"), "paper_id", "order_index") for n in NEEDLES]
     return reduce(DataFrame.union, hits)

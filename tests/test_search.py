@@ -46,3 +46,10 @@ def test_shuffled_hits(spark, index, monkeypatch):
     want = sorted(r.id for r in X.found(spark, index[1], "ascii", "the", ["a", "b"]).collect())
     monkeypatch.setattr(X, "BROADCAST_ROWS", 0)
     assert want and sorted(r.id for r in X.found(spark, index[1], "ascii", "the", ["a", "b"]).collect()) == want
+
+
+def test_only_asked_foldings_are_indexed(spark, tmp_path):
+    blocks = spark.createDataFrame([(1, "Ärger ABC"), (2, "other")], "id long, t string")
+    X.build(blocks, ["t"], str(tmp_path / "one"), ("lower",))
+    assert sorted(p.name for p in (tmp_path / "one" / "postings").glob("fold=*")) == ["fold=lower"]
+    assert [r.id for r in X.found(spark, str(tmp_path / "one"), "lower", "ärger", ["t"]).collect()] == [1]

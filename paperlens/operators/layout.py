@@ -1,7 +1,7 @@
 """Reading order of positioned text items: columns and neighbours by windows, line clusters per page.
 
-Clustering items into lines is sequential (each line's height moves with its members), so it runs once per page in a grouped
-function; a page's items are few. Everything around it is windows and aggregates.
+Clustering items into lines is sequential (each line's height moves with its members), and so is an order that is not total; both
+walk the numbers of a page's items or lines, which lie in arrays of the page's row. Everything around it is windows and aggregates.
 """
 
 from __future__ import annotations
@@ -9,16 +9,19 @@ from __future__ import annotations
 import functools
 import statistics
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperlens.functions.jsregex import named
 from paperlens.operators.grouped import walked
+from paperlens.sources.files import bounded
 
 ITEM = "struct<str:string,transform:array<double>,width:double,height:double,hasEOL:boolean>"
 #: Widest gap within a line, least and relative gap between columns, distance of equal heights.
 LINE_GAP, COLUMN_GAP, COLUMN_SHARE, LEVEL = 72, 48, 0.18, 2
+NO_BLANK_BEFORE, NO_BLANK_AFTER = r"\A[\s,.;:!?%)\]}]", r"[\s(\[{]\z"
 
 
 def finite(c: Column) -> Column:
@@ -64,7 +67,7 @@ def columns_of(lines: DataFrame, page: list[str]) -> DataFrame:
 
 
 def char_width(text: Column, width: Column) -> Column:
-    visible = F.char_length(F.regexp_replace(text, r"\s", ""))
+    visible = F.char_length(F.translate(text, " \t\n\x0b\f\r", ""))
     return F.when((visible > 0) & (width > 0), width / visible)
 
 
@@ -76,59 +79,168 @@ def joined_line(items: DataFrame, line: list[str]) -> DataFrame:
     own, prior = char_width(F.col("text"), F.col("width")), char_width(F.col("before.text"), F.col("before.width"))
     typical = F.coalesce((own + prior) / 2, own, prior, F.lit(0.0))
     gap = F.col("x") - (F.col("before.x") + F.col("before.width"))
-    free = (F.col("text") != "") & (F.col("before.text") != "") & ~F.col("text").rlike(r"\A[\s,.;:!?%)\]}]") & ~F.col("before.text").rlike(r"[\s(\[{]\z")
+    free = (F.col("text") != "") & (F.col("before.text") != "") & ~F.col("text").rlike(NO_BLANK_BEFORE) & ~F.col("before.text").rlike(NO_BLANK_AFTER)
     blank = F.coalesce(free & (gap > 0) & (gap > F.greatest(F.lit(1.5), 0.45 * typical)), F.lit(False))
     rows = rows.withColumn("part", F.concat(F.when(blank, " ").otherwise(""), F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("x", (-F.col("y")).alias("y"), "idx", "part")))
     return rows.groupBy(*line).agg(F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("max_x"), F.array_join(F.transform(ordered, lambda i: i.part), "").alias("text"))
 
 
+def _flat(lists: pa.Array) -> list:
+    """The elements of all lists; null numbers are NaN."""
+    return lists.flatten().to_numpy(zero_copy_only=False).tolist()
+
+
+def _ends(lists: pa.Array) -> list[int]:
+    return [0, *lists.value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()]
+
+
+def _lists(ends: list[int], **columns: list) -> pa.Array:
+    """A struct of lists that are cut at these ends."""
+    offsets = pa.array(ends, pa.int32())
+    kinds = {k: pa.float64() if k == "line_y" else pa.int32() for k in columns}
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(c, kinds[k])) for k, c in columns.items()], list(columns))
+
+
+def _first_fit(x: list[float], y: list[float], width: list[float], height: list[float]) -> tuple[list[int], list[float]]:
+    """Line of each item and height of each line, items from top to bottom."""
+    heights = [h for h in height if h > 0]
+    most = max(2.0, 0.65 * statistics.median(heights)) if heights else 2.0
+    at, tops = [], []
+    near: list[list] = []  # line, y, left, right, members; of the lines that an item may still join
+    for x_, y_, w in zip(x, y, width, strict=True):
+        end = x_ + w
+        for line in near:
+            _, ly, left, right, n = line
+            if abs(ly - y_) <= most and (x_ - right if x_ >= right else left - end) <= LINE_GAP:
+                line[1:] = (ly * n + y_) / (n + 1), min(left, x_), max(right, end), n + 1
+                break
+        else:
+            # Items only go down and a line moves with its members alone: what is too far above stays so.
+            near = [line for line in near if not line[1] - y_ > most]
+            line = [len(tops), y_, x_, end, 1]
+            near.append(line)
+            tops.append(y_)
+        at.append(line[0])
+        tops[line[0]] = line[1]
+    return at, tops
+
+
 def clustered(items: DataFrame, page: list[str]) -> DataFrame:
-    """items (page, idx, x, y, width, height and more) with line (its number) and line_y: first fit, from top to bottom."""
-    out = items.withColumns({"line": F.lit(0), "line_y": F.lit(0.0)}).schema
-    fields = items.columns
-
-    def cluster(group: list) -> list[tuple]:
-        lines: list[list[float]] = []  # y, left, right, members
-        heights = [item.height for item in group if item.height > 0]
-        most = max(2.0, 0.65 * statistics.median(heights)) if heights else 2.0
-        at = []
-        for item in group:
-            x, y, end = item.x, item.y, item.x + item.width
-            fits = (k for k, (ly, left, right, _) in enumerate(lines) if abs(ly - y) <= most and (x - right if x >= right else left - end) <= LINE_GAP)
-            k = next(fits, len(lines))
-            if k == len(lines):
-                lines.append([y, x, end, 1])
-            else:
-                ly, left, right, n = lines[k]
-                lines[k] = [(ly * n + y) / (n + 1), min(left, x), max(right, end), n + 1]
-            at.append(k)
-        return [(*(getattr(item, c) for c in fields), k, float(lines[k][0])) for item, k in zip(group, at, strict=True)]
-
-    return walked(items, page, [F.desc("y"), F.asc("x"), F.asc("idx")], cluster, out)
-
-
-def _earlier(a, b) -> int:
-    if a.column != b.column:
-        return a.column - b.column
-    keys = (a.x - b.x, a.line - b.line) if abs(a.y - b.y) <= LEVEL else (b.y - a.y, a.x - b.x, a.line - b.line)
+    """items (page, idx, x, y, width, height and more) with line (its number) and line_y: first fit, from top to bottom.
+    A page's items lie in one row while their numbers are walked."""
+    inner = [c for c in items.columns if c not in page]
+
+    def cluster(*columns: pa.Array) -> pa.Array:
+        parts, offsets = [_flat(c) for c in columns], _ends(columns[0])
+        lines, tops, begun = [], [], 0
+        for end in offsets[1:]:
+            at, heights = _first_fit(*(p[begun:end] for p in parts))
+            lines += at
+            tops += [heights[k] for k in at]
+            begun = end
+        return _lists(offsets, line=lines, line_y=tops)
+
+    found = F.arrow_udf(cluster, "line array<int>, line_y array<double>")
+    item = F.struct((-F.col("y")).alias("down"), F.col("x").alias("across"), F.col("idx").alias("nth"), F.struct(*inner).alias("item"))
+    packed = bounded(items).groupBy(*page).agg(F.array_sort(F.collect_list(item))["item"].alias("items"))
+    placed = packed.withColumn("at", found(*(F.col("items")[c].cast("array<double>") for c in ("x", "y", "width", "height"))))
+    rows = placed.select(*page, F.inline(F.arrays_zip("items", F.col("at.line").alias("line"), F.col("at.line_y").alias("line_y"))))
+    return rows.select(*(F.col(c) if c in page else F.col("items")[c].alias(c) for c in items.columns), "line", "line_y")
+
+
+def _earlier(a: tuple, b: tuple) -> int:
+    """Lines by column, y, x and line. Heights within 2 count as equal, which is no total order."""
+    if a[0] != b[0]:
+        return a[0] - b[0]
+    keys = (a[2] - b[2], a[3] - b[3]) if abs(a[1] - b[1]) <= LEVEL else (b[1] - a[1], a[2] - b[2], a[3] - b[3])
     return next((1 if k > 0 else -1 for k in keys if k), 0)
 
 
 def ordered_lines(lines: DataFrame, page: list[str]) -> DataFrame:
-    """lines (page, line, column, x, y, text) with place. Heights within 2 count as equal, which is no total order, so each page is sorted by comparison."""
+    """lines (page, line, column, x, y, text) with place; each page is sorted by comparison."""
     rows = lines.select(*page, "line", "column", "x", "y", "text")
     out = rows.select(*page, "line", "text").withColumn("place", F.lit(0)).schema
 
     def order(group: list) -> list[tuple]:
-        found = sorted(group, key=functools.cmp_to_key(_earlier))
+        key = functools.cmp_to_key(_earlier)
+        found = sorted(group, key=lambda r: key((r.column, r.y, r.x, r.line)))
         return [(*(getattr(r, c) for c in page), r.line, r.text, i) for i, r in enumerate(found)]
 
     return walked(rows, page, [F.asc("line")], order, out)
 
 
-def page_texts(items: DataFrame, page: list[str]) -> DataFrame:
-    """page and its text in reading order, one line a row of text. items: page, idx, text, x, y, width, height."""
-    texts = joined_line(clustered(items, page), [*page, "line", "line_y"]).withColumnRenamed("line_y", "y")
-    lines = ordered_lines(columns_of(texts.withColumn("order", F.col("line")), page), page)
-    return lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x.text), "\n").alias("text"))
+def _split(lefts: list[float]) -> float | None:
+    """Where columns_of parts a page whose lines begin at these x."""
+    at = sorted(lefts)
+    n = len(at)
+    if n < 4:
+        return None
+    k = max(range(n - 1), key=lambda i: at[i + 1] - at[i])  # the first of the widest gaps
+    gap = at[k + 1] - at[k]
+    wide = 1 <= k <= n - 3 and gap >= max(COLUMN_GAP, COLUMN_SHARE * max(at[-1] - at[0], 1.0))
+    return (at[k] + at[k + 1]) / 2 if wide else None
+
+
+def _reading(x: list, y: list, width: list, height: list, typical: list, starts: list, ends: list) -> tuple[list[int], list[int]]:
+    """A page's items in reading order, and what stands before each: nothing (0), a blank (1), a new line (2)."""
+    at, tops = _first_fit(x, y, width, height)
+    lines: list[list[int]] = [[] for _ in tops]
+    for i, k in enumerate(at):
+        lines[k].append(i)
+    for line in lines:
+        line.sort(key=x.__getitem__)  # items of one x stay from top to bottom
+    lefts = [x[line[0]] for line in lines]
+    split = _split(lefts)
+    order = range(len(lines))
+    if len(lines) > 1:
+        key = functools.cmp_to_key(_earlier)
+        order = sorted(order, key=lambda k: key((int(split is not None and lefts[k] >= split), tops[k], lefts[k], k)))
+    items, leads = [], []
+    for k in order:
+        before = None
+        for i in lines[k]:
+            lead = 2
+            if before is not None:
+                gap, lead = x[i] - (x[before] + width[before]), 0
+                if gap > 1.5 and starts[i] and ends[before]:
+                    own, prior = typical[i], typical[before]  # NaN: none
+                    usual = (own + prior) / 2 if own == own and prior == prior else own if own == own else prior if prior == prior else 0.0
+                    lead = int(gap > 0.45 * usual)
+            items.append(i)
+            leads.append(lead)
+            before = i
+    if leads:
+        leads[0] = 0
+    return items, leads
+
+
+def page_texts(items: DataFrame, page: list[str], **more: Column) -> DataFrame:
+    """page and its text in reading order, one line a row of text. items: page, idx, text, x, y, width, height; a row without idx is no item,
+    and a page without items has an empty text. more: aggregates of a page's rows.
+
+    The same text as clustered, joined_line, columns_of and ordered_lines give one after another; here a page is one row
+    from the first exchange on, the numbers of its items are walked in batches of pages, and texts are joined by Spark."""
+    text = F.coalesce("text", F.lit(""))
+    item = F.struct(
+        (-F.col("y")).alias("down"), "x", "idx", "width", "height", char_width(text, F.col("width")).alias("typical"),
+        ((text != "") & ~text.rlike(NO_BLANK_BEFORE)).alias("starts"), ((text != "") & ~text.rlike(NO_BLANK_AFTER)).alias("ends"), text.alias("text"),
+    )
+
+    def read(*columns: pa.Array) -> pa.Array:
+        x, down, *rest = [_flat(c) for c in columns]
+        parts = [x, [-d for d in down], *rest]
+        order, leads, begun, offsets = [], [], 0, _ends(columns[0])
+        for end in offsets[1:]:
+            own, before = _reading(*(p[begun:end] for p in parts))
+            order += own
+            leads += before
+            begun = end
+        return _lists(offsets, order=order, lead=leads)
+
+    found = F.arrow_udf(read, "order array<int>, lead array<int>")
+    packed = bounded(items).groupBy(*page).agg(F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), item))).alias("items"), *(c.alias(n) for n, c in more.items()))
+    placed = packed.withColumn("at", found(*(F.col("items")[c] for c in ("x", "down", "width", "height", "typical", "starts", "ends"))))
+    lead = F.array(F.lit(""), F.lit(" "), F.lit("\n"))
+    parts = F.zip_with("at.order", "at.lead", lambda i, k: F.concat(F.get(lead, k), F.get("items", i)["text"]))
+    return placed.select(*page, F.array_join(parts, "").alias("text"), *more)

@@ -31,7 +31,7 @@ class OcrEngine(Protocol):
     def recognise(self, content: bytes, page_number: int) -> tuple[str, float]: ...
 
 
-def _bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame) -> DataFrame:
     """df, once Arrow batches to Python are bounded in bytes; a bound that the session already sets stays."""
     setting, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     if conf.get(setting, None) is None:
@@ -67,7 +67,7 @@ def extracted(files: DataFrame, extractor: PageExtractor, key: str = "file_id",
         found = (row for b in batches for k, data in zip(b.column(0), b.column(1), strict=True) for row in pages(k.as_py(), data.as_py()))
         yield from batches_of(found, fields, 2)
 
-    return _bounded(files.select(key, content)).mapInArrow(work, schema)
+    return bounded(files.select(key, content)).mapInArrow(work, schema)
 
 
 def recognised(pages: DataFrame, files: DataFrame, engine: Callable[[], OcrEngine], key: str = "file_id", content: str = "content", mode: str = "auto") -> DataFrame:

@@ -46,16 +46,12 @@ def ingested(spark: SparkSession, path: str, table: str, forced: DataFrame | Non
 
 
 def positioned(items: DataFrame) -> DataFrame:
-    """Rows of the file source as items of the page layout: file, page_number, idx, text, x, y, width, height."""
-    there = items.where("idx IS NOT NULL")
+    """Rows of the file source as rows of the page layout: file, page_number, idx (null: no item), text, x, y, width, height, error."""
     at = lambda i: layout.finite(F.get("transform", F.lit(i)))
-    return there.select("file", "page_number", "idx", F.col("str").alias("text"), at(4).alias("x"), at(5).alias("y"), layout.finite(F.col("width")).alias("width"), layout.finite(F.col("height")).alias("height"))
+    return items.select("file", "page_number", "idx", F.col("str").alias("text"), at(4).alias("x"), at(5).alias("y"), layout.finite(F.col("width")).alias("width"), layout.finite(F.col("height")).alias("height"), "error")
 
 
 def page_texts(items: DataFrame) -> DataFrame:
-    """file, page_number, text, error of every page; pages without text have an empty one."""
-    pages = items.groupBy("file", "page_number").agg(F.first("error", ignorenulls=True).alias("error"))
-    texts = layout.page_texts(positioned(items), ["file", "page_number"])
-    return pages.join(texts, ["file", "page_number"], "left").select("file", "page_number", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "error")
-
-
+    """file, page_number, text, error of every page; pages without text have an empty one. The items are read once."""
+    texts = layout.page_texts(positioned(items), ["file", "page_number"], error=F.first("error", ignorenulls=True))
+    return texts.select("file", "page_number", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")

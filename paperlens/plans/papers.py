@@ -30,8 +30,10 @@ _LINES = "d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(
 def q_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     """Every document written as a PDF file, read back page by page and laid out by its items' places."""
     folder = scratch.folder(spark, "files")
-    pdf.write(_pages(S.documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))).select(F.col("doc_id").cast("string").alias("name"), "pages"), folder)
-    texts = ingest.page_texts(scratch.once(pdf.read(spark, folder, split_bytes=1 << 20), "items"))
+    # However few row groups the table has, every core writes.
+    docs = S.documents(spark, d).select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+    pdf.write(_pages(docs.withColumn("text", F.coalesce("text", F.lit("")))).select(F.col("doc_id").cast("string").alias("name"), "pages"), folder)
+    texts = ingest.page_texts(pdf.read(spark, folder, split_bytes=1 << 20))
     return texts.select(F.regexp_extract("file", r"(-?[0-9]+)\.pdf", 1).cast("long").alias("doc_id"), "page_number", F.sha2("text", 256).alias("hash"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +57,13 @@ def page_texts(items: DataFrame) -> DataFrame:
     """file, page_number, text, error of every page; pages without text have an empty one. The items are read once."""
     texts = layout.page_texts(positioned(items), ["file", "page_number"], error=F.first("error", ignorenulls=True))
     return texts.select("file", "page_number", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+
+
+def _laid_out(pages: pa.RecordBatch) -> pa.RecordBatch:
+    text = layout.texts(*(pages[c] for c in ("str", "x", "y", "width", "height")))
+    return pa.RecordBatch.from_arrays([pages["file"], pages["page_number"], pc.if_else(pages["error"].is_null(), text, None), pages["error"]], names=["file", "page_number", "text", "error"])
+
+
+def file_texts(spark: SparkSession, path: str, split_bytes: int = pdf.SPLIT_BYTES) -> DataFrame:
+    """What page_texts gives for the PDF files below a folder. A task lays out the pages that it reads, so no item crosses an exchange."""
+    return pdf.pages(spark, path, split_bytes, _laid_out, "file string, page_number int, text string, error string")

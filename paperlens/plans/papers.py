@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlens.functions.jsregex import named
 from paperlens.operators import ingest
 from paperlens.plans.registry import query
 from paperlens.sources import pdf, scratch
 from paperlens.sources import tables as S
 
 LINES = 40
+#: Sub-folders that written files are dealt into, so that tasks can list them.
+FOLDERS = 256
 
 
 def _pages(docs: DataFrame):
     """Lines with a word, single blanks between words, LINES a page; a document without words is one empty page."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, "[ \t\r]+", " "))), lambda x: x != "")
-    starts = F.sequence(F.lit(0), F.greatest((F.size(lines) - 1) / LINES, F.lit(0)).cast("int"))
-    return docs.withColumn("pages", F.transform(starts, lambda i: F.slice(lines, i * LINES + 1, LINES)))
+    starts = lambda ls: F.sequence(F.lit(0), F.greatest((F.size(ls) - 1) / LINES, F.lit(0)).cast("int"))
+    # The lines are made once, not once a page.
+    return docs.withColumn("pages", named(lines, lambda ls: F.transform(starts(ls), lambda i: F.slice(ls, i * LINES + 1, LINES))))
 
 
 _LINES = "d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents)"
@@ -32,8 +36,8 @@ def q_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch.folder(spark, "files")
     # However few row groups the table has, every core writes.
     docs = S.documents(spark, d).select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
-    pdf.write(_pages(docs.withColumn("text", F.coalesce("text", F.lit("")))).select(F.col("doc_id").cast("string").alias("name"), "pages"), folder)
-    texts = ingest.page_texts(pdf.read(spark, folder, split_bytes=1 << 20))
+    pdf.write(_pages(docs.withColumn("text", F.coalesce("text", F.lit("")))).select(F.col("doc_id").cast("string").alias("name"), "pages"), folder, FOLDERS)
+    texts = ingest.file_texts(spark, folder, split_bytes=1 << 20)
     return texts.select(F.regexp_extract("file", r"(-?[0-9]+)\.pdf", 1).cast("long").alias("doc_id"), "page_number", F.sha2("text", 256).alias("hash"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlens.operators import layout
-from paperlens.sources import pdf
+from paperlens.sources import listing, pdf
 from paperlens.sources.scratch import once
 
+#: Bytes of an upload that are read at once.
+PIECE = 1 << 20
+
 PAPERS = T.StructType([T.StructField(n, T.LongType() if n == "n_bytes" else T.StringType()) for n in ("name", "title", "file_hash", "n_bytes", "status")])
 
 
 def uploaded(spark: SparkSession, path: str) -> DataFrame:
-    """name, title, file_hash, n_bytes of the PDF files in a folder; hashes are taken from the bytes, in the JVM."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF,Pdf}").load(path)
-    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
-    return files.select(name.alias("name"), F.regexp_replace(name, r"(?i)\.pdf\z", "").alias("title"), F.sha2("content", 256).alias("file_hash"), F.length("content").cast("long").alias("n_bytes"))
+    """name, title, file_hash, n_bytes of the PDF files in a folder and its sub-folders, but for hidden ones (_ or . before a name). Tasks list
+    the files and hash their bytes piece by piece; the driver holds none of their names."""
+    schema = "file string, file_hash string, n_bytes long"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = listing.place(path)
+        for batch in batches:
+            hashes, sizes = [], []
+            for file in batch["file"].to_pylist():
+                found, size = hashlib.sha256(), 0
+                with store.open_input_stream(f"{base}/{file}") as content:
+                    while piece := content.read(PIECE):
+                        found.update(piece)
+                        size += len(piece)
+                hashes.append(found.hexdigest())
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch["file"], pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())], names=["file", "file_hash", "n_bytes"])
+
+    shown = listing.pdfs(spark, path).where(~F.col("file").rlike(r"(^|/)[_.]")).select("file")
+    files = shown.repartition(listing.tasks(spark)).mapInArrow(hashed, schema)
+    name = F.element_at(F.split("file", "/"), -1)
+    return files.select(name.alias("name"), F.regexp_replace(name, r"(?i)\.pdf\z", "").alias("title"), "file_hash", "n_bytes")
 
 
 def papers(spark: SparkSession, table: str) -> DataFrame:
@@ -32,12 +56,12 @@ def papers(spark: SparkSession, table: str) -> DataFrame:
 def taken(files: DataFrame, known: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     """Of the files those that become papers: the first name of each content that no paper of the table has, failed ones not
     counted, and those whose name is forced. Only hashes and names meet."""
+    files = files.dropDuplicates(["name", "file_hash"])  # of several sub-folders
     hashes = known.where("status <> 'FAILED'").select("file_hash").distinct()
-    new = files.join(hashes, "file_hash", "left_anti").groupBy("file_hash").agg(F.min("name").alias("name"))
-    wanted = new.select("name")
+    wanted = files.join(hashes, "file_hash", "left_anti").groupBy("file_hash").agg(F.min("name").alias("name")).select("name", "file_hash")
     if forced is not None:
-        wanted = wanted.union(forced.select("name")).distinct()
-    return files.join(wanted, "name", "left_semi")
+        wanted = wanted.union(files.join(forced.select("name"), "name", "left_semi").select("name", "file_hash")).distinct()
+    return files.join(wanted, ["name", "file_hash"], "left_semi")
 
 
 def ingested(spark: SparkSession, path: str, table: str, forced: DataFrame | None = None) -> None:

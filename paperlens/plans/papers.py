@@ -50,9 +50,10 @@ def q_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
 def q_upload_papers(spark: SparkSession, d: str) -> DataFrame:
     """Two uploads of files into the table of papers: contents that it has already are left out, but for forced names."""
     folder = scratch.folder(spark, "uploads")
-    docs = _pages(S.documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))).select("doc_id", F.col("doc_id").cast("string").alias("name"), "pages")
+    docs = S.documents(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     for odd in (0, 1):
-        pdf.write(docs.where(F.col("doc_id") % 2 == odd), f"{folder}/{odd}")
+        files = docs.where(F.col("doc_id") % 2 == odd).repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+        pdf.write(_pages(files), f"{folder}/{odd}", FOLDERS)
         forced = docs.where("doc_id % 10 = 3").select(F.concat("name", F.lit(".pdf")).alias("name")) if odd else None
         ingest.ingested(spark, f"{folder}/{odd}", f"{folder}/papers", forced)
     pages = pdf.read(spark, folder, contents=False).groupBy(F.element_at(F.split("file", "/"), -1).alias("name")).agg(F.max("page_number").cast("long").alias("n_pages"))

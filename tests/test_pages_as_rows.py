@@ -49,6 +49,14 @@ def test_written_pages_are_not_walked_one_by_one(monkeypatch):
     assert L.texts(*lists).to_pylist() == [f"line {i} of (page), one\ntwo gaps" for i in range(3)]
 
 
+def test_lines_of_a_written_page_are_one_operator():
+    lines = [" indented  twice ", *(f"line {i} of 40" for i in range(39)), "", " "]
+    pdf = P.Pdf(io.BytesIO(P.written([lines])))
+    assert [op for op, _ in P.operations(pdf.content(pdf.page(0)))] == [b"BT", b"Tf", b"Tm TJ Tm TJ", b"ET"]
+    want = [(word, P.LEFT + P.PITCH * at, P.TOP - P.LEADING * n, P.PITCH * len(word)) for n, line in enumerate(lines) for at, word in ((m.start(), m[0]) for m in P.re.finditer("[^ ]+", line))]
+    assert [(text, t[4], t[5], width) for text, t, width, _ in P.items(pdf, pdf.page(0))] == want
+
+
 def test_files_in_sub_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     """The driver asks the store for nothing; files of sub-folders come with the others, large ones in shares, damaged ones as rows."""
     lines = [[f"page {i} line {j} 世界 end" for j in range(3)] for i in range(50)]
@@ -72,9 +80,15 @@ CONTENTS = [
     b"q 2 0 0 2 10 20 cm 3 Ts BT /F 10 Tf 1 Tc " + b"\n".join(b"1 0 .5 1 %d 7.5 Tm <4142> Tj" % i for i in range(6)) + b" (x) Tj ET Q BT /F 8 Tf " + b" ".join(b"1 0 0 -1 5 6 Tm <4142> Tj" for _ in range(5)) + b" T* (y) Tj ET",
 ]
 
+LINES = [
+    b"BT /F 10 Tf " + b"\n".join(b"1 0 0 1 50 %d Tm [<4142> -500 <41> 350.5 <> -101 <4142>]TJ" % (700 - 14 * i) for i in range(5)) + b" (x) Tj ET",
+    b"q 2 0 0 2 10 20 cm 3 Ts BT /F 10 Tf 1 Tc " + b" ".join(b"1 .5 0 1 %d 7 Tm [ <4142> -500 <4142> ] TJ" % i for i in range(4)) + b" T* (y) Tj ET Q",
+    b"BT /F 10 Tf 1 0 0 1 5 6 Tm [<4142> -500 <4142> 100 <4142>] TJ 1 0 0 1 5 6 Tm [<4142>] TJ [<4142> -500 <4142>] TJ (z) Tj ET",
+]
+
 
 @pytest.mark.parametrize("wide", [False, True])
-@pytest.mark.parametrize("content", CONTENTS)
+@pytest.mark.parametrize("content", CONTENTS + LINES)
 def test_runs_of_words_are_what_single_ones_are(content, wide, monkeypatch):
     class One(P.Pdf):
         def __init__(self):
@@ -89,8 +103,9 @@ def test_runs_of_words_are_what_single_ones_are(content, wide, monkeypatch):
     cmap = P.Stream({}, b"2 beginbfchar <4142> <0058><2020> <2603>\n<0041> <0031> endbfchar 1 beginbfchar <4241> <00660069> endbfchar")
     page = {"Resources": {"Font": {"F": {"Subtype": "Type0", "ToUnicode": cmap, "DescendantFonts": [{"DW": 500}]} if wide else {}}}}
     got = list(P.items(One(), page))
-    assert any(op == b"Tm Tj Tm Tj" for op, _ in P.operations(content))
-    monkeypatch.setattr(P, "_RUN", P.re.compile(b"(?!)"))
+    assert [op for op, _ in P.operations(content) if op[:4] == b"Tm T"] or content == LINES[2]
+    for pattern in ("_RUN", "_ROWS"):
+        monkeypatch.setattr(P, pattern, P.re.compile(b"(?!)"))
     assert list(P.items(One(), page)) == got and got
 
 

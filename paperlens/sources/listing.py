@@ -39,8 +39,8 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
 
     def top(batches):
         for batch in batches:
-            for _ in range(batch.num_rows):
-                yield from _below(path, "", False)
+            for folder in batch.column("folder").to_pylist():
+                yield from _below(path, folder, False)
 
     def below(batches):
         for batch in batches:
@@ -50,7 +50,9 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
                     yield from _below(path, folder, True)
 
     kind = "file string, size long"
-    return spark.range(0, 1, 1, 1).mapInArrow(top, kind).repartition(tasks(spark)).mapInArrow(below, kind)
+    # Of an RDD Spark takes no row to be one file, so it does not plan to broadcast what comes of the files before it knows how many there are.
+    whole = spark.createDataFrame(spark.sparkContext.parallelize([("",)], 1), "folder string")
+    return whole.mapInArrow(top, kind).repartition(tasks(spark)).mapInArrow(below, kind)
 
 
 def pdfs(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import hashlib
 
 from paperlens.operators import ingest
-from paperlens.sources import listing
+from paperlens.sources import listing, pdf
 
 
 def test_files_are_listed_and_hashed_by_tasks(spark, tmp_path, monkeypatch):
@@ -26,3 +26,12 @@ def test_taken_by_name_and_content(spark):
     assert sorted(map(tuple, ingest.taken(files, known).collect())) == [("a", "h2"), ("c", "h3")]
     forced = spark.createDataFrame([("d",), ("c",), ("e",)], "name string")
     assert sorted(map(tuple, ingest.taken(files, known, forced).collect())) == [("a", "h2"), ("c", "h3"), ("d", "h1")]
+
+
+def test_files_are_not_taken_to_be_few(spark, tmp_path):
+    """One row begins the listing; what comes of it is not planned to be broadcast by the driver before its size is known."""
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    pages = pdf.read(spark, str(tmp_path), contents=False).groupBy("file").count()
+    assert int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 1 << 40
+    plan = spark.range(10**9).selectExpr("CAST(id AS STRING) AS file").join(pages, "file")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
